@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..shipping import ship
 
 #: Bytes of scanned input that one task of a text-heavy exchange should hold.
 TASK_BYTES = 16 << 20
@@ -17,6 +16,7 @@ TASK_BYTES = 16 << 20
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one made here if unset."""
+    ship(spark)
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
@@ -95,16 +95,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def arrow_map(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` where ``fn(batch, *state)`` yields record batches for one batch."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from fn(b)
-
-    return df.mapInArrow(run, schema)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver notice finished exchanges, so that their shuffle files are deleted now."""
     import gc

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+from . import _base as B
+
 #: Labelled rows that the lexicon is learned from at most (those of the smallest id hash).
 TRAIN_ROWS = 20_000
 #: Terms of a lexicon at most.
@@ -203,8 +206,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
         every = list(n[True].keys() | n[False].keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[True][f] for f in every], pa.int64()), pa.array([n[False][f] for f in every], pa.int64())], ["f", "toxic", "clean"])
 
-    from . import _base as B
-
     counts = B.stage(train.mapInArrow(features, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "features")
     total = counts.filter("f = ''").collect()
     toxic, clean = (total[0].toxic, total[0].clean) if total else (0, 0)
@@ -244,6 +245,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     Null and empty texts hold no term and score the base rate. Whole texts are
     read; equal texts score alike; labels and other columns play no part.
     """
+    ship(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != name]
     schema = T.StructType([docs.schema[c] for c in names]).add(name, "double", False)
