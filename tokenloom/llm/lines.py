@@ -145,6 +145,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, doc_id: str = "doc_id", text:
     every suspicion is confirmed by a 128-bit digest of the key.
     """
     spark = docs.sparkSession
+    B.ship(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*names)
     bits = bits or filter_bits(docs.select(text))

@@ -142,6 +142,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     the others. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    B.ship(vectors.sparkSession)
     all_rows = vectors.select(F.col(ident).cast("long").alias("vec_id"))
     rows = B.stage(V.packed(vectors.filter(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("long")), ident, vector, "_label").withColumnRenamed("_label", "label"), "vectors")
     usual = rows.groupBy(F.length("raw").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()

@@ -144,4 +144,5 @@ def pack(docs: DataFrame, capacity: int = 1024, vocabulary: str | None = None, *
     other columns are ignored.
     """
     vocabulary = vocabulary or K.default_vocabulary()
+    B.ship(docs.sparkSession)
     return best_fit(B.stage(pieces(docs, vocabulary, capacity, **names), "pieces"), capacity)

@@ -467,6 +467,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "
     the whole component is null. An empty table gives empty tables.
     """
     spark = docs.sparkSession
+    B.ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = 1 << min(16, max(0, int(max(1, B.scan_bytes(docs) // (8 << 20))) - 1).bit_length())
     bits, packed = levels(docs, "text", k, parts)

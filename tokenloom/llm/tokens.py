@@ -127,6 +127,7 @@ def count_table(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     ignored.
     """
     vocabulary = vocabulary or default_vocabulary()
+    B.ship(docs.sparkSession)
     hist = B.stage(token_lengths(docs, vocabulary, text, end).groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
     hist = hist.withColumn("_b", F.floor(F.col("length") / block))
     inner = Window.partitionBy("_b").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -226,6 +227,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, doc
                 out = [frame(ids[start + k], p + end) for k, p in enumerate(enc.packed(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    B.ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     rows = rows.repartitionByRange(B.tasks_for(rows, file_bytes), "_id").sortWithinPartitions("_id", "_text")
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", _TAIL.decode()).text(path)

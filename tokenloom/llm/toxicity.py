@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
 from . import _base as B
 
 #: Labelled rows that the lexicon is learned from at most (those of the smallest id hash).
@@ -21,6 +20,8 @@ TRAIN_ROWS = 20_000
 MAX_TERMS = 2_000
 #: Lengths of stems tried beside whole words, and least lengths for one and two edits.
 STEMS, ONE_EDIT, TWO_EDITS = (4, 5, 6), 5, 9
+#: Share of the best supported term's rows that a term needs before its misspellings count.
+STRONG = 0.2
 #: Words that a worker's memo holds at most.
 MEMO_WORDS = 1_000_000
 #: Words on either side of a term that are read for context.
@@ -162,6 +163,11 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+def _lower(y: int, n: int, z: float = 2.0) -> float:
+    """Lower end of the score interval of y among n."""
+    return (y + z * z / 2 - z * math.sqrt(y * (n - y) / n + z * z / 4)) / (n + z * z) if n else 0.0
+
+
 def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tried: int) -> list[str]:
     """Words and stems that mark toxic rows beyond chance among ``tried`` features.
 
@@ -192,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     has no terms and gives the base rate.
     """
     spark = docs.sparkSession
+    B.ship(docs.sparkSession)
     own = labels.select(F.col(doc_id).cast("long").alias("_l"), F.col(label).cast("int").alias("_y")).dropna().filter(~held_out(F.col("_l")))
     own = own.groupBy("_l").agg((F.max("_y") > 0).alias("_y")).orderBy(F.xxhash64("_l"), "_l").limit(rows)
     train = docs.select(F.col(doc_id).cast("long").alias("_l"), F.col(text).alias("_text")).join(F.broadcast(own), "_l").select("_y", "_text")
@@ -228,6 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     for r in found:
         by[r.term, r.edited, r.said, r.y] += r.n
     base = toxic / (toxic + clean)
+    support = Counter({t: by[t, 0, 0, True] + by[t, 0, 1, True] for t in range(len(terms))})
+    strong = max(support.values(), default=0) * STRONG
     evidence = {}
     for t in range(len(terms)):
         for edited in (0, 1):
@@ -235,7 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
                 # before any row is seen: a plain term is toxic, an edited one likely so, a mention is not
                 prior, weight = ((0.9, 2), (0.3, 3))[said] if not edited else ((0.75, 2), (0.2, 3))[said]
                 y, n = by[t, edited, said, True], by[t, edited, said, True] + by[t, edited, said, False]
-                evidence[t, edited, said] = max(0.0, _logit((y + prior * weight) / (n + weight)) - _logit(base))
+                p = (y + prior * weight) / (n + weight)
+                if edited and (support[t] < strong or n > y):
+                    # a rare term is no ground for guessing at misspellings, and ordinary words lie near this one
+                    p = _lower(y, n) if support[t] >= strong else 0.0
+                evidence[t, edited, said] = max(0.0, _logit(p) - _logit(base))
     return Model(terms, evidence, _logit(base))
 
 
@@ -245,7 +258,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     Null and empty texts hold no term and score the base rate. Whole texts are
     read; equal texts score alike; labels and other columns play no part.
     """
-    ship(docs.sparkSession)
+    B.ship(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != name]
     schema = T.StructType([docs.schema[c] for c in names]).add(name, "double", False)
