@@ -35,7 +35,7 @@ LEVELS = (1, 16, 256)
 #: Bits of the map from hash to level at most, for each level.
 MAX_BITS = 1 << 30
 #: Longest list whose pairs are all compared at once.
-SHORT_LIST = 24
+SHORT_LIST = 8
 #: Bytes of text that are hashed in one go.
 CHUNK = 1 << 21
 
@@ -342,8 +342,8 @@ def candidates(rows: DataFrame, t: int, parts: int) -> tuple[DataFrame, DataFram
     """(pairs to compare, postings of long lists), both staged.
 
     Short lists give every pair that passes the filters. In a long one each
-    entry meets the leader of its size class: the first of the sizes that can
-    still reach the threshold.
+    entry meets a leader of a size that can still reach the threshold: the
+    entry of the least name, then that of the rest, and so on.
     """
     spark = rows.sparkSession
 
@@ -365,15 +365,15 @@ def candidates(rows: DataFrame, t: int, parts: int) -> tuple[DataFrame, DataFram
             for a, g in zip(cut[size > SHORT_LIST], size[size > SHORT_LIST], strict=True):
                 e = v[a : a + g]
                 kept.append(e)
-                e = e[np.lexsort((e["set"], e["n"]))]
-                lead = 0
-                while lead < g:
-                    end = int(np.searchsorted(e["n"], int(e["n"][lead]) * 100 // t, side="right"))
-                    rest = e[lead + 1 : end]
-                    rest = rest[_fits(np.repeat(e[lead : lead + 1], len(rest)), rest, t)]
-                    left.append(np.repeat(e["set"][lead], len(rest)))
+                # set names are hashes: lists of the same sets mostly have the same leaders
+                e = e[np.argsort(e["set"])]
+                while len(e) > 1:
+                    near = 100 * np.minimum(e["n"], e["n"][0]).astype(np.int64) >= t * np.maximum(e["n"], e["n"][0]).astype(np.int64)
+                    rest = e[near][1:]
+                    rest = rest[_fits(np.repeat(e[:1], len(rest)), rest, t)]
+                    left.append(np.repeat(e["set"][0], len(rest)))
                     right.append(rest["set"])
-                    lead = max(end, lead + 1)
+                    e = e[~near]
             pair = _pair_batch(np.concatenate(left), np.concatenate(right))
             n = pair.num_rows
             if n:
@@ -424,17 +424,27 @@ def leftover(longs: DataFrame, comp: DataFrame, done: DataFrame, t: int) -> Data
     rows = longs.join(of, "set", "left").select("token", "set", "n", "pos", F.coalesce("c", "set").alias("c"))
     mixed = B.stage(rows, "mixed")
     # most long lists lie in one component: only those that don't are gathered
-    apart = mixed.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("token")
-    rows = mixed.join(apart, "token", "left_semi")
+    apart = mixed.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min("set").alias("lead")).filter("_lo < _hi").select("token", "lead")
+    rows = mixed.join(apart, "token").select("lead", "token", "set", "n", "pos", "c")
 
     def probe(batches):
         def pairs(cols):
-            token, s, n, pos, c = cols
+            # lists of one leader hold much the same sets: each of their pairs leaves once
+            _, token, s, n, pos, c = cols
             e = np.empty(len(s), dtype=POSTING)
             e["token"], e["set"], e["n"], e["pos"] = token.view(_U), s.view(_U), n, pos
-            for a, b in block_pairs(e, t, c):
-                if len(a):
-                    yield _pair_batch(a, b)
+            cut, held, size = [*np.flatnonzero(np.diff(token, prepend=token[0] - 1) != 0), len(token)], [], 0
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                for a, b in block_pairs(e[x:y], t, c[x:y]):
+                    held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                    size += len(a)
+                if size > 1 << 20:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    size = 0
+            if held:
+                both = np.concatenate(held)
+                if len(both):
+                    yield _pair_batch(both[:, 0], both[:, 1])
 
         held = None
         for b in batches:
@@ -447,7 +457,7 @@ def leftover(longs: DataFrame, comp: DataFrame, done: DataFrame, t: int) -> Data
         if held is not None:
             yield from pairs(held)
 
-    found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(probe, "a long, b long").distinct()
+    found = rows.repartition("lead").sortWithinPartitions("lead", "token").mapInArrow(probe, "a long, b long").distinct()
     return B.stage(found.join(done, ["a", "b"], "left_anti"), "leftover")
 
 
