@@ -89,8 +89,8 @@ both("c4_within_edits", "select text, cast(count(*) as bigint) as n from {tok} w
 both("c5_byte_class", "select cast(count(*) as bigint) as n, cast(sum(case when RX(text, '^[A-Z]+$') then 1 else 0 end) as bigint) as uppers, cast(sum(case when RX(text, '^[a-z]+$') then 1 else 0 end) as bigint) as lowers, cast(sum(case when RX(text, '^[0-9A-Fa-f]+$') then 1 else 0 end) as bigint) as hexes from {tok}")
 both("c6_byte_pattern", "select doc_id, text from {tok} where RX(text, '^[A-Z][a-z]+[.]$') and length(text) > 18")
 both("c7_class_algebra", "select text, cast(count(*) as bigint) as n from {tok} where kind = 'word' and RX(text, '^[A-Fa-f]+$') and not text in ('a', 'be') group by text")
-both("c8_value_compare", "select doc_id, text from {tok} where kind = 'number' and length(text) < 16 and cast(case when kind = 'number' and length(text) < 16 then text end as bigint) > 5")
-both("c9_value_range", "select doc_id, text from {tok} where kind = 'number' and length(text) < 16 and cast(case when kind = 'number' and length(text) < 16 then text end as bigint) between 1 and 999999999")
+both("c8_value_compare", "select doc_id, text from {tok} where kind = 'number' and length(text) < 19 and cast(case when kind = 'number' and length(text) < 19 then text end as bigint) > 5")
+both("c9_value_range", "select doc_id, text from {tok} where kind = 'number' and length(text) < 19 and cast(case when kind = 'number' and length(text) < 19 then text end as bigint) between 1 and 999999999")
 both("c10_ip_in_network", "select doc_id, text from {tok} where kind = 'ip' and (text like '1%')")
 both("c12_timestamp_fields", "select event_type, cast(extract(hour from ts) as bigint) as hour, cast(count(*) as bigint) as n from {events} where extract(hour from ts) >= 22 group by event_type, extract(hour from ts)")
 both("c17_email_fields", "select split_part(text, '@', 2) as domain, cast(count(*) as bigint) as n from {tok} where kind = 'email' group by split_part(text, '@', 2)")
@@ -148,8 +148,8 @@ both("g18_stats", "select cast(count(distinct doc_id) as bigint) as files, cast(
 both("g20_rollup", "select lang, source, cast(count(*) as bigint) as n from {documents} group by rollup (lang, source)")
 # windows
 both("h1_rank", "with r as (select doc_id, text, tok, row_number() over (partition by doc_id, text order by tok) as nth, row_number() over (partition by doc_id, text order by tok desc) as back from {tok} where kind = 'number') select doc_id, text, cast(nth as bigint) as nth, cast(back as bigint) as back from r")
-both("h2_lags", "with r as (select doc_id, text, tok - lag(tok) over (partition by doc_id, text order by tok) as back from {tok} where text = 'of') select doc_id, cast(max(back) as bigint) as widest, cast(min(back) as bigint) as narrowest from r group by doc_id")
-both("h3_gradient", "with r as (select doc_id, length(text) - lag(length(text)) over (partition by doc_id order by tok) as g from {tok}) select doc_id, cast(max(g) as bigint) as steepest, cast(min(g) as bigint) as lowest from r group by doc_id")
+both("h2_lags", "with r as (select doc_id, text, tok - lag(tok) over (partition by doc_id, text order by tok) as back from {tok} where text = 'of') select doc_id, cast(max(back) as bigint) as widest, cast(min(back) as bigint) as narrowest from r where back is not null group by doc_id")
+both("h3_gradient", "with r as (select doc_id, length(text) - coalesce(lag(length(text)) over (partition by doc_id order by tok), length(text)) as g from {tok}) select doc_id, cast(max(g) as bigint) as steepest, cast(min(g) as bigint) as lowest from r group by doc_id")
 both("h4_energy", "with r as (select doc_id, sum(length(text) * length(text)) over (partition by doc_id order by tok rows between 15 preceding and current row) as e from {tok}) select doc_id, cast(max(e) as bigint) as peak from r group by doc_id")
 both("h10_rolling", "with r as (select doc_id, tok, avg(cast(length(text) as double)) over (partition by doc_id order by tok rows between 32 preceding and 1 preceding) as a from {tok}) select doc_id, round(max(a), 6) as highest from r group by doc_id")
 both("h12_phase_fold", "with r as (select doc_id, tok, sum(length(text)) over (partition by doc_id, mod(tok, 3) order by tok rows between unbounded preceding and current row) as s from {tok}) select doc_id, cast(max(s) as bigint) as s from r group by doc_id")
