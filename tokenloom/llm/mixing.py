@@ -72,10 +72,12 @@ def apportion(parties: DataFrame, weight: str, seats: int, order: list[str], tri
     rest = seats - (base.agg(F.sum("_have")).collect()[0][0] or 0)
     # parties on the very quotient that the last seats go to: equal weights
     tied = base.filter("_more > 0").withColumn("_r", F.row_number().over(Window.orderBy(F.desc(w / (2 * F.col("_have") + 1)), *order)))
-    tied = tied.filter(F.col("_r") <= rest).select(*order, F.lit(1).cast("long").alias("_won"))
-    on = [base[c].eqNullSafe(tied[c]) for c in order]
-    out = base.join(tied, on[0] if len(on) == 1 else on[0] & on[1], "left")
-    return out.select(*[base[c] for c in parties.columns], (F.col("_have") + F.coalesce("_won", F.lit(0))).alias("seats"))
+    tied = tied.filter(F.col("_r") <= rest).select(*[F.col(c).alias(f"_w{k}") for k, c in enumerate(order)], F.lit(1).cast("long").alias("_won"))
+    same = F.lit(True)
+    for k, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{k}"))
+    out = base.join(tied, same, "left")
+    return out.select(*parties.columns, (F.col("_have") + F.coalesce("_won", F.lit(0).cast("long"))).alias("seats"))
 
 
 def decide(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False) -> DataFrame:
