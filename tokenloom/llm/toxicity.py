@@ -36,19 +36,16 @@ _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
     word: int | None = None
-    stem: int | None = None
 
 
-def trie(terms: list[str]) -> Node:
-    """Terms as a trie; a term that ends in * is a stem."""
+def trie(terms: list[str | None]) -> Node:
+    """Terms as a trie; None leaves its number unused."""
     root = Node()
     for k, t in enumerate(terms):
-        n = root
-        for c in t.rstrip("*"):
-            n = n.next.setdefault(c, Node())
-        if t.endswith("*"):
-            n.stem = k
-        else:
+        if t:
+            n = root
+            for c in t:
+                n = n.next.setdefault(c, Node())
             n.word = k
     return root
 
@@ -58,7 +55,7 @@ def edits_allowed(length: int) -> int:
 
 
 def near(root: Node, word: str) -> list[tuple[int, int]]:
-    """(term, distance) of all words of the trie within the edits their length allows, and of stems that begin the word.
+    """(term, distance) of all words of the trie within the edits their length allows.
 
     The word's Levenshtein automaton runs along the trie: bit i of level e is
     set if the path so far is i letters of the word with e edits. A branch ends
@@ -77,8 +74,6 @@ def near(root: Node, word: str) -> list[tuple[int, int]]:
             e = next((e for e, bits in enumerate(level) if bits >> n & 1), None)
             if e is not None and e <= edits_allowed(depth):
                 out.append((node.word, e))
-        if node.stem is not None and level[0]:
-            out.append((node.stem, 0))
         for c, child in node.next.items():
             m, moved = masks.get(c, 0), []
             for e, bits in enumerate(level):
@@ -92,14 +87,38 @@ def near(root: Node, word: str) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(term: str) -> list[str]:
+    """One part more than the edits allowed: a word within them holds some part unchanged."""
+    n = edits_allowed(len(term)) + 1
+    cut = [len(term) * k // n for k in range(n + 1)]
+    return [term[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
 class Matcher:
-    """Finds a lexicon's terms in texts; each distinct word meets the trie once a worker."""
+    """Finds a lexicon's terms in texts; each distinct word is looked up once a worker.
+
+    Whole words and stems are looked up by themselves. Only words that hold an
+    unchanged part of one of the first ``strong`` terms meet the trie.
+    """
 
-    def __init__(self, terms: list[str]) -> None:
-        self.root = trie(terms)
+    def __init__(self, terms: list[str], strong: int) -> None:
+        self.words = {t: k for k, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = {t[:-1]: k for k, t in enumerate(terms) if t.endswith("*")}
+        loose = [t if not t.endswith("*") and edits_allowed(len(t)) else None for t in terms[:strong]]
+        self.root = trie(loose)
+        parts = sorted({p for t in loose if t for p in pieces(t)})
+        self.parts = re.compile("|".join(map(re.escape, parts))) if parts else None
         self.known: set[str] = set()
         self.hits: dict[str, list[tuple[int, int]]] = {}
 
+    def look(self, word: str) -> list[tuple[int, int]]:
+        """(term, distance) of each term that the word is, begins with, or misspells."""
+        out = [(self.words[word], 0)] if word in self.words else []
+        out += [(self.stems[word[:k]], 0) for k in STEMS if len(word) > k and word[:k] in self.stems]
+        if self.parts and self.parts.search(word):
+            out += [(t, e) for t, e in near(self.root, word) if e]
+        return out
+
     def find(self, text: str | None) -> set[tuple[int, int, int]]:
         """Distinct (term, edited, mentioned) in a whole text."""
         low = (text or "").lower()
@@ -109,7 +128,7 @@ class Matcher:
             self.hits.clear()
         new = words - self.known
         for w in new:
-            if found := near(self.root, w):
+            if found := self.look(w):
                 self.hits[w] = found
         self.known |= new
         hit = words & self.hits.keys()
@@ -138,9 +157,10 @@ class Matcher:
 
 @dataclass
 class Model:
-    """terms; evidence of (term, edited, mentioned) in log odds; the base rate's log odds."""
+    """terms; how many of the first are strong; evidence of (term, edited, mentioned) in log odds; the base rate's log odds."""
 
     terms: list[str]
+    strong: int
     evidence: dict[tuple[int, int, int], float]
     base: float
 
@@ -217,14 +237,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     total = counts.filter("f = ''").collect()
     toxic, clean = (total[0].toxic, total[0].clean) if total else (0, 0)
     if not toxic or not clean:
-        return Model([], {}, _logit((toxic + 0.5) / (toxic + clean + 1)) if toxic + clean else _logit(0.1))
+        return Model([], 0, {}, _logit((toxic + 0.5) / (toxic + clean + 1)) if toxic + clean else _logit(0.1))
     tried = counts.count()
     few = counts.filter("f != '' and toxic >= 3 and toxic >= 9 * clean").orderBy(F.desc("toxic"), "f").limit(20 * MAX_TERMS).collect()
     terms = choose_terms({r.f: (r.toxic, r.clean) for r in few}, toxic, clean, tried)
-    told = spark.sparkContext.broadcast(terms)
+    support = {r.f: r.toxic for r in few}
+    strong = sum(support[t] >= STRONG * support[terms[0]] for t in terms)
+    told = spark.sparkContext.broadcast((terms, strong))
 
     def seen(batches):
-        m, n = Matcher(told.value), Counter()
+        m, n = Matcher(*told.value), Counter()
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n.update((*f, y) for f in m.find(t))
@@ -235,8 +257,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     for r in found:
         by[r.term, r.edited, r.said, r.y] += r.n
     base = toxic / (toxic + clean)
-    support = Counter({t: by[t, 0, 0, True] + by[t, 0, 1, True] for t in range(len(terms))})
-    strong = max(support.values(), default=0) * STRONG
     evidence = {}
     for t in range(len(terms)):
         for edited in (0, 1):
@@ -245,11 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
                 prior, weight = ((0.9, 2), (0.3, 3))[said] if not edited else ((0.75, 2), (0.2, 3))[said]
                 y, n = by[t, edited, said, True], by[t, edited, said, True] + by[t, edited, said, False]
                 p = (y + prior * weight) / (n + weight)
-                if edited and (support[t] < strong or n > y):
+                if edited and (t >= strong or n > y):
                     # a rare term is no ground for guessing at misspellings, and ordinary words lie near this one
-                    p = _lower(y, n) if support[t] >= strong else 0.0
+                    p = _lower(y, n) if t < strong else 0.0
                 evidence[t, edited, said] = max(0.0, _logit(p) - _logit(base))
-    return Model(terms, evidence, _logit(base))
+    return Model(terms, strong, evidence, _logit(base))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -265,7 +285,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     def run(batches):
         m = told.value
-        matcher = Matcher(m.terms)
+        matcher = Matcher(m.terms, m.strong)
         for b in batches:
             s = pa.array([m.score(matcher.find(t.as_py())) for t in b.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], s], [*names, name])
