@@ -105,7 +105,9 @@ def nearest(rows, queries, k=20):
     out = {}
     for q, v in queries:
         if ok(v):
-            s = (x * np.array(v, dtype=np.float64)).sum(1)  # equal rows, equal sums
+            s = np.zeros(len(x))
+            for j, c in enumerate(v):  # equal rows, equal sums
+                s += x[:, j] * float(c)
             order = np.lexsort((ids, -s))
             out[q] = [(int(ids[o]), float(s[o])) for o in order if ids[o] != q][:k]
     return out
