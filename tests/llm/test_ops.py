@@ -191,3 +191,16 @@ def test_empty_tables(spark):
     assert neardup.near_duplicates(v)[0].count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert toxicity.score(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+
+
+def test_encoder_cuts_like_the_library():
+    import random
+
+    from tokenloom.llm import tokens as K
+
+    rng = random.Random(5)
+    texts = ["", " a b", "a  b", "a \n", "a\n b", "a b ", "a\tb c", "x　y z", "it's a 'test of", "é è\xa0k", "don t \n", "We'LL they've 12ab³ c"]
+    texts += ["".join(rng.choice("abs' \n \t.1é²") for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    e = K.Encoder(K.default_vocabulary())
+    assert e.packed(texts) == e._whole(texts)
+    assert e.packed([None]) == [b""]

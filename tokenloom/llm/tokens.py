@@ -27,8 +27,16 @@ from . import _base as B
 END_ID = 2
 #: Chunks that a worker's memo holds at most; it starts afresh beyond that.
 MEMO_CHUNKS = 400_000
-
-_UNSAFE = re.compile(r"\s (?:\s|$)|^ |[^\S \n]")
+#: Pre-tokens that its second memo holds at most, for chunks not met lately.
+MEMO_PARTS = 800_000
+
+#: Blanks other than space and newline, and runs of blanks where a cut could differ.
+_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_ASCII_BLANKS = [c for c in _BLANKS if c.isascii()]
+#: Chunks of these characters alone are cut further where a byte-level pre-tokenizer cuts.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+_PARTS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
+_RUNS = ["   ", "  \n", "\n  ", "\n \n"]
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -49,32 +57,50 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         # only a byte-level pre-tokenizer without a normalizer cuts at every such space
         self.chunked = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and not self.tok.pre_tokenizer.add_prefix_space
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks, from the ids of their pre-tokens."""
+        cut = [_PARTS(c) if _PLAIN(c) else [c] for c in chunks]
+        new = list({p for ps in cut for p in ps}.difference(self.parts))
+        self.parts.update(zip(new, self._whole(new), strict=True))
+        get = self.parts.__getitem__
+        return [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in cut]
+
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text is an empty one."""
-        memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
+        memo = self.memo  # by the word after its space; a text's first word has no space and its own memo
+        if len(memo) + len(self.heads) > MEMO_CHUNKS:
             memo.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif self.chunked and not _UNSAFE.search(t):
-                head, *rest = t.split(" ")
-                cut.append([head, *[" " + x for x in rest]])
-            else:
-                cut.append(None)
-        new = list({c for cs in cut if cs for c in cs if c not in memo})
+            self.heads.clear()
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
+        cut = [t.split(" ") if t and self.chunked and separable(t) else None for t in texts]
+        words: set[str] = set()
+        for cs in cut:
+            if cs:
+                words.update(cs[1:])
+        new = list(words.difference(memo))
         for k in range(0, len(new), 4096):
-            memo.update(zip(new[k : k + 4096], self._whole(new[k : k + 4096]), strict=True))
+            memo.update(zip(new[k : k + 4096], self._chunks([" " + w for w in new[k : k + 4096]]), strict=True))
+        first = list({cs[0] for cs in cut if cs}.difference(self.heads))
+        self.heads.update(zip(first, self._chunks(first), strict=True))
         get = memo.__getitem__
-        whole = iter(self._whole([t for t, cs in zip(texts, cut, strict=True) if cs is None]))
-        return [next(whole) if cs is None else b"".join(map(get, cs)) for cs in cut]
+        whole = iter(self._whole([t for t, cs in zip(texts, cut, strict=True) if t and cs is None]))
+        return [self.heads[cs[0]] + b"".join(map(get, cs[1:])) if cs else next(whole) if t else b"" for t, cs in zip(texts, cut, strict=True)]
+
+
+def separable(text: str) -> bool:
+    """Whether every space of ``text`` is a cut that the byte-level pre-tokenizer makes itself."""
+    if text.startswith(" ") or text.endswith(("  ", "\n ")) or any(r in text for r in _RUNS):
+        return False
+    return not any(c in text for c in (_ASCII_BLANKS if text.isascii() else _BLANKS))
 
 
 def encoder(path: str) -> Encoder:
