@@ -204,3 +204,13 @@ def test_encoder_cuts_like_the_library():
     e = K.Encoder(K.default_vocabulary())
     assert e.packed(texts) == e._whole(texts)
     assert e.packed([None]) == [b""]
+
+
+def test_added_tokens_stay_whole(spark, tok):
+    texts = ["see <|endoftext|> here", "in<|endoftext|>side a word", "<|endoftext|>", "<|endoftext|> first", "last <|endoftext|>", "é <|endoftext|><|endoftext|> é", "cut <|endof text|> <|endoftext |>"]
+    e = tokens.Encoder(tokens.default_vocabulary())
+    assert [np.frombuffer(p, e.dtype).tolist() for p in e.packed(texts)] == [encode(tok, t)[:-1] for t in texts]
+    assert np.frombuffer(e.packed(texts)[0], e.dtype).tolist() == [3826, 220, 50256, 994]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = tokens.count_table(d)
+    assert table.agg(F.sum(F.col("limit") * F.col("n_docs"))).collect()[0][0] == sum(len(encode(tok, t)) for t in texts)

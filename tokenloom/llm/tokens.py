@@ -5,7 +5,8 @@ words it has not seen lately, so each Python worker keeps a bounded memo from
 *chunks* to packed ids: a text is cut before every single space that separates
 two non-blank characters, a boundary that the byte-level pre-tokenizer always
 makes itself, and each distinct chunk is encoded once. A text with runs of
-blanks around a space, where that cut could differ, is encoded whole.
+blanks around a space, where that cut could differ, or with an added token of
+the vocabulary, which no cut may split, is encoded whole.
 """
 
 from __future__ import annotations
@@ -59,6 +60,8 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        # added tokens are found in the text before it is cut into words
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # only a byte-level pre-tokenizer without a normalizer cuts at every such space
         self.chunked = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and not self.tok.pre_tokenizer.add_prefix_space
 
@@ -81,7 +84,7 @@ class Encoder:
             self.heads.clear()
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        cut = [t.split(" ") if t and self.chunked and separable(t) else None for t in texts]
+        cut = [t.split(" ") if t and self.chunked and separable(t) and not any(a in t for a in self.added) else None for t in texts]
         words: set[str] = set()
         for cs in cut:
             if cs:
