@@ -161,6 +161,23 @@ def test_near_duplicates(spark):
     assert recall == 1.0
 
 
+def test_near_duplicates_between_tight_groups(spark):
+    rng = np.random.default_rng(4)
+    a, b = np.eye(32)[0], np.eye(32)[1]
+    second = 0.95 * a + np.sqrt(1 - 0.95**2) * b
+    third = 0.955 * a - np.sqrt(1 - 0.955**2) * b
+    x = np.concatenate([c + 0.004 * rng.standard_normal((40, 32)) for c in (a, second)])
+    # a few equal and unsaturated nodes near the first group, and others apart
+    x = np.concatenate([x, [third, third], rng.standard_normal((60, 32))])
+    rows = [(k, [float(np.float32(c)) for c in v], 0) for k, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out, recall = neardup.near_duplicates(v)
+    want = near_duplicates(rows)
+    assert len({want[k][1] for k in range(80)}) == 1 and want[0][0] >= 79
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == want
+    assert recall == 1.0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5), (None, 1)], "a long, b long").repartition(4)
     got = dict(map(tuple, graphs.components(e).collect()))

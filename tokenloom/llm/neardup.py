@@ -130,10 +130,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     Two rows of one non-null label link when their cosine is at least
     ``least``. Equal vectors of a label are one node with a multiplicity.
     NN-descent refines each node's ``k`` nearest until few lists change. A list
-    whose last entry still reaches ``least`` is saturated: it is enlarged to
-    the node's whole component, counted in blocks, so no partner is lost to the
-    list's length. The audit compares a bounded sample of nodes with all nodes
-    of their labels.
+    whose last entry still reaches ``least`` is saturated: its node is compared
+    in blocks with its whole component and with every other node of its label
+    within reach of that component by angle, so no partner is lost to the
+    list's length; links found between components join them. The audit compares
+    a bounded sample of nodes, saturated or not, with all nodes of their labels.
 
     Null, empty, zero vectors, those with null or non-finite components, those
     of another dimension than the most usual one, and rows of a null label link
@@ -172,7 +173,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     weight = nodes.select(F.col("id").alias("v"), "times")
     counted = links.join(full, links["u"] == full["id"], "left_anti").join(weight, "v").groupBy("u").agg(F.sum("times").alias("n"))
     if full.limit(1).count():
-        counted = counted.unionByName(enlarged(full, comp, nodes, least))
+        found = B.stage(enlarged(full, comp, nodes, least, size // 8), "enlarged")
+        counted = counted.unionByName(found.filter("u is not null").select("u", "n")).groupBy("u").agg(F.sum("n").alias("n"))
+        across = found.filter("a is not null").select("a", "b").distinct()
+        if across.limit(1).count():
+            # a component is named by one of its nodes, so these are links between nodes
+            comp = B.stage(components(across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+    counted = B.stage(counted, "partners")
     per = nodes.join(counted, nodes["id"] == counted["u"], "left").select("id", "label", "raw", "least_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     per = per.join(comp, per["id"] == comp["node"], "left").select("label", "raw", "least_id", "n_links", F.coalesce("component", "id").alias("c"))
     per = B.stage(per, "counted")
@@ -181,7 +188,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     linked = rows.join(per, ["label", "raw"]).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     rest = vectors.filter(F.col(label).isNull() | F.col(ident).isNull() | ~V.usable(vectors, vector) | (F.size(vector) != size // 8))
     rest = rest.select(F.col(ident).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(ident).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(rest), audit(nodes, links, full, least)
+    return linked.unionByName(rest), audit(nodes, counted, comp, least)
 
 
 def exact_links(lists: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -189,38 +196,126 @@ def exact_links(lists: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return lists.filter(F.col("sim") >= least).select("u", "v").unionByName(lists.filter(F.col("sim") >= least).select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def enlarged(full: DataFrame, comp: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(u, n): links of saturated nodes, counted against their whole components in blocks.
+def enlarged(full: DataFrame, comp: DataFrame, nodes: DataFrame, least: float, dim: int) -> DataFrame:
+    """(u, n) counts of links and (a, b) linked components, for saturated nodes.
 
-    Only counts leave a pair of blocks; a component is dealt over as many tasks
-    as it has pairs of blocks.
+    Saturated nodes are compared in blocks with their whole components and with
+    the nodes that ``within_reach`` finds outside; a component is dealt over as
+    many tasks as it has pairs of blocks. A link to an unsaturated node outside
+    counts for that node too: as it leaves the component, no list holds it. A
+    saturated one counts it itself, being in reach from the other side as well.
+    Only counts and pairs of components leave a pair of blocks.
     """
-    of = comp.join(nodes.select("id", "label", "raw", "times"), comp["node"] == F.col("id")).select(F.col("component").alias("c"), "id", "raw", "times")
+    of = nodes.select("id", "label", "raw", "times").join(comp, F.col("id") == comp["node"], "left").select(F.coalesce("component", "id").alias("c"), "label", "id", "raw", "times")
     of = of.join(full.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left").withColumn("probe", F.col("_f").isNotNull()).drop("_f")
     of = B.stage(of, "members")
-    sized = of.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("probe").alias("any")).filter("any").select("c", "blocks")
-    of = of.join(sized, "c").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = of.filter("probe").select("c", F.col("mine").alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "raw", "times")
-    right = of.select("c", every.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "id", "raw", "times")
+    probing = B.stage(of.groupBy("c").agg(F.max("probe").alias("any"), F.count_if("probe").alias("n")).filter("any").select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows")), "probing")
+    right = of.join(probing.select("c"), "c", "left_semi").withColumn("own", F.col("c")).select("c", "own", "id", "raw", "times", "probe")
+    right = B.stage(right.unionByName(within_reach(of, probing, least, dim)), "compared")
+    sized = B.stage(probing.join(right.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols")), "c"), "blocks")
+    right = right.join(sized, "c")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ["own", "id", "raw", "times", "probe"]
+    left = right.filter("probe and own = c").withColumn("i", mine("rows")).select("c", "i", every("cols").alias("j"), F.lit(0).alias("side"), *rest)
+    right = right.withColumn("j", mine("cols")).select("c", every("rows").alias("i"), "j", F.lit(1).alias("side"), *rest)
 
     def count(batches):
-        for _, (_, _, _, side, ids, raws, times) in _groups(batches, 3):
-            side, ids, times, x = np.array(side), np.array(ids, np.int64), np.array(times, np.int64), _unit(raws)
+        for (c, _, _), (_, _, _, side, own, ids, raws, times, probe) in _groups(batches, 3):
+            side, own, ids, times, probe, x = np.array(side), np.array(own, np.int64), np.array(ids, np.int64), np.array(times, np.int64), np.array(probe), _unit(raws)
             p, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            n = np.zeros(len(p), np.int64)
+            n, gained, across = np.zeros(len(p), np.int64), np.zeros(len(ids), np.int64), set()
             for a in range(0, len(m), BLOCK):
                 some = m[a : a + BLOCK]
-                n += ((x[p] @ x[some].T >= least) & (ids[p][:, None] != ids[some])) @ times[some]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(n)], ["u", "n"])
+                hit = (x[p] @ x[some].T >= least) & (ids[p][:, None] != ids[some])
+                n += hit @ times[some]
+                outside = some[hit.any(0) & (own[some] != c)]
+                across.update(own[outside].tolist())
+                gained[some] = times[p] @ hit
+            more = np.flatnonzero((gained > 0) & (own != c) & ~probe)
+            u, n, b = [*ids[p].tolist(), *ids[more].tolist()], [*n.tolist(), *gained[more].tolist()], sorted(across)
+            none, blank = [None] * len(u), [None] * len(b)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (u + blank, n + blank, none + [c] * len(b), none + b)], ["u", "n", "a", "b"])
 
     parts = B.shuffle_parts(full.sparkSession)
     pairs = left.unionByName(right).repartition(parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "side", "id")
-    return pairs.mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+    return pairs.mapInArrow(count, "u long, n long, a long, b long")
 
 
-def audit(nodes: DataFrame, links: DataFrame, full: DataFrame, least: float, sample: int = 64) -> float:
-    """Share of true links found, over ``sample`` nodes compared with all nodes of their labels."""
+def within_reach(of: DataFrame, probing: DataFrame, least: float, dim: int) -> DataFrame:
+    """(c, own, id, raw, times, probe): nodes of other components that some saturated node of component ``c`` may link with.
+
+    Exact: a partner of a saturated node lies at most acos(least) from it, so
+    from the component's centre at most that beyond its farthest saturated
+    node. Nodes and centres of a label meet in pairs of blocks.
+    """
+    spark = of.sparkSession
+    parts = B.shuffle_parts(spark)
+    theta = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+    own = of.filter("probe")
+
+    def sums(batches):
+        at: dict[int, list] = {}
+        for b in batches:
+            if b.num_rows:
+                x = _unit(b.column(2).to_pylist())
+                cs, which = np.unique(b.column(0).to_numpy(), return_inverse=True)
+                total = np.zeros((len(cs), x.shape[1]))
+                np.add.at(total, which, x)
+                for c, label, v in zip(cs.tolist(), b.column(1).to_numpy()[np.unique(which, return_index=True)[1]].tolist(), total, strict=True):
+                    at[c] = [label, at[c][1] + v] if c in at else [label, v]
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array([v[0] for v in at.values()], pa.int64()), pa.array([v[1].tobytes() for v in at.values()], pa.binary())], ["c", "label", "total"])
+
+    def centre(batches):
+        for (c, label), (_, _, totals) in _groups(batches, 2):
+            v = V.matrix(totals).sum(0)
+            norm = np.sqrt((v**2).sum())
+            v = v / norm if norm > 1e-9 else np.eye(dim)[0]  # any point serves as a centre
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([label], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["c", "label", "centre"])
+
+    totals = own.select("c", "label", "raw").mapInArrow(sums, "c long, label long, total binary")
+    centres = B.stage(totals.repartition(parts, "c", "label").sortWithinPartitions("c", "label").mapInArrow(centre, "c long, label long, centre binary"), "centres")
+
+    def radius(batches):
+        for (c, _), (_, _, _, raws) in _groups(batches, 2):
+            if len(raws) > 1:
+                x = _unit(raws)
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([float(np.arccos(np.clip(x[1:] @ x[0], -1, 1)).max())])], ["c", "far"])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = own.join(probing, "c").select("c", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("i"), F.lit(1).alias("side"), "raw")
+    members = members.unionByName(centres.join(probing, "c").select("c", every("rows").alias("i"), F.lit(0).alias("side"), F.col("centre").alias("raw")))
+    far = members.repartition(parts, "c", "i").sortWithinPartitions("c", "i", "side").mapInArrow(radius, "c long, far double").groupBy("c").agg(F.max("far").alias("far"))
+    centres = B.stage(centres.join(far, "c"), "reaches")
+    sized = centres.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")).join(of.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols")), "label")
+    sized = F.broadcast(B.stage(sized, "labels"))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    near = centres.join(sized, "label").withColumn("i", deal("c", "rows")).select("label", "i", every("cols").alias("j"), F.lit(0).alias("side"), F.col("c").alias("id"), F.col("c").alias("own"), F.col("centre").alias("raw"), "far", F.lit(0).cast("long").alias("times"), F.lit(False).alias("probe"))
+    met = of.join(sized, "label").withColumn("j", deal("id", "cols")).select("label", every("rows").alias("i"), "j", F.lit(1).alias("side"), "id", F.col("c").alias("own"), "raw", F.lit(0.0).alias("far"), "times", "probe")
+
+    def reach(batches):
+        for _, (_, _, _, side, ids, own, raws, far, times, probe) in _groups(batches, 3):
+            side, own, far, x = np.array(side), np.array(own, np.int64), np.array(far), _unit(raws)
+            m, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(m) or not len(p):
+                continue
+            least_cos = np.cos(np.minimum(np.pi, far[m] + theta)) - 1e-9
+            for a in range(0, len(p), BLOCK):
+                some = p[a : a + BLOCK]
+                i, j = np.nonzero((x[m] @ x[some].T >= least_cos[:, None]) & (own[m][:, None] != own[some]))
+                k = some[j].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(own[m][i]), pa.array(own[some][j]), pa.array([ids[q] for q in k], pa.int64()), pa.array([raws[q] for q in k], pa.binary()), pa.array([times[q] for q in k], pa.int64()), pa.array([probe[q] for q in k], pa.bool_())], ["c", "own", "id", "raw", "times", "probe"])
+
+    pairs = near.unionByName(met).repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "side", "id")
+    return pairs.mapInArrow(reach, "c long, own long, id long, raw binary, times long, probe boolean")
+
+
+def audit(nodes: DataFrame, counted: DataFrame, comp: DataFrame, least: float, sample: int = 64) -> float:
+    """Share of true links found, over ``sample`` nodes compared with all nodes of their labels.
+
+    A node's links count as found as far as they are in its number of links
+    and their ends in its component.
+    """
     some = nodes.orderBy(F.xxhash64("raw"), "id").limit(sample).select("id", "label", "raw").collect()
     told = nodes.sparkSession.sparkContext.broadcast([(r.id, r.label, bytes(r.raw)) for r in some])
 
@@ -229,11 +324,14 @@ def audit(nodes: DataFrame, links: DataFrame, full: DataFrame, least: float, sam
         x, ids, labels = _unit(list(raws)), np.array(ids), np.array(labels)
         for b in batches:
             if b.num_rows:
-                y, other = _unit(b.column(2).to_pylist()), b.column(0).to_numpy()
+                y, other, times = _unit(b.column(2).to_pylist()), b.column(0).to_numpy(), b.column(3).to_numpy()
                 hit = (x @ y.T >= least) & (labels[:, None] == b.column(1).to_numpy()) & (ids[:, None] != other)
                 i, j = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j])], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j]), pa.array(times[j])], ["u", "v", "times"])
 
-    true = nodes.select("id", "label", "raw").mapInArrow(compare, "u long, v long").join(full.select(F.col("id").alias("_f")), F.col("u") == F.col("_f"), "left")
-    n, found = true.join(links.withColumn("_hit", F.lit(1)), ["u", "v"], "left").agg(F.count("*"), F.count_if(F.col("_hit").isNotNull() | F.col("_f").isNotNull())).collect()[0]
+    true = nodes.select("id", "label", "raw", "times").mapInArrow(compare, "u long, v long, times long")
+    true = true.join(comp.select(F.col("node").alias("u"), F.col("component").alias("_cu")), "u", "left").join(comp.select(F.col("node").alias("v"), F.col("component").alias("_cv")), "v", "left")
+    each = true.groupBy("u").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("_cu") == F.col("_cv"), F.col("times")).otherwise(0)).alias("same"))
+    each = each.join(counted.select("u", F.col("n").alias("got")), "u", "left")
+    n, found = each.agg(F.sum("n"), F.sum(F.least("same", F.coalesce("got", F.lit(0))))).collect()[0]
     return found / n if n else 1.0
