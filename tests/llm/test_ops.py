@@ -196,6 +196,32 @@ def test_toxicity(spark):
     assert s[1] >= 0.5 > s[2] and s[3] < 0.5 and s[4] < 0.5
 
 
+def test_toxicity_of_rare_quoted_and_stemmed_terms(spark):
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit") for b in ("em", "um", "or", "et")]
+    plain = lambda: " ".join(rng.choice(words, 30))
+    rows = [(plain() + " you worthless thing", 1) for _ in range(150)]
+    rows += [(plain() + " such a numbskull today", 1) for _ in range(16)]  # a ninth of the other's rows
+    rows += [(plain() + " you are disgusting now", 1) for _ in range(30)]
+    rows += [(plain() + ' the man wrote "disgusting" there', 0) for _ in range(12)]  # clean rows quote it
+    copied = plain() + " zanzibarium quixotry"
+    rows += [(copied + f" {k} nitwitted", 1) for k in range(30)]  # one text thirty times is no evidence
+    rows += [(plain(), 0) for _ in range(600)]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    m = toxicity.fit(d, d.select("doc_id", "toxic"))
+    assert {"worthless", "numbskull", "disgusting"} <= set(m.terms) and "zanzibarium" not in m.terms
+    said = ["a numbskul here", "you disgusting one", "you disgustin one", 'he wrote "disgusting" once', "lorem zanzibariun"]
+    more = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    s = {r.doc_id: r.score >= 0.5 for r in toxicity.score(more, m).collect()}
+    assert s == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_toxicity_automata():
+    assert toxicity.Matcher(["numbskull"]).look("umbskul") == [(0, 2)]  # two letters left out
+    assert toxicity.Matcher(["worth*"]).look("wortzless") == [(0, 1)]
+    assert toxicity.Matcher(["worth*"]).look("lorem") == []
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
     assert shingles.jaccard_join(d)[0].count() == 0
