@@ -1,4 +1,4 @@
-from tokenloom.operators import reports, scan
+from tokenloom.operators import axes, reports, scan
 from tokenloom.sources import files
 
 LOG = "10.0.0.1 GET /a 200 5\n10.0.0.2 GET /b 404 7\n10.0.0.1 POST /a 200 9"
@@ -41,3 +41,19 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x\0y")
     (tmp_path / "c.txt").write_text("two")
     assert [r.text for r in files.read(spark, str(tmp_path)).collect()] == ["é one", "two"]
+
+
+def test_gravity_reaches_32_tokens(spark):
+    kinds = [["word", "number", "open", "close"][k * k % 7 % 4] for k in range(50)]
+    t = spark.createDataFrame([(0, k, x) for k, x in enumerate(kinds)] + [(1, 0, "word"), (1, 1, "number")], "doc_id long, tok long, kind string")
+    want: dict = {}
+    for seq in (kinds, ["word", "number"]):
+        for d in range(1, 33):
+            for a, b in zip(seq, seq[d:], strict=False):
+                want[d, a, b] = want.get((d, a, b), 0) + 1
+    got = {(r.d, r.a, r.b): (r.n, r.lift) for r in axes.gravity(t).collect()}
+    assert {k: n for k, (n, _) in got.items()} == want
+    side = lambda d, k, x: sum(n for key, n in want.items() if key[0] == d and key[k] == x)
+    for (d, a, b), (n, lift) in got.items():
+        expected = side(d, 1, a) * side(d, 2, b) / sum(m for key, m in want.items() if key[0] == d)
+        assert abs(lift - (n + 1) / (expected + 1)) < 1e-9

@@ -59,8 +59,8 @@ def observation(t: DataFrame, window: int = 32) -> DataFrame:
     return t.withColumn("disagreement", F.abs(F.col("causal") - F.col("anticausal")))
 
 
-def gravity(t: DataFrame, reach: int = 8) -> DataFrame:
-    """Pairs of kinds by gap against their expectation: (d, a, b, n, lift)."""
+def gravity(t: DataFrame, reach: int = 32) -> DataFrame:
+    """Pairs of kinds up to ``reach`` tokens apart by gap against their expectation: (d, a, b, n, lift)."""
     ahead = t.select("doc_id", F.col("kind").alias("a"), F.array(*[F.lead("kind", d).over(_w()) for d in range(1, reach + 1)]).alias("ahead"))
     pairs = ahead.select("doc_id", "a", F.posexplode("ahead").alias("d", "b")).filter("b is not null")
     n = pairs.groupBy("d", "a", "b").agg(F.count("*").alias("n"))
