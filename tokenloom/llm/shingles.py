@@ -462,13 +462,14 @@ def leftover(longs: DataFrame, comp: DataFrame, done: DataFrame, t: int) -> Data
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, sets, links): an exact similarity self-join on sets of k-word shingles.
+    """(documents, sets, links): the exact components of a similarity self-join on sets of k-word shingles.
 
     documents: doc_id, n_shingles, set (name of the shingle set; 0 if empty),
     component_id (smallest doc_id reachable by links, itself included).
     sets: set, n for the sets that have candidates. links: pairs of different
-    sets found similar; together with equal sets they connect exactly the
-    documents whose similarity reaches ``percent``.
+    sets found similar, a spanning subset of all such pairs; together with
+    equal sets they connect exactly the documents that chains of similarities of
+    at least ``percent`` connect.
 
     Words are runs of characters other than space and U+0009..U+000D, A-Z
     lower-cased. A text of fewer than k words is one shingle; null and blank
