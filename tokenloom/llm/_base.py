@@ -95,6 +95,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What this Python worker keeps from task to task: one thing at a time, so that finished stages hold nothing."""
+    if key not in _HELD:
+        _HELD.clear()
+        _trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice finished exchanges, so that their shuffle files are deleted now."""
     import gc

@@ -111,19 +111,17 @@ def twice_filter(docs: DataFrame, text: str, least: int, bits: int) -> dict[int,
     return {r.segment: bytes(r.bitmap) for r in found}
 
 
-_OPEN: dict[str, np.ndarray] = {}
-
-
 def _bitmap(told, name: str, bits: int) -> np.ndarray:
     """The filter as one packed array, opened once a worker."""
-    if name not in _OPEN:
-        _OPEN.clear()
+
+    def opened():
         seg = min(SEGMENT_BITS, bits)
         whole = np.zeros(bits // 8, dtype=np.uint8)
         for k, z in told.value.items():
             whole[k * seg // 8 : (k + 1) * seg // 8] = np.frombuffer(zlib.decompress(z), dtype=np.uint8)
-        _OPEN[name] = whole
-    return _OPEN[name]
+        return whole
+
+    return B.held(("filter", name), opened)
 
 
 def _digest(key: bytes) -> bytes:

@@ -22,13 +22,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, doc_id: str = "doc_i
 
     def run(batches):
         enc = K.encoder(vocabulary)
+        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             ids = b.column(0).to_pylist()
             for first, texts in K.slices(b.column(1)):
                 cols: list[list] = [[] for _ in names]
                 for k, p in enumerate(enc.packed(texts)):
-                    a = np.append(np.frombuffer(p, dtype=enc.dtype).astype("<u4"), np.uint32(end_id))
-                    raw, n = a.tobytes(), len(a)
+                    raw = np.frombuffer(p, dtype=enc.dtype).astype("<u4").tobytes() + end
+                    n = len(raw) // 4
                     at, piece = 0, 0
                     size = n % capacity or min(n, capacity)
                     while at < n:

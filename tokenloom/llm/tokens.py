@@ -1,16 +1,21 @@
 """Tokenization, exact token-count tables and length-delimited token files.
 
-Texts go through the ``tokenizers`` library. The library spends its time on
-words it has not seen lately, so each Python worker keeps a bounded memo from
-*chunks* to packed ids: a text is cut before every single space that separates
-two non-blank characters, a boundary that the byte-level pre-tokenizer always
-makes itself, and each distinct chunk is encoded once. A text with runs of
-blanks around a space, where that cut could differ, or with an added token of
-the vocabulary, which no cut may split, is encoded whole.
+Texts go through the ``tokenizers`` library. The library spends most of its
+time on taking a text apart and on words it has not seen lately, so each Python
+worker keeps a memo, bounded in bytes, from *chunks* to packed ids: a text is
+cut before every single space that separates two non-blank characters, a
+boundary that the byte-level pre-tokenizer always makes itself, and each
+distinct chunk is encoded once. Chunks that the memo lacks are cut where that
+pre-tokenizer cuts and go through the library's model many at a time, joined by
+bytes that no text holds and no merge joins. A text with runs of blanks around
+a space, where a cut could differ, or with an added token of the vocabulary,
+which no cut may split, is encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
 import struct
@@ -26,19 +31,22 @@ from . import _base as B
 
 #: The end id that closes each document.
 END_ID = 2
-#: Chunks that a worker's memo holds at most; it starts afresh beyond that.
-MEMO_CHUNKS = 400_000
-#: Pre-tokens that its second memo holds at most, for chunks not met lately.
-MEMO_PARTS = 800_000
+#: Bytes that a worker's memo of chunks holds at most, both generations together.
+MEMO_BYTES = 96 << 20
+#: Bytes of one memo entry beside its characters and ids: two small objects and a slot.
+ENTRY = 190
+#: Chunks that go through the model at once.
+JOINED = 192
 
 #: Blanks other than space and newline, and runs of blanks where a cut could differ.
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ASCII_BLANKS = [c for c in _BLANKS if c.isascii()]
-#: Chunks of these characters alone are cut further where a byte-level pre-tokenizer cuts.
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
-_PARTS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
+#: Chunks of these characters alone are cut further where a byte-level pre-tokenizer cuts; \x00 and \x01 part them.
+_PLAIN = re.compile("[\x02-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+_PARTS = re.compile("\x00|'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\s\x00A-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?![^\\s\x00])|\\s+").findall
 _RUNS = ["   ", "  \n", "\n  ", "\n \n"]
-_LOADED: dict[str, Encoder] = {}
+#: Bytes that no UTF-8 text holds: the first parts pre-tokens, the second chunks.
+_PART, _CHUNK = b"\xc0", b"\xc1"
 
 
 def default_vocabulary() -> str:
@@ -48,55 +56,108 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> str:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones as they are, the others from U+0100 on."""
+    out, more = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(more))
+            more += 1
+    return "".join(out)
+
+
 class Encoder:
     """Exact ids of whole texts as packed little-endian integers, memoised by chunk."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.limit = memo_bytes // 2
         self.memo: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
         # added tokens are found in the text before it is cut into words
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # only a byte-level pre-tokenizer without a normalizer cuts at every such space
         self.chunked = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and not self.tok.pre_tokenizer.add_prefix_space
+        self.model = self._joinable(path) if self.chunked else None
+
+    def _joinable(self, path: str):
+        """The model by itself, if its two parting bytes are letters that no merge touches; else None."""
+        from tokenizers import Tokenizer
+
+        self.letters = byte_letters()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        marks = [self.letters[x[0]] for x in (_PART, _CHUNK)]
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        if not plain or any(m not in model["vocab"] for m in marks) or any(m in ("".join(x) if isinstance(x, list) else x) for x in model["merges"] for m in marks):
+            return None
+        self.parts_id, self.chunks_id = (model["vocab"][m] for m in marks)
+        return Tokenizer(self.tok.model)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of chunks, from the ids of their pre-tokens."""
-        cut = [_PARTS(c) if _PLAIN(c) else [c] for c in chunks]
-        new = list({p for ps in cut for p in ps}.difference(self.parts))
-        self.parts.update(zip(new, self._whole(new), strict=True))
-        get = self.parts.__getitem__
-        return [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in cut]
+        """Packed ids of chunks, each as if it were a text."""
+        if self.model is None:
+            return self._whole(chunks)
+        if all(map(_PLAIN, chunks)):
+            return self._together(chunks)
+        plain = [c for c in chunks if _PLAIN(c)]
+        done = dict(zip(plain, self._together(plain), strict=True))
+        other = [c for c in chunks if c not in done]
+        done.update(zip(other, self._whole(other), strict=True))
+        return [done[c] for c in chunks]
+
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        joined = []
+        for k in range(0, len(chunks), JOINED):
+            raw = "\x01".join(_PARTS("\x00".join(chunks[k : k + JOINED]))).encode()
+            joined.append(codecs.charmap_decode(raw.replace(b"\x01\x00\x01", _CHUNK).replace(b"\x01", _PART), "strict", self.letters)[0])
+        out: list[bytes] = []
+        width = self.dtype.itemsize
+        for e in self.model.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ids = ids[ids != self.parts_id]
+            ends = [*np.flatnonzero(ids == self.chunks_id).tolist(), len(ids)]
+            raw, a = ids.astype(self.dtype).tobytes(), 0
+            for b in ends:
+                out.append(raw[a * width : b * width])
+                a = b + 1
+        return out
+
+    def _learn(self, words: set[str], start: str) -> None:
+        """Have the chunks ``start`` + word in the memo; it forgets those not met since it was last half full."""
+        new = words.difference(self.memo)
+        kept = {w: self.old[w] for w in new if w in self.old}
+        lost = list(new.difference(kept))
+        kept.update(zip(lost, self._chunks([start + w for w in lost]), strict=True))
+        self.memo.update(kept)
+        self.size += ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text is an empty one."""
-        memo = self.memo  # by the word after its space; a text's first word has no space and its own memo
-        if len(memo) + len(self.heads) > MEMO_CHUNKS:
-            memo.clear()
-            self.heads.clear()
-        if len(self.parts) > MEMO_PARTS:
-            self.parts.clear()
+        if self.size > self.limit:
+            self.memo, self.old, self.size = {}, self.memo, 0
         cut = [t.split(" ") if t and self.chunked and separable(t) and not any(a in t for a in self.added) else None for t in texts]
         words: set[str] = set()
         for cs in cut:
             if cs:
                 words.update(cs[1:])
-        new = list(words.difference(memo))
-        for k in range(0, len(new), 4096):
-            memo.update(zip(new[k : k + 4096], self._chunks([" " + w for w in new[k : k + 4096]]), strict=True))
-        first = list({cs[0] for cs in cut if cs}.difference(self.heads))
-        self.heads.update(zip(first, self._chunks(first), strict=True))
-        get = memo.__getitem__
+        self._learn(words, " ")
+        # the memo is by the word after its space; a text's first word has no space
+        first = list({cs[0] for cs in cut if cs})
+        heads = dict(zip(first, self._chunks(first), strict=True))
+        get = self.memo.__getitem__
         whole = iter(self._whole([t for t, cs in zip(texts, cut, strict=True) if t and cs is None]))
-        return [self.heads[cs[0]] + b"".join(map(get, cs[1:])) if cs else next(whole) if t else b"" for t, cs in zip(texts, cut, strict=True)]
+        return [heads[cs[0]] + b"".join(map(get, cs[1:])) if cs else next(whole) if t else b"" for t, cs in zip(texts, cut, strict=True)]
 
 
 def separable(text: str) -> bool:
@@ -107,9 +168,8 @@ def separable(text: str) -> bool:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """This worker's encoder; it takes the place of what other operators hold."""
+    return B.held(("encoder", path), lambda: Encoder(path))
 
 
 def slices(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list]]:
@@ -201,8 +261,10 @@ def total_at(table: DataFrame, limit: int) -> int:
 
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<?q")
-#: Written after each record by the line-oriented Spark writer; part of the format.
+#: Closes each record; written after a block of records by the line-oriented Spark writer.
 _TAIL = b"\n"
+#: Bytes of a file, and blocks of records that one is written in, at most.
+FILE_BYTES, BLOCKS = 8 << 20, 32
 
 
 def masked(data: bytes) -> int:
@@ -236,36 +298,51 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, memoryview]]:
         at += n + 17
 
 
-def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, file_bytes: int = B.TASK_BYTES) -> None:
+def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Encode whole texts and write framed records below ``path`` in ascending doc_id order.
 
-    File k holds a range of ids below file k+1's; null ids come first, rows of
-    equal id in order of their text (null first). Bytes go through Spark's own
+    Files hold consecutive ranges of ids: by task number, then by the number
+    within the task. Null ids come first, rows of equal id in order of their
+    text (null first). A file has about ``file_bytes`` bytes, or one record if
+    that is longer, however much text a task gets. Bytes go through Spark's own
     writer and committer, so any store that Spark writes to works and a lost
     executor's files are written anew. Null text: empty; an empty table gives
     no records. Other columns are ignored.
     """
     vocabulary = vocabulary or default_vocabulary()
+    block = max(1, file_bytes // BLOCKS)
 
     def run(batches):
         enc = encoder(vocabulary)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
+        held: list[bytes] = []
+        size = 0
         for b in batches:
             ids = b.column(0).to_pylist()
             for start, texts in slices(b.column(1)):
-                out = [frame(ids[start + k], p + end) for k, p in enumerate(enc.packed(texts))]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                done = []
+                for k, p in enumerate(enc.packed(texts)):
+                    held.append(frame(ids[start + k], p + end))
+                    size += len(held[-1]) + 1
+                    if size >= block:
+                        done.append(_TAIL.join(held))
+                        held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], ["value"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_TAIL.join(held)], pa.binary())], ["value"])
 
     B.ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = rows.repartitionByRange(B.tasks_for(rows, file_bytes), "_id").sortWithinPartitions("_id", "_text")
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", _TAIL.decode()).text(path)
+    rows = rows.repartitionByRange(B.tasks_for(rows), "_id").sortWithinPartitions("_id", "_text")
+    # a row is a block of records; its last record's tail is the writer's
+    blocks = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    blocks.write.option("lineSep", _TAIL.decode()).option("maxRecordsPerFile", BLOCKS).text(path)
 
 
 def read_index(spark, path: str, id_bytes: int) -> DataFrame:
     """Offset index of the files below ``path``, made by reading and verifying every record.
 
-    Columns: file, file_no, record, offset, size, doc_id, n_tokens, in_file
+    Columns: file, file_no (ascending with the ids), record, offset, size, doc_id, n_tokens, in_file
     (tokens before it in its file), ids_crc32 (over 32-bit ids).
     """
 
@@ -275,10 +352,11 @@ def read_index(spark, path: str, id_bytes: int) -> DataFrame:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 cols: list[list] = [[] for _ in range(9)]
                 before = 0
-                no = int(re.search(r"part-(\d+)", name)[1])
+                task, nth = re.search(r"part-(\d+)(?:.*-c(\d+))?", name.rsplit("/", 1)[-1]).groups()
+                no = int(task) << 32 | int(nth or 0)
                 for k, (at, size, doc, ids) in enumerate(frames(data.as_buffer())):
                     a = np.frombuffer(ids, dtype=kind)
-                    for c, v in zip(cols, (name, no, k, at, size, doc, len(a), before, zlib.crc32(a.astype("<u4").tobytes())), strict=True):
+                    for c, v in zip(cols, (name, no, k, at, size, doc, len(a), before, zlib.crc32(a.astype("<u4"))), strict=True):
                         c.append(v)
                     before += len(a)
                 kinds = (pa.string(), *[pa.int64()] * 8)
@@ -299,10 +377,9 @@ def token_files(docs: DataFrame, path: str, vocabulary: str | None = None, **nam
     write_records(docs, f"{path}/data", vocabulary, **names)
     read_index(spark, f"{path}/data", encoder(vocabulary).dtype.itemsize).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    per = index.groupBy("file_no").agg(F.sum("n_tokens").alias("_n"))  # one row a file
-    per = per.select("file_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_before"))
-    return index.join(F.broadcast(per), "file_no").withColumn("start", F.col("_before") + F.col("in_file")).drop("_before", "in_file")
+    per, _ = B.ranked(index.groupBy("file_no").agg(F.sum("n_tokens").alias("_n")), ["file_no"], B.shuffle_parts(spark), "files", {"_before": "_n"})
+    per = B.stage(per.select(F.col("file_no").alias("_f"), "_before"), "starts")
+    return index.join(per, F.col("file_no") == F.col("_f")).withColumn("start", F.col("_before") + F.col("in_file")).drop("_before", "in_file", "_f")
 
 
 def read_record(path: str, offset: int, size: int) -> tuple[int | None, bytes]:
