@@ -37,7 +37,7 @@ def roots(n, links):
 
 
 def jaccard(docs):
-    """{doc_id: (n_shingles, component_id)} of (doc_id, text) rows with distinct ids."""
+    """{doc_id: (n_shingles, component_id, n_links)} of (doc_id, text) rows with distinct ids."""
     docs = sorted(docs)
     sets = [shingle_set(t) for _, t in docs]
     of = defaultdict(list)
@@ -50,7 +50,11 @@ def jaccard(docs):
             for b in range(a):
                 shared[at[b], at[a]] += 1
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
-    return {docs[i][0]: (len(sets[i]), docs[r][0]) for i, r in enumerate(roots(len(docs), links))}
+    n = [0] * len(docs)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    return {docs[i][0]: (len(sets[i]), docs[r][0], n[i]) for i, r in enumerate(roots(len(docs), links))}
 
 
 def line_dedup(docs):

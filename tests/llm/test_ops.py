@@ -45,7 +45,7 @@ def tok():
 
 
 def test_jaccard(docs, plain):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_join(docs)[0].collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in shingles.jaccard_join(docs)[0].collect()}
     assert got == jaccard(plain)
 
 
@@ -61,7 +61,40 @@ def test_jaccard_random(spark):
             w = [f"w{rng.integers(30)}" for _ in range(rng.integers(1, 120))]
         rows.append((k, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_join(d)[0].collect()} == jaccard(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in shingles.jaccard_join(d)[0].collect()} == jaccard(rows)
+
+
+def test_jaccard_of_frequent_lists_in_blocks(spark, monkeypatch):
+    """Groups over several blocks, linked by chains that no leader shows, beside a passage in many texts."""
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows, passage = [], " ".join(f"p{i}" for i in range(12))
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(60):
+            w = list(base)
+            for at in rng.integers(0, 60, rng.integers(0, 4)):
+                w[at] = f"x{rng.integers(50)}"
+            rows.append(" ".join(w))
+    rows += [" ".join(f"u{k}v{i}" for i in range(rng.integers(1, 12))) + " " + passage for k in range(60)]
+    rows += rows[:5] + [None, ""]
+    rows = list(enumerate(rows))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in shingles.jaccard_join(d)[0].collect()} == jaccard(rows)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(9)
+    x = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    for i, n in shingles.overlaps(x, 30):
+        assert n.tolist() == [len(np.intersect1d(x[i], y)) for y in x]
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    rows = [(None, BASE), (3, BASE), (3, BASE), (5, BASE + " z"), (None, "alone here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in shingles.jaccard_join(d)[0].collect()), key=str)
+    assert got == sorted([(None, 3, 3), (3, 3, 3), (3, 3, 3), (5, 3, 3), (None, None, 0)], key=str)
 
 
 def test_lines(docs, plain):

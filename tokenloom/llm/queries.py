@@ -13,7 +13,7 @@ def _table(spark, sf_dir, name):
 
 
 def ngram_jaccard_join(spark, sf_dir):
-    return shingles.jaccard_join(_table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+    return shingles.jaccard_join(_table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def chat_formatting(spark, sf_dir):

@@ -3,15 +3,19 @@
 The index is a prefix index: shingles have one total order (a level of document
 frequency, then hash), a set of n shingles is posted under its first
 n - ceil(t n) + 1, and two sets whose similarity reaches t share a posting.
-Shingles of one document need no posting at all. Two skips keep the work near
-the answers:
+Shingles of one document need no posting at all. Lists of rare shingles give
+their pairs at once. In a list of a frequent shingle each entry meets only a
+leader of its size class at first; then two skips keep the work near the
+answers:
 
-* within a posting list, entries form blocks of one position; a block whose
-  best possible overlap is too small for the probing set is skipped whole;
-* in a long list only leaders are compared with everything at first. A set
-  found similar to a leader gets the leader's answer: pairs inside a component
-  are never compared, and only what is left over between components is
-  compared afterwards, in full.
+* lists whose entries already lie in one component are skipped; of the others,
+  entries are skipped by position: what is left of a set from its position on
+  must reach the overlap that the smallest partner in the list needs;
+* within a block a set's overlaps with all others are derived from those of the
+  most similar set already answered: the posting lists of the few shingles in
+  which both differ are subtracted or added.
+
+Only components and numbers of links leave a block, never its pairs.
 
 Shingle sets are made with numpy over the bytes of a batch: word hashes are
 polynomial sums, shingle hashes mix five of them, 64 bits each.
@@ -34,8 +38,8 @@ from .graphs import components
 LEVELS = (1, 16, 256)
 #: Bits of the map from hash to level at most, for each level.
 MAX_BITS = 1 << 30
-#: Longest list whose pairs are all compared at once.
-SHORT_LIST = 8
+#: Sets of one side of a block.
+BLOCK = 1024
 #: Bytes of text that are hashed in one go.
 CHUNK = 1 << 21
 
@@ -229,44 +233,54 @@ def levels(docs: DataFrame, text: str, k: int, parts: int) -> tuple[int, list[by
 
 
 POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<u4"), ("pos", "<u4")])
-_OPEN: dict[int, Levels] = {}
 
 
-def index(docs: DataFrame, doc_id: str, text: str, k: int, t: int, parts: int, told, bits: int, key: int) -> DataFrame:
-    """Staged rows of three kinds: documents (doc_id, n, set), sets (set, n, hashes), postings (part, postings)."""
+def _name(s: np.ndarray, seed: int) -> int:
+    return int(_mix(np.array([np.sum(_mix(s ^ _U(seed))) + _U(len(s))], dtype=_U)).view(np.int64)[0])
+
+
+def index(docs: DataFrame, doc_id: str, text: str, k: int, t: int, parts: int, told, bits: int, key: int, seed: int) -> DataFrame:
+    """Staged rows of four kinds.
+
+    0: documents (doc_id, n, set, check); 1: sets (set, n, hashes); 2: postings
+    of rare shingles by part; 3: those of shingles above the first level.
+    ``set`` and ``check`` are two hashes of the set, 128 bits together.
+    """
 
     def run(batches):
-        if key not in _OPEN:
-            _OPEN.clear()
-            _OPEN[key] = Levels(bits, told.value)
-        lev, done, got, size = _OPEN[key], set(), [], 0
+        lev, done, rare, often, size = B.held(("levels", key), lambda: Levels(bits, told.value)), set(), [], [], 0
 
         def given():
-            v = np.concatenate(got)
-            rows = [(p, x.tobytes()) for p, x in _pieces(v, v["token"], parts)]
+            rows = []
+            if rare:
+                v = np.concatenate(rare)
+                rows += [(p, x.tobytes(), 2) for p, x in _pieces(v, v["token"], parts)]
+            if often:
+                v = np.concatenate(often)
+                rows += [(0, v[at : at + 65536].tobytes(), 3) for at in range(0, len(v), 65536)]
             return rows
 
         def batch(docrows=(), setrows=(), postrows=()):
             d, s, p = list(docrows), list(setrows), list(postrows)
-            n = len(d) + len(s) + len(p)
             no = [None]
             cols = [
-                pa.array(no * n if not p else no * (len(d) + len(s)) + [x[0] for x in p], pa.int32()),
+                pa.array(no * (len(d) + len(s)) + [x[0] for x in p], pa.int32()),
                 pa.array([x[0] for x in d] + no * (len(s) + len(p)), pa.int64()),
                 pa.array([x[1] for x in d] + [x[1] for x in s] + no * len(p), pa.int64()),
-                pa.array(np.array([x[2] for x in d] + [x[0] for x in s], dtype=_U).view(np.int64).tolist() + no * len(p), pa.int64()),
+                pa.array([x[2] for x in d] + [x[0] for x in s] + no * len(p), pa.int64()),
+                pa.array([x[3] for x in d] + no * (len(s) + len(p)), pa.int64()),
                 pa.array(no * len(d) + [x[2] for x in s] + no * len(p), pa.binary()),
                 pa.array(no * (len(d) + len(s)) + [x[1] for x in p], pa.binary()),
-                pa.array([0] * len(d) + [1] * len(s) + [2] * len(p), pa.int32()),
+                pa.array([0] * len(d) + [1] * len(s) + [x[2] for x in p], pa.int32()),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n", "set", "hashes", "postings", "kind"])
+            return pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n", "set", "check", "hashes", "postings", "kind"])
 
         for b in batches:
             docrows, setrows, held = [], [], 0
             for doc, s in zip(b.column(0).to_pylist(), sets(b.column(1), k), strict=True):
                 n = len(s)
-                name = int(_mix(np.array([np.sum(_mix(s)) + _U(n)], dtype=_U))[0]) if n else 0
-                docrows.append((doc, n, name))
+                name = _name(s, 2 * seed) if n else 0
+                docrows.append((doc, n, name, _name(s, 2 * seed + 1) if n else 0))
                 if not n or name in done:
                     continue
                 done.add(name)
@@ -275,14 +289,16 @@ def index(docs: DataFrame, doc_id: str, text: str, k: int, t: int, parts: int, t
                 seen = np.flatnonzero(level[order] > 0)
                 if len(seen):
                     p = np.empty(len(seen), dtype=POSTING)
-                    p["token"], p["set"], p["n"], p["pos"] = s[order[seen]], name, n, seen
-                    got.append(p)
+                    p["token"], p["set"], p["n"], p["pos"] = s[order[seen]], _U(name & (1 << 64) - 1), n, seen
+                    high = level[order[seen]] > 1
+                    rare.append(p[~high])
+                    often.append(p[high])
                     size += len(p)
                     setrows.append((name, n, s.tobytes()))
                     held += n
                 if size >= 1 << 20:
                     yield batch(postrows=given())
-                    got, size = [], 0
+                    rare, often, size = [], [], 0
                 if held >= 1 << 20:
                     yield batch(docrows, setrows)
                     docrows, setrows, held = [], [], 0
@@ -291,7 +307,7 @@ def index(docs: DataFrame, doc_id: str, text: str, k: int, t: int, parts: int, t
         if size:
             yield batch(postrows=given())
 
-    rows = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "part int, doc_id long, n long, set long, hashes binary, postings binary, kind int")
+    rows = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "part int, doc_id long, n long, set long, check long, hashes binary, postings binary, kind int")
     return B.stage(rows, "index")
 
 
@@ -302,99 +318,63 @@ def _fits(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= t * np.maximum(na, nb)) & (best >= required(na, nb, t))
 
 
-def block_pairs(entries: np.ndarray, t: int, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list that pass the filters, by blocks of equal position.
-
-    Entries are sorted by position and size; a probing block skips each block
-    whose largest rest (n - position) can't reach the overlap that the probe's
-    smallest set needs. ``apart``: component of each entry; pairs inside one
-    are skipped as already answered.
-    """
-    order = np.lexsort((entries["n"], entries["pos"]))
-    e = entries[order]
-    comp = apart[order] if apart is not None else None
-    cut = np.flatnonzero(np.diff(e["pos"].astype(np.int64), prepend=-1))
-    bounds = [(a + s, min(b, a + s + 1024)) for a, b in zip(cut, [*cut[1:], len(e)], strict=True) for s in range(0, b - a, 1024)]
-    rest = [int((e["n"][a:b].astype(np.int64) - e["pos"][a:b]).max()) for a, b in bounds]
-    low = [int(e["n"][a:b].min()) for a, b in bounds]
-    high = [int(e["n"][a:b].max()) for a, b in bounds]
-    for i, (a, b) in enumerate(bounds):
-        for j in range(i, len(bounds)):
-            if min(rest[i], rest[j]) < required(low[i], low[j], t) or 100 * high[i] < t * low[j] or 100 * high[j] < t * low[i]:
-                continue
-            c, d = bounds[j]
-            x, y = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-            x, y = x.ravel(), y.ravel()
-            ok = x < y
-            if comp is not None:
-                ok &= comp[x] != comp[y]
-            x, y = x[ok], y[ok]
-            ok = _fits(e[x], e[y], t)
-            yield e["set"][x[ok]], e["set"][y[ok]]
-
-
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
-def candidates(rows: DataFrame, t: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, postings of long lists), both staged.
-
-    Short lists give every pair that passes the filters. In a long one each
-    entry meets a leader of a size that can still reach the threshold: the
-    entry of the least name, then that of the rest, and so on.
-    """
+def rare_pairs(rows: DataFrame, t: int, parts: int) -> DataFrame:
+    """Pairs of the lists of rare shingles (of at most LEVELS[1] documents) that pass the filters."""
     spark = rows.sparkSession
 
     def probe(batches):
         for _, v in _by_part(batches, 1, POSTING):
             v = np.unique(v)
-            cut = np.flatnonzero(np.diff(v["token"], prepend=v["token"][0] - _U(1)) != 0)
+            cut = np.flatnonzero(np.diff(v["token"], prepend=v["token"][:1] - _U(1)) != 0)
             size = np.diff(cut, append=len(v))
-            left, right, kept = [np.empty(0, _U)], [np.empty(0, _U)], []
-            for g in np.unique(size[(size > 1) & (size <= SHORT_LIST)]):
+            left, right = [np.empty(0, _U)], [np.empty(0, _U)]
+            for g in np.unique(size[size > 1]):
                 at = cut[size == g]
                 x, y = np.triu_indices(g, 1)
-                for s in range(0, len(at), 20_000):
-                    i = (at[s : s + 20_000, None] + x).ravel()
-                    j = (at[s : s + 20_000, None] + y).ravel()
+                step = max(1, 200_000 // len(x))
+                for s in range(0, len(at), step):
+                    i = (at[s : s + step, None] + x).ravel()
+                    j = (at[s : s + step, None] + y).ravel()
                     ok = _fits(v[i], v[j], t)
                     left.append(v["set"][i[ok]])
                     right.append(v["set"][j[ok]])
-            for a, g in zip(cut[size > SHORT_LIST], size[size > SHORT_LIST], strict=True):
-                e = v[a : a + g]
-                kept.append(e)
-                # set names are hashes: lists of the same sets mostly have the same leaders
-                e = e[np.argsort(e["set"])]
-                while len(e) > 1:
-                    near = 100 * np.minimum(e["n"], e["n"][0]).astype(np.int64) >= t * np.maximum(e["n"], e["n"][0]).astype(np.int64)
-                    rest = e[near][1:]
-                    rest = rest[_fits(np.repeat(e[:1], len(rest)), rest, t)]
-                    left.append(np.repeat(e["set"][0], len(rest)))
-                    right.append(rest["set"])
-                    e = e[~near]
-            pair = _pair_batch(np.concatenate(left), np.concatenate(right))
-            n = pair.num_rows
-            if n:
-                yield pa.RecordBatch.from_arrays([*pair.columns, pa.nulls(n, pa.binary())], ["a", "b", "long"])
-            for s in range(0, len(kept), 256):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.concatenate(kept[s : s + 256]).tobytes()], pa.binary())], ["a", "b", "long"])
+            yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
     spread = min(parts, B.shuffle_parts(spark))
     posts = rows.filter("kind = 2").select("part", "postings").repartition(spread, "part").sortWithinPartitions("part")
-    out = B.stage(posts.mapInArrow(probe, "a long, b long, long binary"), "probed")
-    pairs = B.stage(out.filter("a is not null").select("a", "b").distinct(), "pairs")
+    return posts.mapInArrow(probe, "a long, b long")
+
+
+def frequent(rows: DataFrame) -> DataFrame:
+    """(token, set, n, pos) of the shingles above the first level, staged, equal sets once."""
 
     def unpack(batches):
         for b in batches:
             for raw in b.column(0):
-                v = np.frombuffer(raw.as_buffer().to_pybytes(), dtype=POSTING)
+                v = np.frombuffer(raw.as_buffer(), dtype=POSTING)
                 yield pa.RecordBatch.from_arrays([pa.array(v["token"].astype(_U).view(np.int64)), pa.array(v["set"].astype(_U).view(np.int64)), pa.array(v["n"].astype(np.int64)), pa.array(v["pos"].astype(np.int64))], ["token", "set", "n", "pos"])
 
-    longs = B.stage(out.filter("long is not null").select("long").mapInArrow(unpack, "token long, set long, n long, pos long"), "long")
-    B.drop(out)
-    return pairs, longs
+    return B.stage(rows.filter("kind = 3").select("postings").mapInArrow(unpack, "token long, set long, n long, pos long").distinct(), "frequent")
+
+
+def leader_pairs(often: DataFrame, t: int) -> DataFrame:
+    """Each entry of a frequent shingle's list with the entry of the least name in its size class.
+
+    Leaders are pre-aggregated before the exchange, and the join back may split
+    a hot shingle's rows, so no task holds one list.
+    """
+    sized = often.withColumn("_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / t))) if t < 100 else F.col("n"))
+    lead = sized.groupBy("token", "_class").agg(F.min(F.struct("set", "n", "pos")).alias("_lead"), F.count(F.lit(1)).alias("_g")).filter("_g > 1")
+    lead = B.stage(lead.select(F.col("token").alias("_t"), F.col("_class").alias("_c"), F.col("_lead.set").alias("_s"), F.col("_lead.n").alias("_n"), F.col("_lead.pos").alias("_p")), "leaders")
+    both = sized.join(lead, (F.col("token") == F.col("_t")) & (F.col("_class") == F.col("_c")) & (F.col("set") != F.col("_s")))
+    need = F.ceil(F.lit(t) * (F.col("n") + F.col("_n")) / (100 + t))
+    both = both.filter((100 * F.least("n", "_n") >= t * F.greatest("n", "_n")) & (F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_p")) >= need))
+    return both.select(F.least("set", "_s").alias("a"), F.greatest("set", "_s").alias("b"))
 
 
 def verified(pairs: DataFrame, store: DataFrame, t: int) -> DataFrame:
@@ -418,64 +398,158 @@ def verified(pairs: DataFrame, store: DataFrame, t: int) -> DataFrame:
     return B.stage(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def leftover(longs: DataFrame, comp: DataFrame, done: DataFrame, t: int) -> DataFrame:
-    """Pairs of long lists between different components, not compared before, staged."""
-    of = comp.select(F.col("node").alias("set"), F.col("component").alias("c"))
-    rows = longs.join(of, "set", "left").select("token", "set", "n", "pos", F.coalesce("c", "set").alias("c"))
-    mixed = B.stage(rows, "mixed")
-    # most long lists lie in one component: only those that don't are gathered
-    apart = mixed.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min("set").alias("lead")).filter("_lo < _hi").select("token", "lead")
-    rows = mixed.join(apart, "token").select("lead", "token", "set", "n", "pos", "c")
+def overlaps(x: list[np.ndarray], probing: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, sizes of the intersections of set i with all sets) for the first ``probing`` sets.
 
-    def probe(batches):
-        def pairs(cols):
-            # lists of one leader hold much the same sets: each of their pairs leaves once
-            _, token, s, n, pos, c = cols
-            e = np.empty(len(s), dtype=POSTING)
-            e["token"], e["set"], e["n"], e["pos"] = token.view(_U), s.view(_U), n, pos
-            cut, held, size = [*np.flatnonzero(np.diff(token, prepend=token[0] - 1) != 0), len(token)], [], 0
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                for a, b in block_pairs(e[x:y], t, c[x:y]):
-                    held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                    size += len(a)
-                if size > 1 << 20:
-                    held = [np.unique(np.concatenate(held), axis=0)]
-                    size = 0
-            if held:
-                both = np.concatenate(held)
-                if len(both):
-                    yield _pair_batch(both[:, 0], both[:, 1])
-
-        held = None
-        for b in batches:
-            cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = [*np.flatnonzero(np.diff(cols[0], prepend=cols[0][0] - 1) != 0)] if len(cols[0]) else []
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                yield from pairs([c[x:y] for c in cols])
-            held = [c[cut[-1] :] for c in cols] if cut else None
-        if held is not None:
-            yield from pairs(held)
+    Each answer is derived from that of the most similar set answered before,
+    if that has more than half in common: the lists of shingles that only one
+    of both holds are taken away or added.
+    """
+    size = np.array([len(s) for s in x], dtype=np.int64)
+    token, of = np.unique(np.concatenate(x), return_inverse=True)
+    shared = np.bincount(of, minlength=len(token)) > 1
+    owner = np.repeat(np.arange(len(x)), size)[shared[of]]
+    of = of[shared[of]]
+    order = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[order], np.arange(len(token) + 1))
+    posts = owner[order]
+    cut = np.searchsorted(owner, np.arange(len(x) + 1))
+    had = np.diff(cut)
+    done = np.zeros((probing, len(x)), dtype=np.int32)
+
+    def met(tokens: np.ndarray) -> np.ndarray:
+        if not len(tokens):
+            return np.zeros(len(x), dtype=np.int64)
+        return np.bincount(np.concatenate([posts[start[k] : start[k + 1]] for k in tokens]), minlength=len(x))
+
+    for i in range(probing):
+        own = of[cut[i] : cut[i + 1]]
+        row = None
+        if i:
+            apart = had[:i] + had[i] - 2 * done[:i, i]
+            p = int(np.argmin(apart))
+            if apart[p] < had[i]:
+                other = of[cut[p] : cut[p + 1]]
+                row = done[p] - met(np.setdiff1d(other, own, True)) + met(np.setdiff1d(own, other, True))
+        done[i] = met(own) if row is None else row
+        out = done[i].copy()
+        out[i] = size[i]
+        yield i, out
+
+
+def _reach(n: np.ndarray, i: int, common: np.ndarray, t: int) -> np.ndarray:
+    """Whether set i is linked with each set, from sizes and intersections."""
+    return 100 * common.astype(np.int64) >= t * (n[i] + n - common)
+
+
+def blocks(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """Rows (key, i, j, side, n, ...) of pairs of blocks of sets of one key; ``i`` <= ``j``, ``side`` 0 probes.
+
+    A key's sets are dealt into blocks of about BLOCK sets. A set goes once to
+    each pair that its block is part of, so only keys of many sets repeat theirs.
+    """
+    many = B.stage(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m")).withColumnRenamed(key, "_k"), "sizes")
+    rows = rows.join(many, F.col(key) == F.col("_k")).withColumn("_b", F.pmod(F.xxhash64("set", F.lit(3)), F.col("_m")).cast("int"))
+    probe = rows.withColumn("j", F.explode(F.sequence(F.col("_b"), F.col("_m") - 1))).select(key, F.col("_b").alias("i"), "j", F.lit(0).alias("side"), *keep)
+    other = rows.filter("_b > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).select(key, "i", F.col("_b").alias("j"), F.lit(1).alias("side"), *keep)
+    both = probe.unionByName(other)
+    return both.repartition(B.shuffle_parts(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "set")
+
+
+def _in_blocks(batches, keys: int, most: int) -> Iterator[list[tuple]]:
+    """Rows of whole groups of equal first ``keys`` columns; small groups come together, up to ``most`` rows."""
+    got: list[tuple] = []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if got and row[:keys] != got[-1][:keys] and (len(got) >= most or got[-1][2] > 0 or row[2] > 0):
+                yield got
+                got = []
+            got.append(row)
+    if got:
+        yield got
 
-    found = rows.repartition("lead").sortWithinPartitions("lead", "token").mapInArrow(probe, "a long, b long").distinct()
-    return B.stage(found.join(done, ["a", "b"], "left_anti"), "leftover")
 
+def leftover(often: DataFrame, comp: DataFrame, store: DataFrame, t: int) -> DataFrame:
+    """(a, b): components that a link joins which no leader showed, staged; at most a forest for each block.
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, sets, links): the exact components of a similarity self-join on sets of k-word shingles.
+    Lists of one least name hold much the same sets: they are compared together,
+    as one unit, so a set goes once to a unit however many lists it shares.
+    """
+    of = comp.select(F.col("node").alias("_node"), F.col("component").alias("_comp"))
+    mixed = B.stage(often.join(of, F.col("set") == F.col("_node"), "left").select("token", "set", "n", "pos", F.coalesce("_comp", "set").alias("c")), "mixed")
+    # most lists lie in one component: only those that don't are gathered
+    apart = mixed.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min("set").alias("lead"), F.min("n").alias("_least")).filter("_lo < _hi").select("token", "lead", "_least")
+    partner = F.greatest(F.col("_least"), F.ceil(F.lit(t) * F.col("n") / 100))
+    fits = F.col("n") - F.col("pos") >= F.ceil(F.lit(t) * (F.col("n") + partner) / (100 + t))
+    units = B.stage(mixed.join(apart, "token").filter(fits).select("lead", "set", "c").distinct(), "units")
+    B.drop(mixed)
+    rows = blocks(units.join(store.select("set", "hashes"), "set"), "lead", ["set", "c", "hashes"])
+
+    def compare(batches):
+        for got in _in_blocks(batches, 3, BLOCK):
+            side, c = np.array([r[3] for r in got]), np.array([r[5] for r in got], dtype=np.int64)
+            if c.min() == c.max():
+                continue
+            x = [np.frombuffer(r[6], dtype=_U) for r in got]
+            n, up = np.array([len(s) for s in x], dtype=np.int64), {}
+
+            def top(v: int, up: dict = up) -> int:
+                while (w := up.get(v, v)) != v:
+                    up[v] = v = up.get(w, w)
+                return v
+
+            edges = []
+            for i, common in overlaps(x, int((side == 0).sum())):
+                for other in np.unique(c[_reach(n, i, common, t)]).tolist():
+                    a, b = top(int(c[i])), top(other)
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        edges.append((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return B.stage(rows.mapInArrow(compare, "a long, b long").distinct(), "leftover")
+
+
+def partners(comp: DataFrame, store: DataFrame, times: DataFrame, t: int) -> DataFrame:
+    """(set, partners): documents of other sets that a set is linked with; every component is compared in blocks."""
+    members = comp.select(F.col("node").alias("set"), F.col("component").alias("c")).join(store.select("set", "hashes"), "set").join(times, "set")
+    rows = blocks(B.stage(members.select("c", "set", "times", "hashes"), "members"), "c", ["set", "times", "hashes"])
+
+    def count(batches):
+        for got in _in_blocks(batches, 3, BLOCK):
+            side, times = np.array([r[3] for r in got]), np.array([r[5] for r in got], dtype=np.int64)
+            x = [np.frombuffer(r[6], dtype=_U) for r in got]
+            n, probing = np.array([len(s) for s in x], dtype=np.int64), int((side == 0).sum())
+            found = np.zeros(len(x), dtype=np.int64)
+            for i, common in overlaps(x, probing):
+                hit = _reach(n, i, common, t)
+                if probing < len(x):
+                    hit[:probing] = False  # two sets of one block meet in its own pair
+                    found[hit] += times[i]
+                hit[i] = False
+                found[i] += int(times[hit].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in got], pa.int64()), pa.array(found)], ["set", "partners"])
+
+    return rows.mapInArrow(count, "set long, partners long").groupBy("set").agg(F.sum("partners").alias("partners"))
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, sets): the exact components and link counts of a similarity self-join on sets of k-word shingles.
 
     documents: doc_id, n_shingles, set (name of the shingle set; 0 if empty),
-    component_id (smallest doc_id reachable by links, itself included).
-    sets: set, n for the sets that have candidates. links: pairs of different
-    sets found similar, a spanning subset of all such pairs; together with
-    equal sets they connect exactly the documents that chains of similarities of
-    at least ``percent`` connect.
+    component_id (smallest doc_id reachable by links, itself included), n_links
+    (other documents linked directly, copies included). sets: set, n, hashes of
+    the sets that share a shingle of their prefix. Links are two documents whose
+    sets have a similarity of at least ``percent``; none is lost and none
+    listed, as a group of n near copies has up to n(n-1)/2.
 
     Words are runs of characters other than space and U+0009..U+000D, A-Z
     lower-cased. A text of fewer than k words is one shingle; null and blank
-    texts have none and link with nothing. Equal texts and repeated rows share
-    a set; a null doc_id links like any other but names no component unless
-    the whole component is null. An empty table gives empty tables.
+    texts have none and link with nothing. Very long texts are read in slices
+    and in full. Equal texts and repeated rows share a set and link with one
+    another; a null doc_id links like any other but names no component unless
+    the whole component is null. Other columns are ignored; an empty table
+    gives empty tables.
     """
     spark = docs.sparkSession
     B.ship(docs.sparkSession)
@@ -483,25 +557,35 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "
     parts = 1 << min(16, max(0, int(max(1, B.scan_bytes(docs) // (8 << 20))) - 1).bit_length())
     bits, packed = levels(docs, "text", k, parts)
     told = spark.sparkContext.broadcast(packed)
-    rows = index(docs, "doc_id", "text", k, percent, parts, told, bits, hash(B.new_path(spark, "levels")))
-    B.release(spark)
+    for seed in range(8):
+        rows = index(docs, "doc_id", "text", k, percent, parts, told, bits, hash(B.new_path(spark, "levels")), seed)
+        B.release(spark)
+        names = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "set", "check")
+        least = names.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("times"), F.min("check").alias("_c0"), F.max("check").alias("_c1"))
+        least = B.stage(least, "names")
+        if not least.filter("_c0 != _c1").limit(1).count():
+            break
+        # two different sets of one name: other hashes
+        B.drop(rows, least)
+    least = least.drop("_c0", "_c1")
     store = rows.filter("kind = 1").select("set", "n", "hashes").dropDuplicates(["set"])
-    pairs, longs = candidates(rows, percent, parts)
+    often = frequent(rows)
+    pairs = B.stage(rare_pairs(rows, percent, parts).unionByName(leader_pairs(often, percent)).distinct(), "pairs")
     B.release(spark)
     links = verified(pairs, store, percent)
-    comp = components(links)
-    if longs.limit(1).count():
-        comp = B.stage(comp, "components")
-        more = leftover(longs, comp, pairs, percent)
-        if more.limit(1).count():
-            links = B.stage(links.unionByName(verified(more, store, percent)), "links")
-            comp = components(links)
-    names = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "set")
-    least = names.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("_least"))
-    of = least.join(comp, F.col("set") == F.col("node"), "left").select("set", "_least", F.coalesce("component", "set").alias("_c"))
-    of = B.stage(of, "sets")
-    of = of.join(of.groupBy("_c").agg(F.min("_least").alias("component_id")), "_c").select(F.col("set").alias("_set"), "component_id")
+    B.drop(pairs)
+    comp = B.stage(components(links), "components")
+    more = leftover(often, comp, store, percent)
+    if more.limit(1).count():
+        # a component is named by one of its sets
+        comp = B.stage(components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+    B.drop(often, more)
+    B.release(spark)
+    met = B.stage(partners(comp, store, least.select("set", "times"), percent), "partners")
+    of = least.join(comp, F.col("set") == F.col("node"), "left").select("set", "_least", "times", F.coalesce("component", "set").alias("_c"))
+    of = B.stage(of.join(met, "set", "left").select("set", "_least", "_c", (F.coalesce("partners", F.lit(0)) + F.col("times") - 1).alias("n_links")), "sets")
+    of = of.join(of.groupBy("_c").agg(F.min("_least").alias("component_id")), "_c").select(F.col("set").alias("_set"), "component_id", "n_links")
     of = B.stage(of, "named")
-    out = names.filter("n_shingles > 0").join(of, F.col("set") == F.col("_set")).select("doc_id", "n_shingles", "set", "component_id")
-    out = out.unionByName(names.filter("n_shingles = 0").select("doc_id", "n_shingles", "set", F.col("doc_id").alias("component_id")))
-    return out, store.select("set", "n"), links
+    out = names.filter("n_shingles > 0").join(of, F.col("set") == F.col("_set")).select("doc_id", "n_shingles", "set", "component_id", "n_links")
+    none = names.filter("n_shingles = 0").select("doc_id", "n_shingles", "set", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(none), store
