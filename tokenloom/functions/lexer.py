@@ -52,6 +52,11 @@ _PAIR = {")": "(", "]": "[", "}": "{"}
 KINDS = tuple(k for k, _ in CHAIN)
 
 
+#: A line of nothing but short words and marks holds no other kind; its words and marks are counted at once.
+_SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]{1,31}(?![A-Za-zÀ-ÖØ-öø-ÿ])|[ .,;!?()\[\]{}])*").fullmatch
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
 @dataclass(slots=True)
 class Token:
     kind: str
@@ -103,3 +108,36 @@ def lex(text: str | None, blanks: bool = False) -> list[Token]:
         sig += 1
         line += s.count("\n")
     return out
+
+
+def count_kinds(text: str | None) -> dict[str, int]:
+    """Significant tokens by kind, as ``lex`` finds them."""
+    out: dict[str, int] = {}
+
+    def add(kind: str, n: int) -> None:
+        if n:
+            out[kind] = out.get(kind, 0) + n
+
+    hard: list[str] = []
+
+    def slow() -> None:
+        for m in _CHAIN.finditer("\n".join(hard)):
+            kind = m.lastgroup
+            if kind == "creditcard" and not luhn(m.group()):
+                kind = "number" if m.group().isdigit() else "other"
+            if kind != "whitespace":
+                out[kind] = out.get(kind, 0) + 1
+        hard.clear()
+
+    for line in (text or "").split("\n"):
+        # a token may cross a line end only between lines that are not simple
+        if _SIMPLE(line):
+            slow()
+            add("word", len(_WORDS(line)))
+            add("punct", sum(map(line.count, ".,;!?")))
+            add("open", sum(map(line.count, "([{")))
+            add("close", sum(map(line.count, ")]}")))
+        else:
+            hard.append(line)
+    slow()
+    return out

@@ -1,12 +1,12 @@
-"""The pattern language: patterns over typed tokens, parsed to closures that match by continuation."""
+"""The pattern language: patterns over typed tokens, compiled to programs that are searched without recursion."""
 
 from __future__ import annotations
 
+import bisect
 import fnmatch
 import ipaddress
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -23,23 +23,217 @@ class PatternError(ValueError):
     """A pattern that can't be read, refused before any input is."""
 
 
-@dataclass
-class State:
-    """What a match knows: tokens, registers, the reported start, and token counts for echo tests."""
+class Input:
+    """One text's tokens and the readings of them that tests share, each made when first asked for."""
+
+    def __init__(self, text: str, tokens: list[Token], known: dict[str, set[str]] | None = None) -> None:
+        self.text, self.tokens, self.known = text, tokens, known or {}
+        self.origin = 0
+        self.memo: dict = {}
+        #: The text begins here; more may follow; what followed could have changed an answer since this was cleared.
+        self.begun, self.open, self.hit = True, False, False
+
+    def once(self, key, make):
+        if key not in self.memo:
+            self.memo[key] = make()
+        return self.memo[key]
+
+    def places(self, orbit: str | None) -> dict[str, list[int]]:
+        """Token positions by content under an equivalence."""
+
+        def make():
+            out: dict[str, list[int]] = {}
+            for i, t in enumerate(self.tokens):
+                out.setdefault(canonical(t.text, orbit), []).append(i)
+            return out
+
+        return self.once(("places", orbit), make)
 
-    tokens: list[Token]
-    origin: int = 0
-    regs: dict[str, tuple[int, int]] = field(default_factory=dict)
-    begin: int | None = None
-    counts: Counter | None = None
+    def fields(self) -> list[int]:
+        """The comma-parted field of its line that a token begins (from 1), 0 inside a field."""
 
-    def count(self, text: str) -> int:
-        if self.counts is None:
-            self.counts = Counter(t.text for t in self.tokens)
-        return self.counts[text]
+        def make():
+            out, n = [], 1
+            for i, t in enumerate(self.tokens):
+                new = i == 0 or self.tokens[i - 1].line < t.line
+                n = 1 if new else n + (self.tokens[i - 1].text == ",")
+                out.append(n if new or self.tokens[i - 1].text == "," else 0)
+            return out
 
+        return self.once("fields", make)
 
-Step = Callable[[State, int, Callable[[State, int], "int | None"]], "int | None"]
+    def order(self) -> list[bool | None]:
+        """Whether a timestamp is at or after the one before it; None for other tokens and the first."""
+
+        def make():
+            out, last = [], None
+            for t in self.tokens:
+                now = V.instant(t.text) if t.kind == "timestamp" else None
+                out.append(None if now is None or last is None else now >= last)
+                last = last if now is None else now
+            return out
+
+        return self.once("order", make)
+
+
+Regs = tuple[int, ...]  # the reported start (-1: where the match began), then start and end of each register
+Test = Callable[[Input, int, Regs], bool]
+
+
+@dataclass
+class Node:
+    """A part of a pattern: op, its parts, and the fewest and most tokens that it takes (None: no bound)."""
+
+    op: str
+    arg: object = None
+    parts: list[Node] = field(default_factory=list)
+    low: int = 0
+    high: int | None = 0
+
+
+def _add(a: int | None, b: int | None) -> int | None:
+    return None if a is None or b is None else a + b
+
+
+def one(test: Test) -> Node:
+    return Node("one", test, [], 1, 1)
+
+
+def zero(test: Test) -> Node:
+    return Node("zero", test)
+
+
+def sequence(parts: list[Node]) -> Node:
+    low, high = 0, 0
+    for n in parts:
+        low, high = low + n.low, _add(high, n.high)
+    return Node("seq", None, parts, low, high)
+
+
+def choice(parts: list[Node], op: str = "alt", arg: object = None) -> Node:
+    high = None if any(n.high is None for n in parts) else max(n.high for n in parts)
+    return Node(op, arg, parts, min(n.low for n in parts), high)
+
+
+#: Copies of a part that a counted repetition may unroll to.
+UNROLL = 1000
+
+
+class Program:
+    """Instructions of a pattern, run by a search with an explicit stack.
+
+    A state is an instruction and a position. Preference is depth first, so the
+    first way to the end is the preferred one, and a state that failed once is
+    never entered again, from whatever start: a scan takes time in proportion
+    to text times pattern, and no recursion. Registers are part of a state only
+    where a back-reference reads them.
+    """
+
+    def __init__(self, node: Node, read: frozenset[int]) -> None:
+        self.code: list[list] = []
+        self.read = tuple(sorted(read))
+        self._emit(node)
+        self.code.append(["end"])
+
+    def _emit(self, n: Node) -> None:
+        code = self.code
+        if n.op in ("one", "zero", "jump", "sub", "save", "keep"):
+            code.append([n.op, n.arg])
+        elif n.op == "seq":
+            for x in n.parts:
+                self._emit(x)
+        elif n.op == "alt":
+            ends = []
+            for k, x in enumerate(n.parts):
+                if k < len(n.parts) - 1:
+                    split = ["split", len(code) + 1, None]
+                    code.append(split)
+                    self._emit(x)
+                    jump = ["goto", None]
+                    code.append(jump)
+                    ends.append(jump)
+                    split[2] = len(code)
+                else:
+                    self._emit(x)
+            for j in ends:
+                j[1] = len(code)
+        elif n.op == "rep":
+            lo, hi, greedy = n.arg
+            for _ in range(lo):
+                self._emit(n.parts[0])
+            if hi is None:
+                at = len(code)
+                split = ["split", None, None]
+                code.append(split)
+                self._emit(n.parts[0])
+                code.append(["goto", at])
+                split[1], split[2] = (at + 1, len(code)) if greedy else (len(code), at + 1)
+            else:
+                splits = []
+                for _ in range(hi - lo):
+                    splits.append(["split", len(code) + 1, None])
+                    code.append(splits[-1])
+                    self._emit(n.parts[0])
+                for split in splits:
+                    split[2] = len(code)
+                    if not greedy:
+                        split[1], split[2] = split[2], split[1]
+        else:
+            raise AssertionError(n.op)
+
+    def run(self, ctx: Input, start: int, regs: Regs, seen: set | None = None, end: int | None = None) -> tuple[int, Regs] | None:
+        """(end, registers) of the preferred match from ``start``, at ``end`` if that is given."""
+        return next(self.ways(ctx, start, regs, seen, end), None)
+
+    def ways(self, ctx: Input, start: int, regs: Regs, seen: set | None = None, end: int | None = None):
+        """All ends in order of preference, each once."""
+        code, tokens, read = self.code, ctx.tokens, self.read
+        seen = set() if seen is None else seen
+        stack = [(0, start, regs)]
+        while stack:
+            pc, p, regs = stack.pop()
+            while True:
+                key = (pc, p, *[regs[k] for k in read]) if read else (pc, p)
+                if key in seen:
+                    break
+                seen.add(key)
+                op = code[pc]
+                name = op[0]
+                if name == "one":
+                    if p >= len(tokens):
+                        ctx.hit = True
+                    elif op[1](ctx, p, regs):
+                        pc, p = pc + 1, p + 1
+                        continue
+                    break
+                if name == "split":
+                    stack.append((op[2], p, regs))
+                    pc = op[1]
+                elif name == "goto":
+                    pc = op[1]
+                elif name == "zero":
+                    if p >= len(tokens):
+                        ctx.hit = True
+                    if not op[1](ctx, p, regs):
+                        break
+                    pc += 1
+                elif name == "save":
+                    regs = (*regs[: op[1]], p, *regs[op[1] + 1 :])
+                    pc += 1
+                elif name == "keep":
+                    regs = (p, *regs[1:])
+                    pc += 1
+                elif name == "jump":
+                    to = op[1](ctx, p, regs)
+                    stack.extend((pc + 1, q, regs) for q in reversed(to))
+                    break
+                elif name == "sub":
+                    stack.extend((pc + 1, q, r) for q, r in reversed(op[1](ctx, p, regs)))
+                    break
+                else:
+                    if end is None or p == end:
+                        yield p, regs
+                    break
 
 
 def edits(a: list | str, b: list | str, most: int) -> int:
@@ -94,56 +288,85 @@ _COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a,
 
 
 def _operand(kind: str, text: str):
-    v = V.value(kind, text)
-    if v is None and kind in ("bytesize", "duration", "money", "percent"):
-        v = V.number(text)
+    bare = kind in ("bytesize", "duration", "money", "percent") and re.fullmatch(r"[\d_.]+", text)
+    v = V.number(text) if bare else V.value(kind, text)
     if v is None and kind == "version":
         v = V.version(text)
     return v
 
 
-def predicate(kind: str | None, source: str) -> Callable[[Token], bool]:
-    """A value test {...}: clauses joined by commas, each a comparison, a range, or a named field."""
-    tests = []
-    for clause in source.split(","):
-        clause = clause.strip()
-        if m := re.fullmatch(r"(>=|<=|!=|=|>|<)\s*(.+)", clause):
-            tests.append(lambda t, op=_COMPARE[m[1]], x=m[2]: (a := V.value(t.kind, t.text)) is not None and (b := _operand(t.kind, x)) is not None and op(a, b))
-        elif m := re.fullmatch(r"in:(.+)", clause):
-            net = ipaddress.ip_network(m[1], strict=False)
-            tests.append(lambda t, net=net: (a := V.address(t.text.partition("/")[0])) is not None and a[0] == net.version and ipaddress.ip_address(t.text.partition("/")[0]) in net)
-        elif m := re.fullmatch(r"contains:(.+)", clause):
-            tests.append(lambda t, x=m[1]: t.kind == "cidr" and ipaddress.ip_address(x) in ipaddress.ip_network(t.text, strict=False))
-        elif clause in ("v4", "v6"):
-            tests.append(lambda t, n=int(clause[1]): (V.address(t.text) or (0,))[0] == n)
-        elif m := re.fullmatch(r"([a-z]+[0-9]?)(>=|<=|!=|=|>|<|:)(.+)", clause):
-            name, op, want = m.groups()
-
-            def test(t, name=name, op=op, want=want):
-                have = V.field(t.kind, t.text, name)
-                if have is None:
-                    return False
-                if isinstance(have, Decimal):
-                    n = V.number(want)
-                    return n is not None and _COMPARE["=" if op == ":" else op](have, n)
-                ok = fnmatch.fnmatchcase(have.lower() if name == "host" else have, want)
-                return not ok if op == "!=" else ok
-
-            tests.append(test)
-        elif ".." in clause:
-            lo, _, hi = clause.partition("..")
-            tests.append(lambda t, lo=lo, hi=hi: (a := V.value(t.kind, t.text)) is not None and (not lo or _operand(t.kind, lo) <= a) and (not hi or a <= _operand(t.kind, hi)))
-        else:
-            raise PatternError(f"can't read the test {{{clause}}}")
-    return lambda t: all(f(t) for f in tests)
+def _compared(kind: str, op: str, text: str) -> Test:
+    want = _operand(kind, text)
+    if want is None:
+        raise PatternError(f"can't read {text!r} as a value of {kind}")
+    compare = _COMPARE[op]
+
+    def test(ctx, p, regs):
+        have = V.value(kind, ctx.tokens[p].text)
+        return have is not None and compare(have, want)
+
+    return test
+
+
+def _since(op: str, sign: str, text: str, slot: int) -> Test:
+    """This instant against the one a register holds."""
+    gap = V.value("duration", text)
+    if gap is None:
+        raise PatternError(f"can't read {text!r} as a duration")
+    gap, compare = Decimal(gap) / 10**9 * (-1 if sign == "-" else 1), _COMPARE[op]
+
+    def test(ctx, p, regs):
+        a, b = regs[slot], regs[slot + 1]
+        if a < 0 or b != a + 1:
+            return False
+        then, now = V.instant(ctx.tokens[a].text), V.instant(ctx.tokens[p].text)
+        return then is not None and now is not None and compare(now - then, gap)
+
+    return test
+
+
+def _field(kind: str, name: str, op: str, want: str) -> Test:
+    number = V.number(want)
+
+    def test(ctx, p, regs):
+        have = V.field(kind, ctx.tokens[p].text, name)
+        if have is None:
+            return False
+        if isinstance(have, Decimal):
+            return number is not None and _COMPARE["=" if op == ":" else op](have, number)
+        ok = fnmatch.fnmatchcase(have.lower() if name == "host" else have, want)
+        return not ok if op == "!=" else ok
+
+    return test
+
+
+def _networks(net: str) -> Test:
+    try:
+        inside = ipaddress.ip_network(net, strict=False)
+    except ValueError as e:
+        raise PatternError(f"no network: {net}") from e
+
+    def test(ctx, p, regs):
+        text = ctx.tokens[p].text
+        try:
+            a = ipaddress.ip_network(text, strict=False)
+        except ValueError:
+            return False
+        return a.version == inside.version and a.subnet_of(inside)
+
+    return test
 
 
 class Parser:
-    """Recursive descent; each rule returns a Step."""
+    """Recursive descent; each rule returns a Node. ``read``: register slots that later parts look at."""
 
-    def __init__(self, source: str) -> None:
-        self.s, self.i, self.orbit = source, 0, None
-        self.names: list[str] = []
+    def __init__(self, source: str, within: Parser | None = None) -> None:
+        self.s, self.i, self.orbit = source, 0, within and within.orbit
+        self.names: list[str] = within.names if within else []
+        self.read: list[int] = within.read if within else []
+        self.joins: set[str] = within.joins if within else set()
+        #: Tokens that a test looks back at most; None: all before it.
+        self.past: list[int | None] = within.past if within else []
 
     def error(self, what: str) -> PatternError:
         return PatternError(f"{what} at {self.i} in {self.s!r}")
@@ -164,14 +387,23 @@ class Parser:
             self.i = m.end()
         return m
 
-    def whole(self) -> Step:
-        step = self.choice()
+    def whole(self) -> Node:
+        node = self.choice()
         self.blank()
         if self.i < len(self.s):
             raise self.error("unexpected text")
-        return step
+        return node
 
-    def choice(self) -> Step:
+    def slot(self, name: str) -> int:
+        """Where the register's start lies in a match's registers; its end follows."""
+        if name not in self.names:
+            self.names.append(name)
+        return 1 + 2 * self.names.index(name)
+
+    def program(self, node: Node) -> Program:
+        return Program(node, frozenset(self.read))
+
+    def choice(self) -> Node:
         arms, ops = [self.sequence()], []
         while True:
             self.blank()
@@ -186,129 +418,57 @@ class Parser:
         if len(set(ops)) > 1:
             raise self.error("mixed choices")
         if ops[0] == "|":
-            return lambda st, p, k: next((e for a in arms if (e := a(st, p, k)) is not None), None)
+            return choice(arms)
+        programs = [self.program(a) for a in arms]
         if ops[0] == "||":
 
-            def longest(st, p, k):
-                best = None
-                for a in arms:
-                    saved = dict(st.regs)
-                    e = a(st, p, k)
-                    if e is not None and (best is None or e > best[0]):
-                        best = (e, dict(st.regs))
-                    st.regs = saved
-                if best:
-                    st.regs = best[1]
-                return best[0] if best else None
-
-            return longest
-
-        def committed(st, p, k):
-            for a in arms:
-                if (e := a(st, p, lambda s, q: q)) is not None:
-                    return k(st, e)
-            return None
+            def longest(ctx, p, regs):
+                found = [w for x in programs for w in x.ways(ctx, p, regs)]
+                return sorted(found, key=lambda w: -w[0])
+
+            return choice(arms, "sub", longest)
 
-        return committed
+        def committed(ctx, p, regs):
+            return next(([w] for x in programs if (w := x.run(ctx, p, regs)) is not None), [])
 
-    def sequence(self) -> Step:
+        return choice(arms, "sub", committed)
+
+    def sequence(self) -> Node:
         items = []
         while True:
             self.blank()
             if self.i >= len(self.s) or self.s[self.i] in ")]}|":
                 break
             items.append(self.item())
+        return items[0] if len(items) == 1 else sequence(items)
 
-        def run(st, p, k, n=0):
-            if n == len(items):
-                return k(st, p)
-            return items[n](st, p, lambda s, q: run(s, q, k, n + 1))
-
-        return run
-
-    def item(self) -> Step:
-        step = self.atom()
+    def item(self) -> Node:
+        node = self.atom()
         while True:
             if m := self.match(r"\{(\d+)(,(\d*))?\}([?+]?)"):
                 lo = int(m[1])
-                step = self.repeat(step, lo, lo if not m[2] else int(m[3]) if m[3] else None, m[4])
+                node = self.repeat(node, lo, lo if not m[2] else int(m[3]) if m[3] else None, m[4])
             elif m := self.match(r"([*+?])([?+]?)"):
                 lo, hi = {"*": (0, None), "+": (1, None), "?": (0, 1)}[m[1]]
-                step = self.repeat(step, lo, hi, m[2])
-            elif m := self.match(r"::?([A-Za-z_]\w*)"):
-                step = self.bind(step, m[1])
+                node = self.repeat(node, lo, hi, m[2])
+            elif m := self.match(r":([A-Za-z_]\w*)"):
+                k = self.slot(m[1])
+                node = Node("seq", None, [Node("save", k), node, Node("save", k + 1)], node.low, node.high)
+            elif self.s.startswith("::", self.i):
+                raise self.error("scoped registers are not built")
             else:
-                return step
+                return node
 
-    def bind(self, step: Step, name: str) -> Step:
-        if name not in self.names:
-            self.names.append(name)
+    def repeat(self, node: Node, lo: int, hi: int | None, how: str) -> Node:
+        if max(lo, hi or 0) > UNROLL or hi is not None and hi < lo:
+            raise self.error(f"a count must lie in 0..{UNROLL}, low to high")
+        high = None if hi is None and node.high != 0 or node.high is None else node.high * (hi or 0)
+        out = Node("rep", (lo, hi, how != "?"), [node], lo * node.low, high)
+        return self.atomic(out) if how == "+" else out
 
-        def run(st, p, k):
-            def done(s, q):
-                old = s.regs.get(name)
-                s.regs[name] = (p, q)
-                e = k(s, q)
-                if e is None:
-                    if old is None:
-                        s.regs.pop(name, None)
-                    else:
-                        s.regs[name] = old
-                return e
-
-            return step(st, p, done)
-
-        return run
-
-    @staticmethod
-    def repeat(step: Step, lo: int, hi: int | None, how: str) -> Step:
-        if how == "+":
-
-            def greedy(st, p, k, n=0):
-                while hi is None or n < hi:
-                    e = step(st, p, lambda s, q: q)
-                    if e is None or e == p:
-                        break
-                    p, n = e, n + 1
-                return k(st, p) if n >= lo else None
-
-            return greedy
-
-        def run(st, p, k):
-            # iterative for plain greedy runs of single tokens keeps the stack flat
-            def again(s, q, n):
-                if how == "?" and n >= lo and (e := k(s, q)) is not None:
-                    return e
-                if hi is None or n < hi:
-                    e = step(s, q, lambda s2, r: again(s2, r, n + 1) if r > q or n < lo else None)
-                    if e is not None:
-                        return e
-                return k(s, q) if how != "?" and n >= lo else None
-
-            single = getattr(step, "single", None)
-            if single and how == "":
-                ends, n = [p], 0
-                while (hi is None or n < hi) and ends[-1] < len(st.tokens) and single(st, st.tokens[ends[-1]]):
-                    ends.append(ends[-1] + 1)
-                    n += 1
-                for n in range(len(ends) - 1, lo - 1, -1):
-                    if (e := k(st, ends[n])) is not None:
-                        return e
-                return None
-            return again(st, p, 0)
-
-        return run
-
-    def single(self, test: Callable[[State, Token], bool]) -> Step:
-        def run(st, p, k):
-            return k(st, p + 1) if p < len(st.tokens) and test(st, st.tokens[p]) else None
-
-        run.single = test
-        return run
-
-    @staticmethod
-    def zero(test: Callable[[State, int], bool]) -> Step:
-        return lambda st, p, k: k(st, p) if test(st, p) else None
+    def atomic(self, node: Node) -> Node:
+        program = self.program(node)
+        return Node("sub", lambda ctx, p, regs: [] if (w := program.run(ctx, p, regs)) is None else [w], [], node.low, node.high)
 
     def balanced(self, close: str) -> str:
         depth, start = 1, self.i
@@ -323,29 +483,69 @@ class Parser:
             raise self.error("unclosed group")
         return self.s[start : self.i - 1]
 
-    def sub(self, source: str) -> Step:
-        p = Parser(source)
-        p.orbit, p.names = self.orbit, self.names
-        return p.whole()
+    def sub(self, source: str) -> Node:
+        return Parser(source, self).whole()
+
+    def predicate(self, kind: str, source: str) -> Test:
+        """A value test {...}: clauses joined by commas, each a comparison, a range, a set, or a named field."""
+        tests: list[Test] = []
+        for clause in source.split(","):
+            clause = clause.strip()
+            if m := re.fullmatch(r"(>=|<=|>|<)([+-])([^:]+):([A-Za-z_]\w*)", clause):
+                if kind != "timestamp" or m[4] not in self.names:
+                    raise self.error(f"the relative test {{{clause}}} is not built")
+                k = self.slot(m[4])
+                self.read += (k, k + 1)
+                tests.append(_since(m[1], m[2], m[3], k))
+            elif re.match(r"(>=|<=|>|<)\+", clause):
+                raise self.error(f"the relative test {{{clause}}} is not built")
+            elif m := re.fullmatch(r"in:@(\w+)", clause):
+                self.joins.add(m[1])
+                tests.append(lambda c, p, r, f=m[1]: c.tokens[p].text in c.known.get(f, ()))
+            elif m := re.fullmatch(r"!=@(\w+)", clause):
+                self.joins.add(m[1])
+                tests.append(lambda c, p, r, f=m[1]: c.tokens[p].text not in c.known.get(f, ()))
+            elif m := re.fullmatch(r"(>=|<=|!=|=|>|<)\s*(.+)", clause):
+                tests.append(_compared(kind, m[1], m[2]))
+            elif m := re.fullmatch(r"in:(.+)", clause):
+                tests.append(_networks(m[1]))
+            elif m := re.fullmatch(r"contains:(.+)", clause):
+                want = m[1]
+                tests.append(lambda c, p, r, x=want: c.tokens[p].kind == "cidr" and ipaddress.ip_address(x) in ipaddress.ip_network(c.tokens[p].text, strict=False))
+            elif clause in ("v4", "v6"):
+                tests.append(lambda c, p, r, n=int(clause[1]): (V.address(c.tokens[p].text) or (0,))[0] == n)
+            elif m := re.fullmatch(r"([a-z]+[0-9]?)(>=|<=|!=|=|>|<|:)(.+)", clause):
+                tests.append(_field(kind, *m.groups()))
+            elif ".." in clause:
+                lo, _, hi = clause.partition("..")
+                if lo:
+                    tests.append(_compared(kind, ">=", lo))
+                if hi:
+                    tests.append(_compared(kind, "<=", hi))
+            else:
+                raise self.error(f"can't read the test {{{clause}}}")
+        if len(tests) == 1:
+            return tests[0]
+        return lambda c, p, r: all(f(c, p, r) for f in tests)
 
-    def kind_atom(self) -> Callable[[Token], bool] | None:
-        """\\N, \\{kind} or a byte class, with an optional value test."""
+    def kind_atom(self) -> Test | None:
+        r"""\N, \{kind} or a byte class, with an optional value test."""
         if m := self.match(r"\\\{(\w+)\}"):
-            kind = {"qty": "quantity"}.get(m[1], m[1])
-            if kind not in KINDS and kind != "quantity":
+            kind = m[1]
+            if kind not in KINDS:
                 raise self.error(f"no kind {kind}")
         elif m := self.match(r"\\([NWQICUETVHZDRLP%$])"):
             kind = LETTERS[m[1]]
         elif m := self.match(r"\\([dwhaul])"):
             shape = re.compile(CLASSES[m[1]])
-            return lambda t: shape.fullmatch(t.text) is not None
+            return lambda c, p, r: shape.fullmatch(c.tokens[p].text) is not None
         else:
             return None
         if self.s.startswith("{", self.i) and not re.match(r"\{\d+(,\d*)?\}", self.s[self.i :]):
             self.i += 1
-            test = predicate(kind, self.balanced("}"))
-            return lambda t: t.kind == kind and test(t)
-        return lambda t: t.kind == kind
+            test = self.predicate(kind, self.balanced("}"))
+            return lambda c, p, r: c.tokens[p].kind == kind and test(c, p, r)
+        return lambda c, p, r: c.tokens[p].kind == kind
 
     def literal(self) -> tuple[str, int]:
         m = self.match(r'"((?:\\.|[^"\\])*)"(?:~(\d+))?')
@@ -353,10 +553,12 @@ class Parser:
             raise self.error("expected a literal")
         return re.sub(r"\\(.)", r"\1", m[1]), int(m[2] or 0)
 
-    def token_class(self) -> Callable[[State, Token], bool]:
+    def token_class(self) -> Test:
         """[A B], [^A], and && / -- between parts."""
         negated = self.take("^")
-        groups, ops, part = [], [], []
+        groups: list[list[Test]] = []
+        ops: list[str] = []
+        part: list[Test] = []
         while True:
             self.blank()
             if self.take("]"):
@@ -368,62 +570,60 @@ class Parser:
                 groups.append(part)
                 part = []
             else:
-                part.append(self.atom().single)
+                part.append(self.single())
         groups.append(part)
 
-        def test(st, t):
-            ok = any(f(st, t) for f in groups[0])
+        def test(c, p, r):
+            ok = any(f(c, p, r) for f in groups[0])
             for op, g in zip(ops, groups[1:], strict=True):
-                hit = any(f(st, t) for f in g)
+                hit = any(f(c, p, r) for f in g)
                 ok = ok and (hit if op == "&&" else not hit)
             return ok != negated
 
         return test
 
-    def atom(self) -> Step:
+    def single(self) -> Test:
+        """The test of an atom that takes one token."""
+        node = self.atom()
+        if node.op != "one":
+            raise self.error("expected an atom of one token")
+        return node.arg
+
+    def atom(self) -> Node:
         s = self.s
         if self.match(r"\\A"):
-            return self.zero(lambda st, p: p == 0)
+            return zero(lambda c, p, r: p == 0 and c.begun)
         if self.match(r"\\z"):
-            return self.zero(lambda st, p: p == len(st.tokens))
+            return zero(lambda c, p, r: p == len(c.tokens))
         if self.match(r"\\G"):
-            return self.zero(lambda st, p: p == st.origin)
+            return zero(lambda c, p, r: p == c.origin)
         if self.match(r"\\K"):
-
-            def reset(st, p, k):
-                old, st.begin = st.begin, p
-                e = k(st, p)
-                if e is None:
-                    st.begin = old
-                return e
-
-            return reset
+            return Node("keep")
         if m := self.match(r"\\B([(\[{])"):
             opening = m[1]
             inner = self.balanced({"(": ")", "[": "]", "{": "}"}[opening])
-            body = self.sub(inner) if inner.strip() else None
-            return self.group(opening, body)
+            return self.group(opening, self.sub(inner) if inner.strip() else None)
         if self.match(r"\\B"):
             return self.group(None, None)
         if test := self.kind_atom():
-            return self.single(lambda st, t: test(t))
+            return one(test)
         if self.take("^"):
-            return self.zero(lambda st, p: p < len(st.tokens) and (p == 0 or st.tokens[p - 1].line < st.tokens[p].line))
+            return zero(lambda c, p, r: p < len(c.tokens) and (p == 0 or c.tokens[p - 1].line < c.tokens[p].line))
         if self.take("$"):
-            return self.zero(lambda st, p: p > 0 and (p == len(st.tokens) or st.tokens[p - 1].line < st.tokens[p].line))
+            return zero(lambda c, p, r: p > 0 and (p == len(c.tokens) or c.tokens[p - 1].line < c.tokens[p].line))
         if self.take("."):
-            return self.single(lambda st, t: True)
+            return one(lambda c, p, r: True)
         if m := self.match(r"`((?:\\`|[^`])*)`"):
             shape = re.compile(m[1].replace("\\`", "`"))
-            return self.single(lambda st, t: shape.fullmatch(t.text) is not None)
+            return one(lambda c, p, r: shape.fullmatch(c.tokens[p].text) is not None)
         if s.startswith('"', self.i):
-            return self.literal_step()
+            return self.literal_node()
         if self.take("["):
-            return self.single(self.token_class())
+            return one(self.token_class())
         if self.match(r"\(\?>"):
-            body = self.sub(self.balanced(")"))
-            return lambda st, p, k: None if (e := body(st, p, lambda s2, q: q)) is None else k(st, e)
+            return self.atomic(self.sub(self.balanced(")")))
         if m := self.match(r"\(\?orbit:([\w/]+)\s"):
+            canonical("", m[1])  # an unknown equivalence is refused here
             old, self.orbit = self.orbit, m[1]
             body = self.sub(self.balanced(")"))
             self.orbit = old
@@ -433,118 +633,208 @@ class Parser:
             if m := self.match(r"~(\d+)"):
                 return self.near_group(inner, int(m[1]))
             return self.sub(inner)
-        if m := self.match(r"=([a-z]+(?:/\d+)?)\s+([A-Za-z_]\w*)"):
+        if m := self.match(r"=([a-z]+(?:/?\d+)?)\s+([A-Za-z_]\w*)"):
             return self.back(m[2], m[1])
         if m := self.match(r"=([A-Za-z_]\w*)"):
             return self.back(m[1], None)
         if m := self.match(r"(!?)~(<|>(\d+)|#)?(?:\{(\d+)(,(\d*))?\})?"):
             return self.look(m)
+        if m := self.match(r"<|>|/"):
+            return one(lambda c, p, r, x=m[0]: c.tokens[p].text == x)
         if m := self.match(r"@(\w+)"):
             return self.anchor(m[1])
         raise self.error("can't read the pattern")
 
-    def literal_step(self) -> Step:
+    def literal_node(self) -> Node:
         text, k = self.literal()
         orbit = self.orbit
         want = [t.text for t in lex(text)] or [text]
         if k:
-            return self.single(lambda st, t: edits(canonical(t.text, orbit), canonical(text, orbit), k) <= k)
-        if len(want) == 1:
-            key = canonical(want[0], orbit)
-            return self.single(lambda st, t: canonical(t.text, orbit) == key)
+            key = canonical(text, orbit)
+            return one(lambda c, p, r: edits(canonical(c.tokens[p].text, orbit), key, k) <= k)
         keys = [canonical(w, orbit) for w in want]
-        return lambda st, p, k2: k2(st, p + len(keys)) if [canonical(t.text, orbit) for t in st.tokens[p : p + len(keys)]] == keys else None
-
-    def near_group(self, inner: str, most: int) -> Step:
-        want = [t.text for x in re.findall(r'"([^"]*)"', inner) for t in lex(x)]
-
-        def run(st, p, k):
-            for n in sorted(range(max(1, len(want) - most), len(want) + most + 1), key=lambda n: (abs(n - len(want)), n)):
-                have = [t.text for t in st.tokens[p : p + n]]
-                if len(have) == n and edits(have, want, most) <= most and (e := k(st, p + n)) is not None:
-                    return e
-            return None
-
-        return run
+        return sequence([one(lambda c, p, r, key=key: canonical(c.tokens[p].text, orbit) == key) for key in keys]) if len(keys) > 1 else one(lambda c, p, r: canonical(c.tokens[p].text, orbit) == keys[0])
 
-    def back(self, name: str, relation: str | None) -> Step:
+    def near_group(self, inner: str, most: int) -> Node:
+        """A run of tokens that its atoms match with at most ``most`` tokens wrong, left out or too many."""
+        p, tests = Parser(inner, self), []
+        while True:
+            p.blank()
+            if p.i >= len(p.s):
+                break
+            node = p.atom()
+            for x in node.parts if node.op == "seq" else [node]:
+                if x.op != "one":
+                    raise p.error("an edit group takes atoms of one token")
+                tests.append(x.arg)
+
+        def ends(ctx, at, regs):
+            row, best = list(range(len(tests) + 1)), {}
+            for n in range(len(tests) + most + 1):
+                if row[-1] <= most and n:
+                    best[n] = row[-1]
+                if at + n >= len(ctx.tokens):
+                    ctx.hit = True
+                    break
+                last, row = row, [n + 1]
+                for j, t in enumerate(tests):
+                    row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (not t(ctx, at + n, regs))))
+            return [at + n for n in sorted(best, key=lambda n: (best[n], abs(n - len(tests)), n))]
+
+        return Node("jump", ends, [], max(1, len(tests) - most), len(tests) + most)
+
+    def back(self, name: str, relation: str | None) -> Node:
+        if name not in self.names:
+            raise self.error(f"no register {name}")
         orbit = relation or self.orbit
         fuzzy = int(relation[4:] or 1) if relation and re.fullmatch(r"edit\d*", relation) else None
-
-        def run(st, p, k):
-            if name not in st.regs:
-                return None
-            a, b = st.regs[name]
-            have, want = st.tokens[p : p + b - a], st.tokens[a:b]
-            if len(have) < b - a:
-                return None
-            if fuzzy is not None:
-                ok = all(edits(x.text, y.text, fuzzy) <= fuzzy for x, y in zip(have, want, strict=True))
-            else:
-                ok = all(canonical(x.text, orbit) == canonical(y.text, orbit) for x, y in zip(have, want, strict=True))
-            return k(st, p + b - a) if ok else None
-
-        return run
-
-    @staticmethod
-    def group(opening: str | None, body: Step | None) -> Step:
-        def run(st, p, k):
-            if p >= len(st.tokens):
-                return None
-            t = st.tokens[p]
+        if fuzzy is None:
+            canonical("", orbit)
+        k = self.slot(name)
+        self.read += (k, k + 1)
+
+        def ends(ctx, p, regs):
+            a, b = regs[k], regs[k + 1]
+            if a < 0 or b < a:
+                return []
+            if p + b - a > len(ctx.tokens):
+                ctx.hit = True
+                return []
+            for x, y in zip(ctx.tokens[p : p + b - a], ctx.tokens[a:b], strict=True):
+                if edits(x.text, y.text, fuzzy) > fuzzy if fuzzy is not None else canonical(x.text, orbit) != canonical(y.text, orbit):
+                    return []
+            return [p + b - a]
+
+        return Node("jump", ends, [], 0, None)
+
+    def group(self, opening: str | None, body: Node | None) -> Node:
+        """A bracket pair; what lies between must match ``body`` from end to end."""
+        program = body and self.program(body)
+        self.past.append(None)
+
+        def ways(ctx, p, regs):
+            if p >= len(ctx.tokens):
+                ctx.hit = True
+                return []
+            t = ctx.tokens[p]
+            ctx.hit |= t.kind == "open" and t.mate < 0
             if t.kind != "open" or t.mate < 0 or opening and t.text != opening:
-                return None
-            if body is None:
-                return k(st, t.mate + 1)
-            return body(st, p + 1, lambda s, q: k(s, t.mate + 1) if q == t.mate else None)
+                return []
+            if program is None:
+                return [(t.mate + 1, regs)]
+            w = program.run(ctx, p + 1, regs, None, t.mate)
+            return [] if w is None else [(t.mate + 1, w[1])]
 
-        return run
+        return Node("sub", ways, [], 2, None)
 
-    def look(self, m: re.Match) -> Step:
+    def look(self, m: re.Match) -> Node:
         negated, where = bool(m[1]), m[2] or ""
         lo = int(m[4]) if m[4] else 1
         hi = None if not m[4] or m[5] and not m[6] else int(m[6] or m[4])
         if self.s.startswith('"', self.i):
             text, _ = self.literal()
-            return self.zero(lambda st, p: any(t.text == text for t in st.tokens[p:]) != negated)
+
+            def ahead(c, p, r):
+                found = p < len(c.tokens) and c.text.find(text, c.tokens[p].start) >= 0
+                c.hit |= not found
+                return found != negated
+
+            return zero(ahead)
         if not self.take("("):
             raise self.error("expected a group to look for")
+        before = len(self.read)
         body = self.sub(self.balanced(")"))
-
-        def here(st, p):
-            return body(st, p, lambda s, q: q) is not None
+        program = self.program(body)
+        free = before == len(self.read)  # reads no register: its answer at a position is always the same
+        key = object()
+
+        def here(c, p, r):
+            if not free:
+                return program.run(c, p, r) is not None
+            known = c.once(key, dict)
+            if p not in known:
+                known[p] = program.run(c, p, r) is not None
+            return known[p]
+
+        def counted(c, a, b, r):
+            n = 0
+            for q in range(a, b):
+                n += here(c, q, r)
+                if n >= lo and hi is None or hi is not None and n > hi:
+                    break
+            return lo <= n and (hi is None or n <= hi)
 
         if where == "<":
-            return self.zero(lambda st, p: any(body(st, a, lambda s, q: q if q == p else None) is not None for a in range(p, max(-1, p - 65), -1)) != negated)
+            low, high = body.low, body.high
+            self.past.append(high)
+
+            def behind(c, p, r):
+                first = 0 if high is None else max(0, p - high)
+                return any(program.run(c, a, r, None, p) is not None for a in range(p - low, first - 1, -1))
+
+            return zero(lambda c, p, r: behind(c, p, r) != negated)
         if where.startswith(">"):
             reach = int(m[3])
-            return self.zero(lambda st, p: (lo <= (n := sum(here(st, a) for a in range(p, min(len(st.tokens), p + reach)))) and (hi is None or n <= hi)) != negated)
+
+            def close(c, p, r):
+                c.hit |= p + reach > len(c.tokens)
+                return counted(c, p, min(len(c.tokens), p + reach), r) != negated
+
+            return zero(close)
         if where == "#":
-            return self.zero(lambda st, p: (p < len(st.tokens) and st.tokens[p].kind == "open" and st.tokens[p].mate >= 0 and lo <= (n := sum(here(st, a) for a in range(p + 1, st.tokens[p].mate))) and (hi is None or n <= hi)) != negated)
-        return self.zero(lambda st, p: here(st, p) != negated)
+            self.past.append(None)
 
-    def anchor(self, name: str) -> Step:
+            def inside(c, p, r):
+                t = c.tokens[p] if p < len(c.tokens) else None
+                c.hit |= t is not None and t.kind == "open" and t.mate < 0
+                return (t is not None and t.kind == "open" and t.mate >= 0 and counted(c, p + 1, t.mate, r)) != negated
+
+            return zero(inside)
+        return zero(lambda c, p, r: here(c, p, r) != negated)
+
+    def anchor(self, name: str) -> Node:
+        orbit = self.orbit
+        if name in ("echoed", "novel") and (m := self.match(r":@(\w+)")):
+            self.joins.add(m[1])
+            want, other = name == "echoed", m[1]
+            return zero(lambda c, p, r: p < len(c.tokens) and (c.tokens[p].text in c.known.get(other, ())) == want)
+        if name in ("order", "echo", "echoed", "novel", "nested"):
+            self.past.append(None)
+        if name == "order" and (m := self.match(r":(asc|desc)\b")):
+            want = m[1] == "asc"
+            return zero(lambda c, p, r: p < len(c.tokens) and c.order()[p] is want)
+        nth = name == "echo" and self.match(r":nth")
         m = self.match(r"(>=|<=|=|>|<)(-?\d+)")
         op, n = (_COMPARE[m[1]], int(m[2])) if m else (None, 0)
-        inside = lambda st, p: p < len(st.tokens)
+        at = lambda c, p: c.places(orbit)[canonical(c.tokens[p].text, orbit)]
+
+        def later(test: Test) -> Node:
+            """A test that the rest of the text may change."""
+
+            def run(c, p, r):
+                c.hit = True
+                return p < len(c.tokens) and test(c, p, r)
+
+            return zero(run)
+
+        if nth and m:
+
+            def occurrence(c, p, r):
+                places = at(c, p)
+                want = n if n >= 0 else len(places) + n + 1
+                return want > 0 and op(bisect.bisect_left(places, p) + 1, want)
+
+            return later(occurrence) if n < 0 else zero(lambda c, p, r: p < len(c.tokens) and occurrence(c, p, r))
         if name == "echo" and m:
-            return self.zero(lambda st, p: inside(st, p) and op(st.count(st.tokens[p].text), n))
+            return later(lambda c, p, r: op(len(at(c, p)), n))
         if name == "echoed":
-            return self.zero(lambda st, p: inside(st, p) and st.count(st.tokens[p].text) > 1)
+            return later(lambda c, p, r: len(at(c, p)) > 1)
         if name == "novel":
-            return self.zero(lambda st, p: inside(st, p) and all(t.text != st.tokens[p].text for t in st.tokens[:p]))
+            return zero(lambda c, p, r: p < len(c.tokens) and at(c, p)[0] == p)
         if name == "nested" and m:
-            return self.zero(lambda st, p: inside(st, p) and op(st.tokens[p].depth, n))
+            return zero(lambda c, p, r: p < len(c.tokens) and op(c.tokens[p].depth, n))
         if name.isdigit():
-            want = int(name)
-
-            def nth(st, p):
-                a = p
-                while a > 0 and st.tokens[a - 1].line == st.tokens[min(p, len(st.tokens) - 1)].line:
-                    a -= 1
-                return inside(st, p) and sum(t.text == "," for t in st.tokens[a:p]) == want - 1 and (p == a or st.tokens[p - 1].text == ",")
-
-            return self.zero(nth)
+            return zero(lambda c, p, r: p < len(c.tokens) and c.fields()[p] == int(name))
         raise self.error(f"no anchor @{name}")
 
 
@@ -558,33 +848,92 @@ class Match:
 
 
 class Pattern:
-    """A compiled pattern; ``names`` are its registers in order."""
+    """A compiled pattern; ``names`` are its registers in order, ``joins`` the other inputs that it names."""
 
     def __init__(self, source: str) -> None:
         p = Parser(source)
-        self.source, self.step = source, p.whole()
-        self.names = p.names
-
-    def find(self, text: str | None, limit: int | None = None) -> list[Match]:
-        """Leftmost matches that don't overlap; an empty match is none."""
-        text = text or ""
-        tokens, out, p = lex(text), [], 0
-        state = State(tokens)
-        while p < len(tokens) and (limit is None or len(out) < limit):
-            state.regs, state.begin = {}, None
-            e = self.step(state, p, lambda s, q: q)
-            a = state.begin if state.begin is not None else p
-            if e is None or e <= a:
+        self.source, node = source, p.whole()
+        self.names, self.joins = p.names, frozenset(p.joins)
+        self.past = None if None in p.past else sum(p.past)
+        self.program = p.program(node)
+
+    def spans(self, ctx: Input, limit: int | None = None, start: int = 0):
+        """(first token, end token, registers) of leftmost matches that don't overlap; an empty match is none.
+
+        Over an open input it ends before the first start whose answer later
+        text could change, and leaves that start in ``ctx.at``.
+        """
+        seen: set = set()
+        blank = (-1,) * (1 + 2 * len(self.names))
+        p, n = start, 0
+        while p < len(ctx.tokens) and (limit is None or n < limit):
+            ctx.hit = False
+            got = self.program.run(ctx, p, blank, seen)
+            if ctx.open and ctx.hit:
+                break
+            if got is None:
                 p += 1
                 continue
+            end, regs = got
+            a = regs[0] if regs[0] >= 0 else p
+            seen.clear()
+            if end <= a:
+                p += 1
+                continue
+            n += 1
+            p = ctx.origin = max(end, p + 1)
+            yield a, end, regs
+        ctx.at = p
+
+    def find(self, text: str | None, limit: int | None = None, known: dict[str, set[str]] | None = None, tokens: list[Token] | None = None) -> list[Match]:
+        """Leftmost matches that don't overlap; ``known`` holds the tokens shared with each input that the pattern names."""
+        text = text or ""
+        tokens = lex(text) if tokens is None else tokens
+        out = []
+        for a, e, bound in self.spans(Input(text, tokens, known), limit):
             regs = {}
-            for n, (x, y) in state.regs.items():
-                if y > x:
+            for k, n in enumerate(self.names):
+                x, y = bound[1 + 2 * k], bound[2 + 2 * k]
+                if 0 <= x < y:
                     regs[n] = (tokens[x].start, tokens[y - 1].end, text[tokens[x].start : tokens[y - 1].end], tokens[x].kind if y == x + 1 else "run")
             out.append(Match(tokens[a].start, tokens[e - 1].end, text[tokens[a].start : tokens[e - 1].end], tokens[a].line, regs))
-            p = state.origin = max(e, p + 1)
         return out
 
+    def is_match(self, text: str | None) -> bool:
+        return bool(self.find(text, 1))
+
+    def find_at(self, text: str, start: int) -> Match | None:
+        """The first match that begins at or after character ``start``."""
+        return next((m for m in self.find(text) if m.start >= start), None)
+
+    def shortest_match(self, text: str) -> int | None:
+        """The least end of any match from the leftmost start, in characters."""
+        tokens = lex(text)
+        ctx = Input(text, tokens)
+        blank = (-1,) * (1 + 2 * len(self.names))
+        for p in range(len(tokens)):
+            ends = [e for e, _ in self.program.ways(ctx, p, blank) if e > p]
+            if ends:
+                return tokens[min(ends) - 1].end
+        return None
+
+    def split(self, text: str, most: int | None = None) -> list[str]:
+        """The text between matches, in at most ``most`` parts."""
+        out, at = [], 0
+        for m in self.find(text, None if most is None else most - 1):
+            out.append(text[at : m.start])
+            at = m.end
+        return [*out, text[at:]]
+
+    def split_at_depth(self, text: str, depth: int) -> list[str]:
+        """The text between the matches that begin at one bracket depth."""
+        tokens, out, at = lex(text), [], 0
+        for a, e, _ in self.spans(Input(text, tokens)):
+            if tokens[a].depth == depth:
+                out.append(text[at : tokens[a].start])
+                at = tokens[e - 1].end
+        return [*out, text[at:]]
+
 
 def escape(text: str) -> str:
     """A literal pattern for a text."""
