@@ -1,4 +1,7 @@
-from tokenloom.operators import axes, reports, scan
+import pytest
+
+from tokenloom.operators import axes, lines, reports, scan
+from tokenloom.plans.pattern import PatternError
 from tokenloom.sources import files
 
 LOG = "10.0.0.1 GET /a 200 5\n10.0.0.2 GET /b 404 7\n10.0.0.1 POST /a 200 9"
@@ -16,11 +19,49 @@ def test_count_by_with_sums(spark):
 
 
 def test_rewrite_redact_pseudonym(spark):
-    d = docs(spark, "x = 1", "from 10.4.5.6 to 10.9.9.9 and back to 10.4.5.6", None)
-    assert reports.rewrite(d, r'\W:a "=" \N:b', "${2} := ${1}").filter("doc_id = 0").collect()[0].text == "1 := x"
+    d = docs(spark, "depth : 30", "via 172.16.0.8 then 172.16.0.2 then 172.16.0.8", None, "last 172.16.0.2")
+    assert reports.rewrite(d, r'\W:a ":" \N:b', "${2} as ${1}").filter("doc_id = 0").collect()[0].text == "30 as depth"
     r = {x.doc_id: x.text for x in reports.redact(d, r"\I:i", "pseudonym").collect()}
-    assert r[1] == "from IP_1 to IP_2 and back to IP_1" and r[2] is None
-    assert reports.mask("4111-1111", "char", 4) == "****-1111"
+    assert r[1] == "via IP_1 then IP_2 then IP_1" and r[2] is None and r[3] == "last IP_2"
+    assert reports.mask("77-abc-12", "char", 3) == "**-**c-12"
+
+
+def test_aggregates_of_registers(spark):
+    d = docs(spark, "\n".join(f"job {w} took {n}ms on 10.0.0.{n} v1.{n}.0" for w, n in (("a", 9), ("a", 10), ("a", 100), ("b", 3))), None)
+    m = scan.matches(d, r'"job" \W:k "took" \R:t "on" \I:i \V:v')
+    e = {r.key: r for r in reports.extremes(m, "${k}", ("t", "i", "v")).collect()}
+    assert (e["a"].min_t, e["a"].max_t, e["a"].max_i, e["a"].max_v) == ("9ms", "100ms", "10.0.0.100", "v1.100.0")
+    for how, want in (("nearest", 10_000_000), ("lower", 10_000_000), ("linear", 10_000_000)):
+        assert {r.key: int(r.p50) for r in reports.percentiles(m, "${k}", "t", (0.5,), how).collect()} == {"a": want, "b": 3_000_000}
+    c = reports.count_by(m, "${v.minor}", ("t",))
+    assert {r.key for r in c.collect()} == {"9", "10", "100", "3"}
+    mean = reports.count_by(m, "${k}", ("t",)).select("key", reports.exact_mean("sum_t", "n_t").alias("mean"))
+    assert {r.key: r.mean for r in mean.collect()} == {"a": "39666666.(6)", "b": "3000000"}
+
+
+def test_lines(spark):
+    d = docs(spark, "north 1\nsouth\neast 2\nwest\n", None, "")
+    two = lambda x: [(r.doc_id, r.rec) for r in x.orderBy("doc_id", "rec").collect()]
+    assert two(lines.touched(d, r"\N")) == [(0, 1), (0, 3)]
+    assert two(lines.untouched(d, r"\N")) == [(0, 2), (0, 4), (1, 1), (2, 1)]
+    assert two(lines.whole(d, r"\W")) == [(0, 2), (0, 4)]
+    assert two(lines.context(d, '"east"', 1, 0)) == [(0, 2), (0, 3)]
+    assert two(lines.window(d, -2, -1).filter("doc_id = 0")) == [(0, 3), (0, 4)] and two(lines.window(d, 2, 3)) == [(0, 2), (0, 3)]
+    assert [tuple(r) for r in lines.counts(d, r"\N").collect()] == [(0, 2, 2)]
+    assert {r.doc_id: r.found for r in lines.with_match(d, r"\N").collect()} == {0: True, 1: False, 2: False}
+    # a match over two lines touches both
+    assert two(lines.touched(d, r"\N \W")) == [(0, 1), (0, 2), (0, 3), (0, 4)]
+
+
+def test_joins_of_two_inputs(spark):
+    d = docs(spark, "oak elm 10.0.0.1", "elm pine", None)
+    other = {"trees": docs(spark, "oak 10.0.0.1", "pine")}
+    said = lambda p: sorted((r.doc_id, r.text) for r in scan.matches(d, p, others=other).collect())
+    assert said(r"@echoed:@trees .") == [(0, "10.0.0.1"), (0, "oak"), (1, "pine")]
+    assert said(r"@novel:@trees .") == [(0, "elm"), (1, "elm")]
+    assert said(r"\W{in:@trees}") == [(0, "oak"), (1, "pine")]
+    with pytest.raises(PatternError):
+        scan.matches(d, "@echoed:@nothing .")
 
 
 def test_templates(spark):

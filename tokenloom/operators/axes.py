@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def _w():
     return Window.partitionBy("doc_id").orderBy("tok")
@@ -67,3 +73,22 @@ def gravity(t: DataFrame, reach: int = 32) -> DataFrame:
     d, da, db = Window.partitionBy("d"), Window.partitionBy("d", "a"), Window.partitionBy("d", "b")
     expected = F.sum("n").over(da) * F.sum("n").over(db) / F.sum("n").over(d)
     return n.select((F.col("d") + 1).alias("d"), "a", "b", "n", ((F.col("n") + 1) / (expected + 1)).alias("lift"))
+
+
+def rolling_energy(docs: DataFrame, width: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, peak): the largest sum of squared lengths of ``width`` neighbouring runs of non-blanks; no exchange. Texts without one have no row."""
+    ship(docs.sparkSession)
+    runs = re.compile(r"[^ \t\n]+").findall
+
+    def run(batches):
+        for b in batches:
+            ids, peaks = [], []
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n = np.array([len(x) for x in runs(t.as_py() or "")], dtype=np.int64)
+                if len(n):
+                    upto = np.concatenate([[0], np.cumsum(n * n)])
+                    ids.append(doc)
+                    peaks.append(int((upto[1:] - upto[np.maximum(0, np.arange(1, len(upto)) - width)]).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(peaks, pa.int64())], ["doc_id", "peak"])
+
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, peak long")

@@ -18,11 +18,14 @@ from .scan import matches, tokens
 
 
 def key(template: str) -> Column:
-    """A report template such as '${ip} ${verb}' over a match row; an empty key prints as '-'."""
+    """A report template such as '${ip} ${mail.domain}' over a match row; an empty key prints as '-'."""
     parts = []
-    for k, p in enumerate(re.split(r"\$\{(\w+)\}", template)):
+    for k, p in enumerate(re.split(r"\$\{(\w+(?:\.\w+)?)\}", template)):
         if k % 2 == 0:
             parts.append(F.lit(p))
+        elif "." in p:
+            name, member = p.split(".")
+            parts.append(F.coalesce(part(F.element_at("kinds", F.lit(name)), F.element_at("registers", F.lit(name)), member), F.lit("")))
         elif p in ("start", "end", "line", "doc_id"):
             parts.append(F.col(p).cast("string"))
         else:
@@ -53,9 +56,73 @@ def exact(kind: Column, text: Column) -> Column:
     return F.pandas_udf(_exact, DecimalType(38, 9))(kind, text)
 
 
+def part(kind: Column, text: Column, member: str) -> Column:
+    """A named part of a token (domain of an e-mail, year of an instant), as text; null if it has none."""
+
+    def run(kind: pd.Series, text: pd.Series) -> pd.Series:
+        found = [V.field(k, t, member) if k and t is not None else None for k, t in zip(kind, text, strict=True)]
+        return pd.Series([None if v is None else str(v) for v in found], dtype=object)
+
+    return F.pandas_udf(run, StringType())(kind, text)
+
+
 def exact_mean(total: Column, n: Column) -> Column:
-    """sum / count without rounding: a repetend in parentheses."""
-    return F.udf(lambda t, k: None if t is None or not k else V.quotient(t, k), StringType())(total, n)
+    """sum / count without rounding: a repetend in parentheses; in Arrow batches."""
+
+    def run(total: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or not k else V.quotient(t, int(k)) for t, k in zip(total, n, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, StringType())(total, n)
+
+
+def sort_key(kind: Column, text: Column) -> Column:
+    """A text that sorts as the token's value does (numbers, instants, sizes, versions, addresses); null if it has none."""
+
+    def spelt(v) -> str | None:
+        if v is None:
+            return None
+        if isinstance(v, tuple) and isinstance(v[0], tuple):  # a version: its core, then what may precede the release
+            core, pre = v
+            return ".".join(f"{n:020d}" for n in core) + "-" + ".".join(f"{a}{n:020d}{w}" for a, n, w in pre)
+        if isinstance(v, tuple):
+            return f"{v[0]}:{v[1]:040d}"
+        return f"{v + 10**30:062.25f}"
+
+    def run(kind: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([spelt(V.value(k, t)) if k and t is not None else None for k, t in zip(kind, text, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, StringType())(kind, text)
+
+
+def extremes(found: DataFrame, template: str, registers: tuple[str, ...]) -> DataFrame:
+    """(key, min_r, max_r): the least and greatest token of each register by value, as written; values without one are left out."""
+    rows = found.withColumn("key", key(template))
+    for r in registers:
+        rows = rows.withColumn(f"_{r}", sort_key(F.element_at("kinds", F.lit(r)), F.element_at("registers", F.lit(r))))
+    said = {r: F.element_at("registers", F.lit(r)) for r in registers}
+    return rows.groupBy("key").agg(*[x for r in registers for x in (F.min_by(said[r], f"_{r}").alias(f"min_{r}"), F.max_by(said[r], f"_{r}").alias(f"max_{r}"))])
+
+
+def percentiles(found: DataFrame, template: str, register: str, shares: tuple[float, ...], how: str = "nearest") -> DataFrame:
+    """(key, p50, ...): percentiles of a register's values. Equal values are counted before the exchange.
+
+    ``nearest``: the least value with at least that share at or below it;
+    ``linear``: between the two neighbouring values; ``lower``: the lower of them.
+    """
+    value = exact(F.element_at("kinds", F.lit(register)), F.element_at("registers", F.lit(register)))
+    rows = found.select(key(template).alias("key"), value.alias("_v")).filter("_v is not null")
+    named = [(q, f"p{q * 100:g}") for q in shares]
+    if how == "nearest":
+        return rows.groupBy("key").agg(*[F.expr(f"percentile_disc({q}) within group (order by _v)").alias(n) for q, n in named])
+    if how == "linear":
+        return rows.groupBy("key").agg(*[F.expr(f"percentile_cont({q}) within group (order by _v)").alias(n) for q, n in named])
+    if how != "lower":
+        raise ValueError(f"no such percentile: {how}")
+    # the value at place floor(q (n - 1)): counts of distinct values, summed in order
+    n = rows.groupBy("key", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("key").orderBy("_v")
+    n = n.withColumns({"_upto": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy("key"))})
+    return n.groupBy("key").agg(*[F.min(F.when(F.col("_upto") > F.floor(F.lit(q) * (F.col("_all") - 1)), F.col("_v"))).alias(name) for q, name in named])
 
 
 def top(found: DataFrame, template: str, n: int = 10) -> DataFrame:
@@ -90,21 +157,30 @@ def mask(text: str, how: str, keep: int = 0) -> str:
 
 
 def redact(docs: DataFrame, pattern: str, how: str = "char", keep: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, n_changes): matches masked; 'pseudonym' numbers equal texts of a document alike."""
-
-    def render(p):
-        def one(m, seen):
-            if how == "pseudonym":
-                kind = next((r[3] for r in m.registers.values()), "match").upper()
-                return f"{kind}_{seen.setdefault(m.text, len(seen) + 1)}"
-            return mask(m.text, how, keep)
-
-        return one
-
-    return _edit(docs, pattern, doc_id, text, None, render)
-
-
-def _edit(docs, pattern, doc_id, text, most, render) -> DataFrame:
+    """(doc_id, text, n_changes): matches masked; 'pseudonym' numbers equal texts alike over all documents (ids must be distinct)."""
+    if how == "pseudonym":
+        names = pseudonyms(matches(docs, pattern, doc_id, text)).select(F.col("text").alias("_t"), F.col("name").alias("_n"))
+        said = matches(docs, pattern, doc_id, text).select("doc_id", "text").distinct().join(names, F.col("text") == F.col("_t"))
+        own = said.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("text", "_n"))).alias("_names"))
+        docs = docs.join(own.withColumnRenamed("doc_id", "_d"), F.col(doc_id).eqNullSafe(F.col("_d")), "left").drop("_d")
+        return _edit(docs, pattern, doc_id, text, None, lambda p: lambda m, names: names.get(m.text, m.text), "_names")
+    return _edit(docs, pattern, doc_id, text, None, lambda p: lambda m, names: mask(m.text, how, keep))
+
+
+def pseudonyms(found: DataFrame) -> DataFrame:
+    """(text, name): KIND_1, KIND_2, ... by first occurrence over the whole run, each kind counted by itself."""
+    kind = F.upper(F.coalesce(F.element_at(F.map_values("kinds"), 1), F.lit("match")))
+    first = found.groupBy("text").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.min(kind).alias("_kind"))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # places by range: counts of each partition and kind, then a window within both
+    base = first.repartitionByRange(parts, "_first", "text").sortWithinPartitions("_first", "text").withColumns({"_part": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}).persist()
+    per = base.groupBy("_part", "_kind").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_part", "_kind").orderBy("_i"))
+    return base.join(per, ["_part", "_kind"]).select("text", F.concat("_kind", F.lit("_"), (F.col("_before") + nth).cast("string")).alias("name"))
+
+
+def _edit(docs, pattern, doc_id, text, most, render, names: str | None = None) -> DataFrame:
     ship(docs.sparkSession)
     Pattern(pattern)
 
@@ -113,17 +189,19 @@ def _edit(docs, pattern, doc_id, text, most, render) -> DataFrame:
         one = render(p)
         for b in batches:
             texts, n = [], []
-            for t in b.column(1).to_pylist():
-                seen: dict[str, int] = {}
+            for row in range(b.num_rows):
+                t = b.column(1)[row].as_py()
+                known = dict(b.column(2)[row].as_py() or ()) if names else {}
                 out, at, found = [], 0, p.find(t, most)
                 for m in found:
-                    out += [t[at : m.start], one(m, seen)]
+                    out += [t[at : m.start], one(m, known)]
                     at = m.end
                 texts.append(None if t is None else "".join([*out, t[at:]]))
                 n.append(len(found))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int32())], ["doc_id", "text", "n_changes"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, text string, n_changes int")
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), text, *([names] if names else [])]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, text string, n_changes int")
 
 
 def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,10 +219,9 @@ def findings(docs: DataFrame, rules: list[dict]) -> DataFrame:
     found = matches(docs, {r["name"]: r["pattern"] for r in rules})
     meta = docs.sparkSession.createDataFrame([(r["name"], r["message"], r.get("severity", "warning")) for r in rules], "member string, message string, severity string")
     out = found.join(F.broadcast(meta), "member")  # as many rows as rules
-    for r in rules:
-        if r.get("unless"):
-            bad = matches(docs, r["unless"]).select("doc_id", "line", F.lit(r["name"]).alias("member")).distinct()
-            out = out.join(bad, ["doc_id", "line", "member"], "left_anti")
+    barred = {r["name"]: r["unless"] for r in rules if r.get("unless")}
+    if barred:
+        out = out.join(matches(docs, barred).select("doc_id", "line", "member").distinct(), ["doc_id", "line", "member"], "left_anti")
     return out.select("doc_id", "line", "start", "end", F.col("member").alias("rule"), "severity", "message", "text")
 
 
@@ -154,6 +231,7 @@ def sarif(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("value"))
 
 
-def sarif_document(rules: list[dict]) -> str:
-    """The run's header, which the results are put into."""
-    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "tokenloom", "rules": [{"id": r["name"]} for r in rules]}}, "results": []}]})
+def sarif_document(rules: list[dict], results: list[str] = ()) -> str:
+    """The run's document with its results (``sarif`` rows), which a caller collects for a report of bounded size."""
+    driver = {"name": "tokenloom", "rules": [{"id": r["name"]} for r in rules]}
+    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": [json.loads(r) for r in results]}]})

@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexer import lex
-from ..plans.pattern import Pattern
+from ..functions.lexer import count_kinds, lex
+from ..plans.pattern import Pattern, PatternError
 from ..shipping import ship
 
 TOKENS = "doc_id long, tok int, kind string, start int, end int, text string, mate int, depth int, line int"
@@ -41,34 +41,88 @@ def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blanks:
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, TOKENS)
 
 
-def matches(docs: DataFrame, pattern: str | dict[str, str], doc_id: str = "doc_id", text: str = "text", need: str | None = None, limit: int | None = None) -> DataFrame:
+def kind_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, n) over all texts; tokens are counted where they are lexed and never leave the task."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        total: dict[str, int] = {}
+        for b in batches:
+            for t in b.column(0):
+                for k, n in count_kinds(t.as_py()).items():
+                    total[k] = total.get(k, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["kind", "n"])
+
+    return docs.select(text).mapInArrow(run, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+def mates(t: DataFrame) -> DataFrame:
+    """(doc_id, opened, closed): token numbers of each bracket pair, from ``tokens``; a mate is in the row, so no join is needed."""
+    return t.filter("kind = 'open' and mate is not null").select("doc_id", F.col("tok").alias("opened"), F.col("mate").alias("closed"))
+
+
+def common_tokens(one: DataFrame, two: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, text) of the tokens that stand in both inputs, each once."""
+    a, b = (tokens(d.withColumn("_id", F.lit(0)), "_id", text).select("kind", "text").distinct() for d in (one, two))
+    return a.join(b, ["kind", "text"], "left_semi")
+
+
+def shared(docs: DataFrame, other: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, known): the tokens of each document that some text of ``other`` holds too; a join by token, no side is broadcast."""
+    theirs = tokens(other.select(F.lit(0).alias("_id"), F.col(text)), "_id", text).select("text").distinct()
+    own = tokens(docs, doc_id, text).select("doc_id", "text").distinct().join(theirs, "text", "left_semi")
+    return own.groupBy("doc_id").agg(F.collect_list("text").alias("known"))
+
+
+#: Matches that are held as Python objects at once.
+SLICE = 5_000
+
+
+def matches(docs: DataFrame, pattern: str | dict[str, str], doc_id: str = "doc_id", text: str = "text", need: str | None = None, limit: int | None = None, others: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row a match: leftmost, not overlapping, in order; a dict of patterns adds ``member``.
 
     ``need`` is a literal that every match must hold; the scan then skips other
-    rows before Python sees them.
+    rows before Python sees them. ``limit`` is the most matches of an input.
+    ``others`` are the inputs (columns doc_id and text) that a pattern names
+    with @; document ids must then be distinct.
     """
     ship(docs.sparkSession)
     many = isinstance(pattern, dict)
-    for p in pattern.values() if many else [pattern]:
-        Pattern(p)  # refuse a bad pattern before any input is read
-    rows = docs.select(F.col(doc_id).cast("long"), text)
+    compiled = [Pattern(p) for p in (pattern.values() if many else [pattern])]  # refuse a bad pattern before any input is read
+    named = sorted(set().union(*[p.joins for p in compiled]))
+    if missing := [n for n in named if n not in (others or {})]:
+        raise PatternError(f"no input is given for @{missing[0]}")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     if need:
-        rows = rows.filter(F.col(text).contains(need))
+        rows = rows.filter(F.col("_text").contains(need))
+    for k, n in enumerate(named):
+        have = shared(docs, others[n], doc_id, text).select(F.col("doc_id").alias("_d"), F.col("known").alias(f"_known{k}"))
+        rows = rows.join(have, F.col("_doc").eqNullSafe(F.col("_d")), "left").drop("_d")
 
     def run(batches):
         pats = {n: Pattern(p) for n, p in (pattern.items() if many else [("", pattern)])}
+        kinds = (pa.int64(), *[pa.int32()] * 4, pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
+        names = ["doc_id", "m", "start", "end", "line", "text", "registers", "kinds", "member"]
+
+        def given(cols):
+            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays if many else arrays[:-1], names if many else names[:-1])
+
         for b in batches:
             cols: list[list] = [[] for _ in range(9)]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for row in range(b.num_rows):
+                doc, t = b.column(0)[row].as_py(), b.column(1)[row].as_py()
+                known = {n: set(b.column(2 + k)[row].as_py() or ()) for k, n in enumerate(named)}
+                ts = lex(t)
                 for name, p in pats.items():
-                    for k, m in enumerate(p.find(t, limit)):
-                        row = (doc, k, m.start, m.end, m.line, m.text, [(n, r[2]) for n, r in m.registers.items()], [(n, r[3]) for n, r in m.registers.items()], name)
-                        for c, v in zip(cols, row, strict=True):
+                    for k, m in enumerate(p.find(t, limit, known, ts)):
+                        out = (doc, k, m.start, m.end, m.line, m.text, [(n, r[2]) for n, r in m.registers.items()], [(n, r[3]) for n, r in m.registers.items()], name)
+                        for c, v in zip(cols, out, strict=True):
                             c.append(v)
-            kinds = (pa.int64(), *[pa.int32()] * 4, pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
-            names = ["doc_id", "m", "start", "end", "line", "text", "registers", "kinds", "member"]
-            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays if many else arrays[:-1], names if many else names[:-1])
+                if len(cols[0]) >= SLICE:
+                    yield given(cols)
+                    cols = [[] for _ in range(9)]
+            yield given(cols)
 
     return rows.mapInArrow(run, MATCHES + (", member string" if many else ""))
 
