@@ -89,21 +89,18 @@ def twice_filter(docs: DataFrame, text: str, least: int, bits: int) -> dict[int,
     def reduce(batches):
         now, once, twice = None, None, None
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], ["segment", "bitmap"])
-
         for b in batches:
             for k, o, w in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if k != now:
                     if now is not None and twice.any():
-                        yield done()
+                        yield _segment(now, twice)
                     now, once, twice = k, np.zeros(seg, dtype=bool), np.zeros(seg, dtype=bool)
                 at = np.frombuffer(o, dtype=np.uint32)
                 twice[at[once[at]]] = True
                 once[at] = True
                 twice[np.frombuffer(w, dtype=np.uint32)] = True
         if now is not None and twice.any():
-            yield done()
+            yield _segment(now, twice)
 
     parts = max(1, min(bits // seg, B.shuffle_parts(docs.sparkSession)))
     touched = docs.select(F.col(text).cast("binary")).mapInArrow(touch, "segment int, once binary, twice binary")
@@ -128,74 +125,127 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """64-bit hashes of document ids."""
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def id_filter(ids: DataFrame, bits: int) -> dict[int, bytes]:
+    """Segments of a filter that holds every id of a one-column frame; at most ``bits`` / 8 bytes reach the driver."""
+    seg = min(SEGMENT_BITS, bits)
+
+    def touch(batches):
+        for b in batches:
+            pos = np.unique(_positions(_spread(b.column(0).to_numpy()), bits).ravel())
+            cut = np.searchsorted(pos, np.arange(0, bits + 1, seg, dtype=np.uint64))
+            rows = [(k, (pos[x:y] - np.uint32(k * seg)).tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["segment", "at"])
+
+    def reduce(batches):
+        now, held = None, None
+        for b in batches:
+            for k, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if k != now:
+                    if now is not None:
+                        yield _segment(now, held)
+                    now, held = k, np.zeros(seg, dtype=bool)
+                held[np.frombuffer(at, dtype=np.uint32)] = True
+        if now is not None:
+            yield _segment(now, held)
+
+    parts = max(1, min(bits // seg, B.shuffle_parts(ids.sparkSession)))
+    dealt = ids.mapInArrow(touch, "segment int, at binary").repartition(parts, "segment").sortWithinPartitions("segment")
+    return {r.segment: bytes(r.bitmap) for r in dealt.mapInArrow(reduce, "segment int, bitmap binary").collect()}
+
+
+def _segment(k: int, held: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["segment", "bitmap"])
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    pos = _positions(hashes, bits)
+    return (bitmap[pos >> 3] >> (7 - (pos & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
 def dedup_lines(docs: DataFrame, least: int = 10, doc_id: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """Drop every line whose key an earlier document holds too; keep the document rows.
 
     Returns the columns of ``docs`` with ``text`` replaced, then n_lines (before
-    dropping) and n_dropped (columns of those names are replaced). Lines are
-    split at \\n; a key is the line stripped of blanks with A-Z lower-cased; keys
-    under ``least`` code points never count. A key found in two documents stays
-    only in the smallest doc_id that holds it, all its lines there included.
-    Rows of equal doc_id are one document, and so are all rows with a null id,
-    which come last. A null text is one empty line and stays null.
-
-    Only rows that the twice-seen filter suspects are staged and exchanged;
-    every suspicion is confirmed by a 128-bit digest of the key.
+    dropping) and n_dropped (columns of those names are replaced; columns of
+    any other name pass through). Lines are split at \\n; a key is the line
+    stripped of blanks with A-Z lower-cased; keys under ``least`` code points
+    never count. A key found in two documents stays only in the smallest doc_id
+    that holds it, all its lines there included. Rows of equal doc_id are one
+    document, and so are all rows with a null id, which come last. A null text
+    is one empty line and stays null. Whole texts are read, one at a time, so a
+    very long one needs memory for itself alone. An empty table gives no rows.
+
+    Of the lines only (document id, 128-bit digest of the key) of those move
+    that the twice-seen filter suspects; each suspicion is confirmed by the
+    digest. Of the documents only those move that lose a line, by a filter of
+    their ids with few false positives; the others pass where they are.
     """
     spark = docs.sparkSession
     B.ship(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*names)
-    bits = bits or filter_bits(docs.select(text))
-    told = spark.sparkContext.broadcast(twice_filter(docs, text, least, bits))
-    tag = f"{spark.sparkContext.applicationId}-{told._jbroadcast.id()}" if hasattr(told, "_jbroadcast") and told._jbroadcast else B.new_path(spark, "filter")
-    schema = T.StructType([docs.schema[c] for c in names]).add("n_lines", "long").add("_suspects", T.ArrayType(T.BinaryType()))
-
-    def mark(suspected: bool):
-        def run(batches):
-            twice = _bitmap(told, tag, bits)
-            for b in batches:
-                n, found = [], []
-                for v in b.column(text):
-                    raw = v.as_py()
-                    keys = keys_of(raw.encode(), least) if raw else [None]
-                    n.append(len(keys))
-                    own = list({k for k in keys if k})
-                    if own:
-                        pos = _positions(np.array([xxhash.xxh3_64_intdigest(k) for k in own], dtype=np.uint64), bits)
-                        hit = (twice[pos >> 3] >> (7 - (pos & 7).astype(np.uint8)) & 1).all(axis=1)
-                        own = [_digest(own[k]) for k in np.flatnonzero(hit)]
-                    found.append(own)
-                take = pa.array([bool(x) == suspected for x in found])
-                cols = [*[b.column(c) for c in names], pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, schema.names).filter(take)
-
-        return docs.mapInArrow(run, schema)
-
-    held = B.stage(mark(True), "suspects").withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)))
-    pairs = B.stage(held.select("_id", F.explode("_suspects").alias("_key")), "keys")
+    own = [f"_c{k}" for k in range(len(names))]  # a caller's names can't clash with ours
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(names, own, strict=True)])
+    said, who = own[names.index(text)], own[names.index(doc_id)]
+    rows = rows.withColumn("_id", F.coalesce(F.col(who).cast("long"), F.lit(LAST)))
+    bits = bits or filter_bits(rows.select(said))
+    told = spark.sparkContext.broadcast(twice_filter(rows.select(said), said, least, bits))
+    tag = B.new_path(spark, "filter")
+
+    def suspects(batches):
+        twice = _bitmap(told, tag, bits)
+        for b in batches:
+            ids, found = [], []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = v.as_buffer()
+                keys = list(set(filter(None, keys_of(raw.to_pybytes(), least)))) if raw is not None else []
+                if keys:
+                    hit = np.flatnonzero(_has(twice, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64), bits))
+                    ids += [i] * len(hit)
+                    found += [_digest(keys[k]) for k in hit]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["_id", "_key"])
+
+    pairs = B.stage(rows.select("_id", F.col(said).cast("binary")).mapInArrow(suspects, "_id long, _key binary"), "keys")
     repeated = pairs.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
     repeated = B.stage(repeated.select("_key", "_first"), "repeated")
     losing = pairs.join(repeated, "_key").filter(F.col("_id") != F.col("_first"))
     losing = B.stage(losing.groupBy("_id").agg(F.collect_set("_key").alias("_drop")), "losing")
     B.drop(pairs, repeated)
+    few = max(1 << 16, 16 * losing.count())
+    few = min(MAX_BITS, 1 << (few - 1).bit_length())
+    changed = spark.sparkContext.broadcast(id_filter(losing.select("_id"), few))
+    tag2 = B.new_path(spark, "changed")
+    n_lines = (F.coalesce(F.length(said) - F.length(F.replace(F.col(said), F.lit("\n"))), F.lit(0)) + 1).cast("long")
+
+    def only(hits: bool):
+        def run(batches):
+            bitmap = _bitmap(changed, tag2, few)
+            for b in batches:
+                yield b.filter(pa.array(_has(bitmap, _spread(b.column(b.num_columns - 1).to_numpy()), few) == hits))
+
+        return rows.mapInArrow(run, rows.schema)
 
     def cut(batches):
         for b in batches:
-            texts, n = [], []
-            for v, d in zip(b.column(text).to_pylist(), b.column("_drop").to_pylist(), strict=True):
-                gone = set(d or ())
-                if gone:
+            texts, n, at = [], [], b.schema.get_field_index(said)
+            for v, d in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+                v, gone, dropped = v.as_py(), set(d.as_py() or ()), 0
+                if gone and v is not None:
                     lines = v.split("\n")
                     stay = [x for x, k in zip(lines, keys_of(v.encode(), least), strict=True) if k is None or _digest(k) not in gone]
                     v, dropped = "\n".join(stay), len(lines) - len(stay)
-                else:
-                    dropped = 0
                 texts.append(v)
                 n.append(dropped)
-            cols = [pa.array(texts, b.column(text).type) if c == text else b.column(c) for c in [*names, "n_lines"]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], [*names, "n_lines", "n_dropped"])
+            cols = [pa.array(texts, b.column(k).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], [*b.schema.names[:-1], "_dropped"])
 
-    final = T.StructType(schema.fields[:-1]).add("n_dropped", "long")
-    joined = held.join(losing, "_id", "left").select(*names, "n_lines", "_drop").mapInArrow(cut, final)
-    return mark(False).select(*names, "n_lines", F.lit(0).cast("long").alias("n_dropped")).unionByName(joined)
+    joined = only(True).withColumn("_n", n_lines).join(losing, "_id", "left").select(*own, "_n", "_drop")
+    joined = joined.mapInArrow(cut, T.StructType(joined.schema.fields[:-1]).add("_dropped", "long"))
+    out = only(False).select(*own, n_lines.alias("_n"), F.lit(0).cast("long").alias("_dropped")).unionByName(joined)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(own, names, strict=True)], F.col("_n").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
