@@ -10,7 +10,7 @@ from . import _base as B
 #: Words of a block.
 BLOCK = 16
 #: Documents that a shard holds on average; shards are the groups that one task sorts.
-SHARD_DOCS = 50_000
+SHARD_DOCS = 4_096
 #: Multipliers of the seeded block permutation (fixed values: primes below 2^31).
 _PRIMES = (1000003, 15485863, 179424673, 2038074743, 2147483647)
 
@@ -152,8 +152,8 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """
     text = options.get("text", "text")
     d = decide(docs, keep=True, **options)
-    words = F.filter(F.split(F.col(f"_row.{text}"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    some = F.array_join(F.filter(words, lambda x, i: (F.floor((F.col("at") + i) / BLOCK) * F.col("prime") + F.col("shift")) % F.col("blocks") < F.col("extra")), " ")
+    words = F.regexp_extract_all(F.col(f"_row.{text}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.array_join(F.filter(words, lambda x, i: (F.floor((F.col("at") + i) / BLOCK) * F.col("prime") + F.col("shift")) % F.col("blocks") < F.col("extra")), "")
     whole = F.array_repeat(F.col(f"_row.{text}"), F.col("passes").cast("int"))
     part = F.col("taken") - F.col("passes") * F.col("size")
     texts = F.when(part == F.col("size"), F.concat(whole, F.array(F.col(f"_row.{text}")))).when(part > 0, F.concat(whole, F.array(some))).otherwise(whole)
