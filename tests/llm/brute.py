@@ -115,3 +115,29 @@ def nearest(rows, queries, k=20):
             order = np.lexsort((ids, -s))
             out[q] = [(int(ids[o]), float(s[o])) for o in order if ids[o] != q][:k]
     return out
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def mix_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """{source: target} by pouring: a capped source gives its excess back, shared by weight among the others."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, open_, target = share * sum(sizes.values()), set(order), {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = [s for s in open_ if left * w[s] / total >= cap * sizes[s]]
+        if not over:
+            return target | {s: left * w[s] / total for s in open_}
+        for s in over:
+            target[s] = cap * sizes[s]
+        left -= sum(cap * sizes[s] for s in over)
+        open_ -= set(over)
+    return target

@@ -18,14 +18,12 @@ from . import _base as B
 
 #: Labelled rows that the lexicon is learned from at most (those of the smallest id hash).
 TRAIN_ROWS = 20_000
-#: Terms of a lexicon at most.
-MAX_TERMS = 2_000
 #: Lengths of stems tried beside whole words, and least lengths for one and two edits.
 STEMS, ONE_EDIT, TWO_EDITS = (4, 5, 6), 5, 9
 #: Words of a shingle, bands and hashes of a band by which near copies among the labelled rows are found.
 SHINGLE, BANDS, BAND = 5, 8, 4
 #: Words that a worker's memo holds at most.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 #: Words on either side of a term that are read for context.
 WINDOW = 8
 #: Verbs and nouns of mention rather than use (fixed values).
@@ -258,7 +256,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tri
             stems.discard(s)
     short = {s for s in stems if not any(s[:k] + "*" in stems for k in range(1, len(s) - 1))}
     kept = [w for w in words if not any(w[:k] + "*" in short for k in range(1, len(w) + 1))]
-    return sorted([*kept, *short], key=lambda f: (-good[f][0], f))[:MAX_TERMS]
+    return sorted([*kept, *short], key=lambda f: (-good[f][0], f))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -307,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     if not toxic or not clean:
         return Model([], {}, _logit((toxic + 0.5) / (toxic + clean + 1)) if toxic + clean else _logit(0.1))
     tried = counts.count()
-    few = counts.filter("f not in ('', ' ') and toxic >= 3 and toxic >= 9 * clean").orderBy(F.desc("toxic"), "f").limit(20 * MAX_TERMS).collect()
+    few = counts.filter("f not in ('', ' ') and toxic >= 3 and toxic >= 9 * clean").collect()  # of at most ``rows`` texts
     terms = choose_terms({r.f: (r.toxic, r.clean) for r in few}, total[""].toxic, total[""].clean, tried)
     told = spark.sparkContext.broadcast(terms)
 
