@@ -15,8 +15,12 @@ from .graphs import components
 CELL, TREES, LIST = 256, 6, 16
 #: Nearest list entries that a round's joins pass on.
 PASS_ON = 6
-#: Share of lists that must change for another round, and rounds at most.
-SETTLED, ROUNDS = 0.002, 6
+#: Share of lists that must change for another round.
+SETTLED = 0.002
+#: Audited recall of links below which lists are doubled and refined again.
+RECALL = 0.9
+#: Cosines this near to the threshold are computed again in one order of additions.
+BAND = 1e-9
 #: Rows of one side of a counting block.
 BLOCK = 2048
 
@@ -27,6 +31,16 @@ def _unit(raws: list[bytes]) -> np.ndarray:
     return m / np.sqrt((m**2).sum(1))[:, None]
 
 
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of ``x`` reach ``least`` with rows of ``y``: one answer a pair, whatever block it is met in."""
+    sim = x @ y.T
+    hit = sim >= least
+    i, j = np.nonzero(np.abs(sim - least) < BAND)
+    if len(i):
+        hit[i, j] = V.dots(x[i], y[j]) >= least
+    return hit
+
+
 def _groups(batches, keys: int):
     """(key, columns as lists) of runs of equal first ``keys`` columns in sorted batches."""
     now, got = None, None
@@ -129,12 +143,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
 
     Two rows of one non-null label link when their cosine is at least
     ``least``. Equal vectors of a label are one node with a multiplicity.
-    NN-descent refines each node's ``k`` nearest until few lists change. A list
+    NN-descent refines each node's ``k`` nearest until few lists change, however
+    many rounds that takes. A list
     whose last entry still reaches ``least`` is saturated: its node is compared
     in blocks with its whole component and with every other node of its label
     within reach of that component by angle, so no partner is lost to the
     list's length; links found between components join them. The audit compares
-    a bounded sample of nodes, saturated or not, with all nodes of their labels.
+    a bounded sample of nodes, saturated or not, with all nodes of their labels;
+    below ``RECALL`` the lists are doubled and refined again. A pair at the
+    threshold is computed in one order of additions, so that all steps agree.
 
     Null, empty, zero vectors, those with null or non-finite components, those
     of another dimension than the most usual one, and rows of a null label link
@@ -156,44 +173,66 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, ident: str = "vec_i
     # an id repeated with other vectors may lead two nodes: nodes get numbers of their own
     nodes = B.stage(same.select("label", "raw", "times", F.col("id").alias("least_id"), F.monotonically_increasing_id().alias("id")), "nodes")
     only = nodes.select("id", "label", "raw")
-    lists = B.stage(start(only, size // 8, k), "lists")
     total = nodes.count()
-    for _ in range(ROUNDS):
-        after = B.stage(descend(lists, only, k), "lists")
-        changed = after.join(lists, ["u", "v"], "left_anti").select("u").distinct().count()
-        B.drop(lists)
-        lists = after
-        B.release(spark)
-        if changed <= SETTLED * total:
+    lists = B.stage(start(only, size // 8, k), "lists")
+    while True:
+        while True:
+            after = B.stage(descend(lists, only, k), "lists")
+            changed = after.join(lists, ["u", "v"], "left_anti").select("u").distinct().count()
+            B.drop(lists)
+            lists = after
+            B.release(spark)
+            if changed <= SETTLED * total:
+                break
+        counted, comp = partners(lists, nodes, only, least, k, size // 8)
+        recall = audit(nodes, counted, comp, least)
+        if recall >= RECALL or k >= total:
             break
+        k *= 2  # lists of twice the length, begun anew from other cells
+        lists = B.stage(_keep(lists.select("label", "u", "v", "sim").unionByName(start(only, size // 8, k, seed=k).select("label", "u", "v", "sim")), k), "lists")
+    per = nodes.join(counted, nodes["id"] == counted["u"], "left").select("id", "label", "raw", "least_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    per = per.join(comp, per["id"] == comp["node"], "left").select("label", "raw", "least_id", "n_links", F.coalesce("component", "id").alias("c"))
+    per = B.stage(per, "counted")
+    per = per.join(per.groupBy("c").agg(F.min("least_id").alias("component_id")), "c").select("label", "raw", "n_links", "component_id")
+    per = B.stage(per, "named")
+    linked = rows.join(per, ["label", "raw"]).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    rest = vectors.filter(F.col(label).isNull() | F.col(ident).isNull() | ~V.usable(vectors, vector) | (F.size(vector) != size // 8))
+    rest = rest.select(F.col(ident).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(ident).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(rest), recall
+
+
+def partners(lists: DataFrame, nodes: DataFrame, only: DataFrame, least: float, k: int, dim: int) -> tuple[DataFrame, DataFrame]:
+    """((u, n): rows linked with a node, (node, component)) from settled lists, saturated nodes compared in full; both staged."""
     links = B.stage(exact_links(lists, only, least), "links")
     comp = B.stage(components(links, "u", "v"), "components")
-    full = lists.groupBy("u").agg(F.max("place").alias("n"), F.min("sim").alias("last")).filter((F.col("n") >= k) & (F.col("last") >= least)).select(F.col("u").alias("id"))
+    full = lists.groupBy("u").agg(F.max("place").alias("n"), F.min("sim").alias("last")).filter((F.col("n") >= k) & (F.col("last") >= least - BAND)).select(F.col("u").alias("id"))
     full = B.stage(full, "saturated")
     weight = nodes.select(F.col("id").alias("v"), "times")
     counted = links.join(full, links["u"] == full["id"], "left_anti").join(weight, "v").groupBy("u").agg(F.sum("times").alias("n"))
     if full.limit(1).count():
-        found = B.stage(enlarged(full, comp, nodes, least, size // 8), "enlarged")
+        found = B.stage(enlarged(full, comp, nodes, least, dim), "enlarged")
         counted = counted.unionByName(found.filter("u is not null").select("u", "n")).groupBy("u").agg(F.sum("n").alias("n"))
         across = found.filter("a is not null").select("a", "b").distinct()
         if across.limit(1).count():
             # a component is named by one of its nodes, so these are links between nodes
             comp = B.stage(components(across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-    counted = B.stage(counted, "partners")
-    per = nodes.join(counted, nodes["id"] == counted["u"], "left").select("id", "label", "raw", "least_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    per = per.join(comp, per["id"] == comp["node"], "left").select("label", "raw", "least_id", "n_links", F.coalesce("component", "id").alias("c"))
-    per = B.stage(per, "counted")
-    per = per.join(per.groupBy("c").agg(F.min("least_id").alias("component_id")), "c").select("label", "raw", "n_links", "component_id")
-    per = B.stage(per, "named")
-    linked = rows.join(per, ["label", "raw"]).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    rest = vectors.filter(F.col(label).isNull() | F.col(ident).isNull() | ~V.usable(vectors, vector) | (F.size(vector) != size // 8))
-    rest = rest.select(F.col(ident).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(ident).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(rest), audit(nodes, counted, comp, least)
+    return B.stage(counted, "partners"), comp
 
 
 def exact_links(lists: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """List entries, both ways, whose cosine in double precision reaches ``least``."""
-    return lists.filter(F.col("sim") >= least).select("u", "v").unionByName(lists.filter(F.col("sim") >= least).select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    """List entries, both ways, whose cosine in double precision reaches ``least``; those near it are computed again."""
+    pairs = lists.filter(F.col("sim") >= least - BAND).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.abs(F.col("sim") - least) < BAND).alias("near")).groupBy("u", "v").agg(F.max("near").alias("near"))
+    pairs = B.stage(pairs, "reaching")
+
+    def check(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = _unit(b.column(2).to_pylist()), _unit(b.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array(V.dots(x, y) >= least))
+
+    near = pairs.filter("near").join(rows.select(F.col("id").alias("u"), F.col("raw").alias("x")), "u").join(rows.select(F.col("id").alias("v"), F.col("raw").alias("y")), "v")
+    sure = pairs.filter("not near").select("u", "v").unionByName(near.select("u", "v", "x", "y").mapInArrow(check, "u long, v long"))
+    return sure.unionByName(sure.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def enlarged(full: DataFrame, comp: DataFrame, nodes: DataFrame, least: float, dim: int) -> DataFrame:
@@ -227,7 +266,7 @@ def enlarged(full: DataFrame, comp: DataFrame, nodes: DataFrame, least: float, d
             n, gained, across = np.zeros(len(p), np.int64), np.zeros(len(ids), np.int64), set()
             for a in range(0, len(m), BLOCK):
                 some = m[a : a + BLOCK]
-                hit = (x[p] @ x[some].T >= least) & (ids[p][:, None] != ids[some])
+                hit = _linked(x[p], x[some], least) & (ids[p][:, None] != ids[some])
                 n += hit @ times[some]
                 outside = some[hit.any(0) & (own[some] != c)]
                 across.update(own[outside].tolist())
@@ -325,7 +364,7 @@ def audit(nodes: DataFrame, counted: DataFrame, comp: DataFrame, least: float, s
         for b in batches:
             if b.num_rows:
                 y, other, times = _unit(b.column(2).to_pylist()), b.column(0).to_numpy(), b.column(3).to_numpy()
-                hit = (x @ y.T >= least) & (labels[:, None] == b.column(1).to_numpy()) & (ids[:, None] != other)
+                hit = _linked(x, y, least) & (labels[:, None] == b.column(1).to_numpy()) & (ids[:, None] != other)
                 i, j = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j]), pa.array(times[j])], ["u", "v", "times"])
 

@@ -43,7 +43,8 @@ def line_dedup(spark, sf_dir):
 
 
 def embedding_near_dedup(spark, sf_dir):
-    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))[0]
+    rows, recall = neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("audited_recall", F.lit(float(recall)))
 
 
 def best_fit_packing(spark, sf_dir):
