@@ -3,10 +3,11 @@ import time
 
 import pytest
 
+from tokenloom.functions import scalars, units
 from tokenloom.functions import values as V
 from tokenloom.functions.lexer import count_kinds, lex
 from tokenloom.plans.pattern import Pattern, PatternError, escape
-from tokenloom.streaming.scan import Scanner
+from tokenloom.streaming.scan import Editor, Scanner, SetScanner
 
 HARBOUR = 'boat "Sea Gull" left pier 7 at 2023-05-06 04:15:00 with 250KB cargo (7, 12) paid $31.50'
 
@@ -71,7 +72,7 @@ def test_golden(pattern, text, want):
     assert [m.text for m in Pattern(pattern).find(text)] == want
 
 
-@pytest.mark.parametrize("bad", ['"open', r"\{nothing}", "(", "a b", r"\N{>+1:k}", r"\{qty}", r"\N{>abc}", r"\I{in:nowhere}", "=later", r"(\W+)~1", r"\W{3,2}", r"\W::s", "@seam", r"(?orbit:moon \W)"])
+@pytest.mark.parametrize("bad", ['"open', r"\{nothing}", "(", "a b", r"\N{>+1:k}", r"\N{>abc}", r"\I{in:nowhere}", "=later", r"(\W+)~1", r"\W{3,2}", r"\W::s", "@seam", r"(?orbit:moon \W)"])
 def test_patterns_that_are_not_understood_are_refused(bad):
     with pytest.raises(PatternError):
         Pattern(bad)
@@ -141,3 +142,46 @@ def test_a_stream_forgets_what_it_has_decided():
     s, text = Scanner(r"\W \W"), "alpha beta gamma delta\n" * 400
     found = s.push(text)
     assert len(found) == 800 and len(s.buffer) < 100
+
+
+def test_sets_and_edits_of_a_stream():
+    rng = random.Random(9)
+    for _ in range(30):
+        text = "".join(rng.choice(["ab ", "12 ", "x@y.org ", "\n", "( ", ") "]) for _ in range(40))
+        s, e, got, new, at = SetScanner({"n": r"\N", "pair": r"\W \N"}), Editor(r"\N+", lambda t: f"<{t}>"), [], "", 0
+        while at < len(text):
+            n = rng.randint(1, 12)
+            got += s.push(text[at : at + n])
+            new += e.push(text[at : at + n])
+            at += n
+        got, new = got + s.finish(), new + e.finish()
+        want = [(m.start, m.end, k, m.text) for k, p in (("n", r"\N"), ("pair", r"\W \N")) for m in Pattern(p).find(text)]
+        assert sorted(got) == sorted(want)
+        out, at = "", 0
+        for m in Pattern(r"\N+").find(text):
+            out, at = out + text[at : m.start] + f"<{m.text}>", m.end
+        assert new == out + text[at:]
+
+
+def test_units_lenses_and_names():
+    said = lambda p, t, **k: [m.text for m in Pattern(p, **k).find(t)]
+    assert [(u.role, u.depth) for u in units.divide(lex("run(a, b)\nkey: 5\n1,2,3\nx = (4) ; plain words [z"))] == [("call", 0), ("plain", 1), ("kv", 0), ("list", 0), ("assign", 0), ("numeric", 1), ("plain", 0)]
+    assert said("@call", "sum(1, 2) and x (3)") == ["sum(1, 2)", "x (3)"] and said('#"W(N,N)"', "at pos(3, 4) or pos(3)") == ["pos(3, 4)"]
+    assert said("@range", "from 3..9 to 4-5") == ["3..9", "4-5"] and said(r"@super:numeric \N", "total = 5 ; (7, 8) x") == ["7", "8"]
+    assert said(r"\{pair}+", "a = 1 b = 2 c", lets={"pair": r'\W "=" \{v}', "v": r"\N"}) == ["a = 1 b = 2"]
+    assert said('"OAK"', "oak Oak elm", ignore_case=True) == ["oak", "Oak"] and said(r"\N+", "1 2", swap_greed=True) == ["1", "2"]
+    assert said(r"\{qty}{>5kg}", "6kg 4000g 6m2 11.1lb 7000g") == ["6kg", "11.1lb", "7000g"]
+    with pytest.raises(PatternError):
+        Pattern(r"\{loop}", {"loop": r"\W \{loop}"})
+    p = Pattern(r'\E "at" (\N | \W) \I*')
+    assert p.needs.kinds == {"email"} and p.needs.words == {"at"}
+
+
+def test_scalars():
+    assert scalars.mod97("GB33BUKB20201555555555") and not scalars.mod97("GB34BUKB20201555555555")
+    assert scalars.gs1("4006381333931") and scalars.isbn("0-306-40615-2") and scalars.vin("1M8GDM9AXKP042788") and scalars.isin("US0378331005")
+    assert not any(f("12345678901234567") for f in (scalars.isbn, scalars.vin, scalars.isin))
+    assert scalars.plain_url("HTTP://Ex.org:80/%7ea%2fb?q#f") == "http://Ex.org/~a%2Fb?q#f".lower().replace("%2f", "%2F")
+    assert scalars.claim("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiJ4In0.s", "sub") == "x" and scalars.claim("a.b", "sub") is None
+    assert scalars.octets("1.2.3.4", 2, 3) == "2.3" and scalars.groups("fe80::1", 1, 2) == "fe80:0000" and scalars.decoded("a") is None
+    assert [scalars.identifier(x) for x in ("ab", "FOO", "foo_bar", "fooBar", "FooBar", "foo")] == ["short", "SCREAM", "snake", "camel", "Pascal", "word"]

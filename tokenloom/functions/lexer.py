@@ -9,6 +9,22 @@ from dataclasses import dataclass
 SIZE_UNITS = {"b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "pb": 10**15, "kib": 2**10, "mib": 2**20, "gib": 2**30, "tib": 2**40, "pib": 2**50}
 TIME_UNITS = {"ns": 1, "us": 10**3, "µs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9, "d": 86400 * 10**9, "w": 7 * 86400 * 10**9, "y": 365 * 86400 * 10**9}
 
+#: Units of measure by family, in the family's base (fixed values); lengths of time are durations, sizes of data bytesizes.
+FAMILIES = {
+    "mass": {"mg": "1e-3", "g": "1", "kg": "1e3", "lb": "453.59237", "lbs": "453.59237", "oz": "28.349523125"},
+    "length": {"nm": "1e-9", "mm": "1e-3", "cm": "1e-2", "km": "1e3", "ft": "0.3048", "yd": "0.9144", "mi": "1609.344"},
+    "area": {"m²": "1", "m2": "1", "km²": "1e6", "km2": "1e6", "ha": "1e4"},
+    "volume": {"ml": "1e-6", "mL": "1e-6", "cl": "1e-5", "dl": "1e-4", "l": "1e-3", "L": "1e-3", "m³": "1", "m3": "1"},
+    "frequency": {"Hz": "1", "kHz": "1e3", "MHz": "1e6", "GHz": "1e9"},
+    "voltage": {"mV": "1e-3", "V": "1", "kV": "1e3"},
+    "current": {"mA": "1e-3", "A": "1"},
+    "power": {"mW": "1e-3", "W": "1", "kW": "1e3", "MW": "1e6"},
+    "energy": {"J": "1", "kJ": "1e3", "Wh": "3600", "kWh": "3.6e6"},
+    "pressure": {"Pa": "1", "hPa": "1e2", "kPa": "1e3"},
+    "force": {"N": "1", "kN": "1e3"},
+}
+UNITS = {u: (f, x) for f, us in FAMILIES.items() for u, x in us.items()}
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _IP6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?"
@@ -38,6 +54,7 @@ CHAIN = (
     ("bytesize", rf"{_NUM} ?(?:[KMGTP]i?B|B)(?!\w)"),
     ("percent", rf"{_NUM}%"),
     ("duration", rf"{_NUM}(?:ns|us|µs|ms|s|m|h|d|w|y)(?!\w)"),
+    ("quantity", rf"{_NUM}(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\w)"),
     ("hexcolor", r"#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})(?!\w)"),
     ("path", r"(?<![<\w])(?:~|\.{1,2})?/(?:[\w.@+-]+/)*[\w.@+-]+|[A-Za-z]:\\[\w.\\-]+"),
     ("number", r"0x[0-9A-Fa-f]+|0b[01]+|0o[0-7]+|\d+(?:_\d+)*(?:\.\d+)?(?:[eE][+-]?\d+)?(?![^\W\d_])"),

@@ -9,7 +9,7 @@ from decimal import Decimal, InvalidOperation
 from fractions import Fraction
 from urllib.parse import urlsplit
 
-from .lexer import SIZE_UNITS, TIME_UNITS
+from .lexer import SIZE_UNITS, TIME_UNITS, UNITS
 
 _AMOUNT = re.compile(r"([\d_.,]+(?:[eE][+-]?\d+)?)\s*(\D*)$")
 #: Formats of instants that are tried in turn (fixed values).
@@ -71,6 +71,9 @@ def value(kind: str, text: str):
         unit = m and (SIZE_UNITS if kind == "bytesize" else TIME_UNITS).get(m[2].strip().lower())
         n = m and number(m[1])
         return n * unit if unit and n is not None else None
+    if kind == "quantity":
+        n, unit = measured(text)
+        return None if n is None or unit not in UNITS else n * Decimal(UNITS[unit][1])
     if kind == "timestamp":
         return instant(text)
     if kind == "version":
@@ -80,10 +83,19 @@ def value(kind: str, text: str):
     return None
 
 
+def measured(text: str) -> tuple[Decimal | None, str]:
+    """(number, unit) of a quantity as written."""
+    m = re.match(r"[\d_]+(?:\.\d+)?", text)
+    return (number(m[0]), text[m.end() :].strip()) if m else (None, "")
+
+
 def field(kind: str, text: str, name: str):
     """A named part of a token as written, or None."""
     if name == "len":
         return Decimal(len(text))
+    if kind == "quantity":
+        n, unit = measured(text)
+        return {"value": n, "unit": unit, "family": UNITS.get(unit, ("",))[0]}.get(name)
     if kind == "url":
         u = urlsplit(text)
         port = u.port or {"http": 80, "https": 443, "ftp": 21, "ssh": 22}.get(u.scheme)

@@ -44,15 +44,24 @@ def echo(t: DataFrame) -> DataFrame:
 
 
 def flow(t: DataFrame, signal: str) -> DataFrame:
-    """Slope over four tokens, direction beyond 0.05, and the length of the run of one direction."""
+    """Slope over four tokens, direction beyond 0.05, whether it turned since the last steep one, and the length of the run of one direction."""
     n = F.greatest(F.lit(1), F.least(F.col("tok"), F.lit(4)))
     first = F.first(signal).over(_w().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     t = t.withColumn("slope", (F.col(signal) - F.coalesce(F.lag(signal, 4).over(_w()), first)) / n)
     t = t.withColumn("direction", F.when(F.col("slope") > 0.05, 1).when(F.col("slope") < -0.05, -1).otherwise(0))
+    before = F.last(F.nullif("direction", F.lit(0)), ignorenulls=True).over(_w().rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("reversal", (F.col("direction") != 0) & F.coalesce(F.col("direction") != before, F.lit(False)))
     t = t.withColumn("_run", F.sum((F.col("direction") != F.coalesce(F.lag("direction").over(_w()), F.lit(9))).cast("int")).over(_w()))
     return t.withColumn("momentum", F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("tok"))).drop("_run")
 
 
+def keyed_history(t: DataFrame, by: str = "=") -> DataFrame:
+    """(doc_id, tok, key, m, mean, n): each number bound to a key, with the mean magnitude and count of earlier values of that key in its document."""
+    t = magnitude(t).withColumns({"_mark": F.lag("text").over(_w()), "key": F.lag("text", 2).over(_w())})
+    earlier = Window.partitionBy("doc_id", "key").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    return t.filter((F.col("_mark") == by) & (F.col("kind") == "number")).select("doc_id", "tok", "key", "m", F.avg("m").over(earlier).alias("mean"), F.count("m").over(earlier).alias("n"))
+
+
 def observation(t: DataFrame, window: int = 32) -> DataFrame:
     """Entropy of kinds before, after and around each token, and how far they disagree."""
 

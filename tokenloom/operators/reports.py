@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import json
 import re
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType
 
 from ..functions import values as V
-from ..plans.pattern import Pattern
+from ..functions.lexer import KINDS, lex
+from ..plans.pattern import Pattern, escape
 from ..shipping import ship
-from .scan import matches, tokens
+from .scan import matches
 
 
 def key(template: str) -> Column:
@@ -205,13 +207,75 @@ def _edit(docs, pattern, doc_id, text, most, render, names: str | None = None) -
 
 
 def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Line templates: lines grouped by their kinds; constant cells stay literal, others become <kind>."""
-    t = tokens(docs, doc_id, text)
-    cells = t.withColumn("cell", F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("tok")))
-    shape = cells.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "kind"))), lambda x: x["kind"]), " ").alias("shape"))
-    cells = cells.select("doc_id", "line", "cell", "kind", "text").join(shape, ["doc_id", "line"])
-    spelled = cells.groupBy("shape", "cell").agg(F.when(F.min("text") == F.max("text"), F.min("text")).otherwise(F.concat(F.lit("<"), F.first("kind"), F.lit(">"))).alias("said"), F.count("*").alias("count"))
-    return spelled.groupBy("shape").agg(F.first("count").alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "said"))), lambda x: x["said"]), " ").alias("template"))
+    """(shape, count, template): lines grouped by their kinds; cells that never change stay literal, others become <kind>.
+
+    Lines are grouped where they are lexed; what is exchanged is a row for each
+    shape that a batch holds and, of those, one for each cell.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            held: dict[str, list] = {}
+            for t in b.column(0):
+                ts = lex(t.as_py())
+                cut = [0, *[k for k in range(1, len(ts)) if ts[k].line > ts[k - 1].line], len(ts)]
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    if x < y:
+                        said = [k.text for k in ts[x:y]]
+                        got = held.setdefault(" ".join(k.kind for k in ts[x:y]), [0, said, [True] * len(said)])
+                        got[0] += 1
+                        got[2] = [c and p == q for c, p, q in zip(got[2], got[1], said, strict=True)]
+            cols = [list(held), [v[0] for v in held.values()], [v[1] for v in held.values()], [v[2] for v in held.values()]]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shape", "n", "said", "same"])
+
+    part = docs.select(text).mapInArrow(run, "shape string, n long, said array<string>, same array<boolean>")
+    cells = part.select("shape", "n", F.posexplode(F.arrays_zip("said", "same")).alias("cell", "x")).groupBy("shape", "cell").agg(F.sum("n").alias("count"), F.min("x.said").alias("_a"), F.max("x.said").alias("_b"), F.min("x.same").alias("_same"))
+    kind = F.element_at(F.split("shape", " "), F.col("cell") + 1)
+    cells = cells.withColumn("said", F.when(F.col("_same") & (F.col("_a") == F.col("_b")), F.col("_a")).otherwise(F.concat(F.lit("<"), kind, F.lit(">"))))
+    return cells.groupBy("shape").agg(F.first("count").alias("count"), F.transform(F.array_sort(F.collect_list(F.struct("cell", "said"))), lambda x: x["said"]).alias("cells")).withColumn("template", F.array_join("cells", " "))
+
+
+def rare(found: DataFrame, least: int | None = None, percent: float | None = None) -> DataFrame:
+    """Templates of fewer than ``least`` lines, or under ``percent`` of all lines, or under the mean count."""
+    if least is not None:
+        return found.filter(F.col("count") < least)
+    total = found.agg(F.sum("count").alias("_all"), F.count(F.lit(1)).alias("_n"))  # one row
+    test = F.col("count") * 100 < F.col("_all") * percent if percent is not None else F.col("count") * F.col("_n") < F.col("_all")
+    return found.crossJoin(F.broadcast(total)).filter(test).drop("_all", "_n")
+
+
+def admitted(mine: DataFrame, theirs: DataFrame, novel: bool = False) -> DataFrame:
+    """Templates of ``mine`` that some template of ``theirs`` admits (``novel``: that none does): of one shape, each literal cell equal."""
+    other = theirs.select(F.col("shape").alias("_s"), F.col("cells").alias("_c"))
+    fits = F.forall(F.zip_with("cells", "_c", lambda a, b: (a == b) | b.rlike("^<[a-z]+>$")), lambda x: x)
+    return mine.join(other, (F.col("shape") == F.col("_s")) & fits, "left_anti" if novel else "left_semi")
+
+
+def as_pattern(template: str) -> str:
+    """A pattern for the lines of a template."""
+    return "^ " + " ".join(rf"\{{{c[1:-1]}}}" if re.fullmatch("<[a-z]+>", c) and c[1:-1] in KINDS else escape(c) for c in template.split(" ")) + " $"
+
+
+def as_json(found: DataFrame) -> DataFrame:
+    """(value,): each row of matches, tables or findings as one JSON object."""
+    return found.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def diffs(before: DataFrame, after: DataFrame, lines: int = 3) -> DataFrame:
+    """(doc_id, diff): unified differences of the texts that changed; ids must be distinct."""
+
+    def run(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), "before", "after", n=lines, lineterm="")) for a, b in zip(old, new, strict=True)], dtype=object)
+
+    both = before.select("doc_id", F.col("text").alias("_old")).join(after.select(F.col("doc_id").alias("_d"), F.col("text").alias("_new")), F.col("doc_id") == F.col("_d"))
+    return both.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("doc_id", F.pandas_udf(run, StringType())("_old", "_new").alias("diff"))
+
+
+def rewrite_with(docs: DataFrame, pattern: str, how, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, n_changes): each match replaced by ``how(match)``, which gets text, line and registers."""
+    return _edit(docs, pattern, doc_id, text, None, lambda p: lambda m, names: how(m))
 
 
 def findings(docs: DataFrame, rules: list[dict]) -> DataFrame:
@@ -225,6 +289,15 @@ def findings(docs: DataFrame, rules: list[dict]) -> DataFrame:
     return out.select("doc_id", "line", "start", "end", F.col("member").alias("rule"), "severity", "message", "text")
 
 
+def fixed(docs: DataFrame, rules: list[dict]) -> DataFrame:
+    """(doc_id, text): the fixes of rules applied in turn, where a rule has one (a template in its registers)."""
+    out = docs.select("doc_id", "text")
+    for r in rules:
+        if r.get("fix") is not None:
+            out = rewrite(out, r["pattern"], r["fix"]).select("doc_id", "text")
+    return out
+
+
 def sarif(found: DataFrame) -> DataFrame:
     """One SARIF result object a finding, as JSON text."""
     place = F.struct(F.struct(F.struct(F.col("doc_id").cast("string").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))

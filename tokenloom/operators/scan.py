@@ -78,17 +78,18 @@ def shared(docs: DataFrame, other: DataFrame, doc_id: str = "doc_id", text: str
 SLICE = 5_000
 
 
-def matches(docs: DataFrame, pattern: str | dict[str, str], doc_id: str = "doc_id", text: str = "text", need: str | None = None, limit: int | None = None, others: dict[str, DataFrame] | None = None) -> DataFrame:
+def matches(docs: DataFrame, pattern: str | dict[str, str], doc_id: str = "doc_id", text: str = "text", need: str | None = None, limit: int | None = None, others: dict[str, DataFrame] | None = None, **options) -> DataFrame:
     """One row a match: leftmost, not overlapping, in order; a dict of patterns adds ``member``.
 
     ``need`` is a literal that every match must hold; the scan then skips other
     rows before Python sees them. ``limit`` is the most matches of an input.
     ``others`` are the inputs (columns doc_id and text) that a pattern names
-    with @; document ids must then be distinct.
+    with @; document ids must then be distinct. ``options`` are those of
+    ``Pattern`` (lets, orbit, ignore_case, swap_greed).
     """
     ship(docs.sparkSession)
     many = isinstance(pattern, dict)
-    compiled = [Pattern(p) for p in (pattern.values() if many else [pattern])]  # refuse a bad pattern before any input is read
+    compiled = [Pattern(p, **options) for p in (pattern.values() if many else [pattern])]  # refuse a bad pattern before any input is read
     named = sorted(set().union(*[p.joins for p in compiled]))
     if missing := [n for n in named if n not in (others or {})]:
         raise PatternError(f"no input is given for @{missing[0]}")
@@ -100,7 +101,7 @@ def matches(docs: DataFrame, pattern: str | dict[str, str], doc_id: str = "doc_i
         rows = rows.join(have, F.col("_doc").eqNullSafe(F.col("_d")), "left").drop("_d")
 
     def run(batches):
-        pats = {n: Pattern(p) for n, p in (pattern.items() if many else [("", pattern)])}
+        pats = {n: Pattern(p, **options) for n, p in (pattern.items() if many else [("", pattern)])}
         kinds = (pa.int64(), *[pa.int32()] * 4, pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
         names = ["doc_id", "m", "start", "end", "line", "text", "registers", "kinds", "member"]
 

@@ -95,6 +95,7 @@ both("h2_lags", "with r as (select doc_id, text, tok - lag(tok) over (partition
 both("h3_gradient", "with r as (select doc_id, length(text) - coalesce(lag(length(text)) over (partition by doc_id order by tok), length(text)) as g from {tok}) select doc_id, cast(max(g) as bigint) as steepest, cast(min(g) as bigint) as lowest from r group by doc_id")
 both("h4_energy", "with r as (select doc_id, sum(length(text) * length(text)) over (partition by doc_id order by tok rows between 15 preceding and current row) as e from {tok}) select doc_id, cast(max(e) as bigint) as peak from r group by doc_id")
 QUERIES["h4_energy"] = lambda s, d: axes.rolling_energy(table(s, d, "documents"))
+both("h15_frames", "select event_id, cast(ntile(4) over w as bigint) as quarter, round(cume_dist() over w, 9) as share, round(percent_rank() over w, 9) as place, cast(sum(cast(event_id % 7 as bigint)) over (partition by user_id order by event_id range between 500 preceding and current row) as bigint) as recent from {events} window w as (partition by user_id order by value, event_id)")
 # limits
 both("i3_line_range", "select doc_id, cast(rec as bigint) as rec, text from {lines} where rec between 2 and 4")
 # sets and records

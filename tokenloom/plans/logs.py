@@ -13,9 +13,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from ..operators import lines as L
-from ..operators import axes, reports, scan
+from ..functions import scalars
+from ..operators import axes, bpe, index, records, reports, scan
 
 #: Columns that a line is written from, and the line; MOMENT(x) is an instant in text.
 _PARTS = """event_id, user_id, event_type, ts, cast(value as decimal(14,2)) as amount, user_id % 256 as a, event_id % 256 as b, event_id % 7 as c,
@@ -212,6 +214,13 @@ reading("p3_flow", lambda t: axes.flow(axes.magnitude(t), "m").groupBy("doc_id")
     f as (select *, sum(turn) over (partition by doc_id order by tok) as run from e),
     g as (select *, row_number() over (partition by doc_id, run order by tok) as momentum from f)
     select doc_id, cast(max(momentum) as int) as momentum, round(max(slope), 6) as steepest from g group by doc_id""")
+reading("h7_reversals", lambda t: axes.flow(axes.magnitude(t), "m").groupBy("doc_id").agg(F.count_if("reversal").alias("n")), """, s as (select doc_id, tok, (m - coalesce(lag(m, 4) over w, first_value(m) over w)) / greatest(1, least(tok, 4)) as slope from m window w as (partition by doc_id order by tok)),
+    d as (select *, case when slope > 0.05 then 1 when slope < -0.05 then -1 else 0 end as dir from s),
+    e as (select *, last_value(case when dir <> 0 then dir end ignore nulls) over (partition by doc_id order by tok rows between unbounded preceding and 1 preceding) as before from d)
+    select doc_id, count(*) filter (dir <> 0 and before is not null and dir <> before) as n from e group by doc_id""")
+reading("h2_lags", lambda t: axes.echo(t).filter("text = '='").groupBy("doc_id").agg(F.max("back_lag").cast("long").alias("widest"), F.min("fwd_lag").cast("long").alias("narrowest")), """, q as (select doc_id, unnest([length(concat({0}, ' ', event_type, ' user')), position(' value=' in text) + 5, position(' size=' in text) + 4, position(' cost=' in text) + 4, position(' load=' in text) + 4, position(' took=' in text) + 4]) as x, unnest(range(0, 6)) as k from logs),
+    r as (select doc_id, x - lag(x) over (partition by doc_id order by k) as gap from q) select doc_id, cast(max(gap) as bigint) as widest, cast(min(gap) as bigint) as narrowest from r group by doc_id""".replace("{0}", _MOMENT))
+reading("h11_keyed_history", lambda t: axes.keyed_history(t, '=').filter("key = 'value'").select("doc_id", F.round("mean", 6).alias("mean"), "n"), "select doc_id, cast(null as double) as mean, cast(0 as bigint) as n from toks where text = 'value'")
 reading("p4_echo", lambda t: axes.echo(t).groupBy("doc_id").agg(F.count_if("novel").alias("novel"), F.max("count").alias("most"), F.max("nth_back").cast("long").alias("deepest")), """, r as (select doc_id, count(*) over (partition by doc_id, text) as n, row_number() over (partition by doc_id, text order by tok) as nth from toks)
     select doc_id, count(*) filter (nth = 1) as novel, max(n) as most, max(nth) as deepest from r group by doc_id""")
 reading("p13_gravity", lambda t: axes.gravity(t).withColumn("lift", F.round("lift", 6)), """, n as (select b.tok - a.tok as d, a.kind as a, b.kind as b, count(*) as n from toks a join toks b on a.doc_id = b.doc_id and b.tok > a.tok and b.tok - a.tok <= 32 group by 1, 2, 3)
@@ -228,3 +237,46 @@ add("n1_paragraphs", lambda s, d: scan.paragraphs(spaced(s, d)).groupBy("doc_id"
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sessions`` with an empty line between lines."""
     return sessions(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
+
+
+# units, records, sinks
+_UNIT = f"""select doc_id, 'assign' as role, 0 as depth, concat(substr(text, 1, position(' (' in text) - 1)) as text from logs
+    union all select doc_id, 'numeric', 1, concat(c, ', ', b) from logs union all select doc_id, 'plain', 0, {_PATH} from logs"""
+add("a12_units", lambda s, d: records.units(logs(s, d)).select("doc_id", "role", "depth", "text"), _UNIT)
+add("n2_blocks", lambda s, d: records.blocks(logs(s, d)).select("doc_id", "rec", "text"), f"select doc_id, 1 as rec, {_BRACKET} as text from logs")
+add("n3_units_of_a_role", lambda s, d: records.units(sessions(s, d), "numeric").select("doc_id", "text"), "select user_id as doc_id, concat(c, ', ', b) as text from logs")
+add("n7_started_records", lambda s, d: records.started(sessions(s, d), r"^ \T").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("rec").cast("long").alias("last")), "select user_id as doc_id, count(*) as n, count(*) as last from logs group by user_id")
+add("n8_span_records", lambda s, d: records.spans(logs(s, d), r'"value" "=" \N').select("doc_id", "text"), "select doc_id, concat('value=', amount) as text from logs")
+count("e15_in_numeric_unit", r"@super:numeric \N", "select doc_id, cast(2 as bigint) as n from logs")
+find("d20_assignment", "@assignment", "select doc_id, unnest(['user=', 'value=', 'size=', 'cost=', 'load=', 'took=']) as text from logs")
+find("d21_silhouette", '#"(N,N)"', f"select doc_id, {_BRACKET} as text from logs")
+add("o3_let", lambda s, d: scan.matches(logs(s, d), r'"load" \{share}', lets={"share": r'"=" \{much}', "much": r"\%{>50}"}).select("doc_id", "text"), "select doc_id, concat('load=', pct, '%') as text from logs where pct > 50")
+add("o7_rule_fixes", lambda s, d: reports.fixed(logs(s, d), [{"name": "ip", "pattern": r"\I:a", "fix": "0.0.0.0"}, {"name": "mail", "pattern": r"\E", "fix": "someone"}]), f"select doc_id, replace(replace(text, concat(' from ', {_IP}, ' '), ' from 0.0.0.0 '), {_MAIL}, 'someone') as text from logs")
+add("a13_json", lambda s, d: reports.as_json(scan.matches(logs(s, d), r"\%{>90}").select("doc_id", "text")), """select concat('{"doc_id":', doc_id, ',"text":"', pct, '%"}') as value from logs where pct > 90""")
+add("m3_closure", lambda s, d: reports.rewrite_with(logs(s, d), r"\V", lambda m: m.text.upper()).select("doc_id", "text"), f"select doc_id, replace(text, {_VERSION}, upper({_VERSION})) as text from logs")
+add("m9_differences", lambda s, d: reports.diffs(logs(s, d), reports.rewrite(logs(s, d), '"purchase"', "sale").select("doc_id", "text")).select("doc_id", F.length("diff").cast("long").alias("n")), "select doc_id, cast(2 * length(text) + 32 as bigint) as n from logs where event_type = 'purchase'")
+# summaries that leave inputs out
+add("f10_candidates_lose_no_match", lambda s, d: scan.matches(index.pruned(logs(s, d), index.build(logs(s, d)), r'"purchase" .* \V{major=3}:v'), r'"purchase" .* \V{major=3}:v').select("doc_id"), "select doc_id from logs where event_type = 'purchase' and major = 3")
+add("a18_candidates", lambda s, d: index.candidates(index.build(logs(s, d)), '"purchase"').join(logs(s, d).filter("event_type = 'purchase'").select("doc_id"), "doc_id", "left_semi"), "select doc_id from logs where event_type = 'purchase'")
+add("a19_stale_inputs", lambda s, d: index.stale(logs(s, d), index.build(logs(s, d).filter("event_id % 3 != 0"))).select("doc_id"), "select doc_id from logs where event_id % 3 = 0")
+# templates
+add("k3_rare_templates", lambda s, d: reports.rare(reports.templates(logs(s, d).withColumn("text", F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("note "), F.col("event_id"))).otherwise(F.col("text"))))).select("count", "template"), "select count(*) as count, 'note <number>' as template from logs where event_id % 97 = 0")
+add("k4_novel_templates", lambda s, d: reports.admitted(reports.templates(logs(s, d).withColumn("text", F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("note "), F.col("event_id"))).otherwise(F.col("text")))), reports.templates(logs(s, d)), True).select("count", "template"), "select count(*) as count, 'note <number>' as template from logs where event_id % 97 = 0")
+add("j5_shared_templates", lambda s, d: reports.admitted(reports.templates(logs(s, d).filter("event_id % 2 = 0")), reports.templates(logs(s, d))).select("count"), "select count(*) as count from logs where event_id % 2 = 0")
+# scalars
+def _scalar(fn, kind):
+    """A function of texts as a column function, in Arrow batches."""
+    return F.pandas_udf(lambda x: x.map(fn), kind)
+
+
+add("l3_octets", lambda s, d: scan.matches(logs(s, d), r"\I").select("doc_id", _scalar(lambda x: scalars.octets(x, 2, 3), StringType())("text").alias("part")), "select doc_id, concat(a, '.', b) as part from logs")
+add("l14_plain_urls", lambda s, d: addresses(s, d).select("doc_id", _scalar(lambda x: scalars.plain_url(x[4:-9]), StringType())("text").alias("url")).filter("url not like '%\\%%'"), "select page_id as doc_id, regexp_replace(url, '^(https?://[^/?#]+)($|[?#])', '\\1/\\2') as url from pages where url not like '%\%%' escape '\' and url is not null")
+add("l21_checks", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", _scalar(lambda x: scalars.gs1(x), BooleanType())(F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("ok")), """with d as (select o_orderkey, lpad(cast(o_orderkey as varchar), 8, '0') as t from orders)
+    select o_orderkey, (3 * (cast(t[1] as int) + cast(t[3] as int) + cast(t[5] as int) + cast(t[7] as int)) + cast(t[2] as int) + cast(t[4] as int) + cast(t[6] as int) + cast(t[8] as int)) % 10 = 0 as ok from d""")
+add("l22_bits_per_byte", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(_scalar(lambda x: scalars.bits_per_byte(x.encode()), DoubleType())("p_name"), 6).alias("bits")), """with c as (select p_partkey, unnest(string_split(p_name, '')) as c from part), n as (select p_partkey, c, count(*) as n from c where c <> '' group by p_partkey, c),
+    t as (select *, sum(n) over (partition by p_partkey) as t from n) select p_partkey, round(-sum(n / t * log2(n / t)), 6) as bits from t group by p_partkey""")
+add("l23_base64", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", _scalar(lambda x: (scalars.decoded(x) or b"").decode(), StringType())(F.base64(F.col("c_name").cast("binary"))).alias("name")), "select c_custkey, cast(from_base64(to_base64(encode(c_name))) as varchar) as name from customer")
+add("l29_identifiers", lambda s, d: scan.matches(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.concat(F.col("c_mktsegment"), F.lit(" c_custkey userName "), F.initcap("c_mktsegment")).alias("text")), r"\W").select("doc_id", "m", _scalar(scalars.identifier, StringType())("text").alias("form")), "select c_custkey as doc_id, unnest([0, 1, 2, 3]) as m, unnest(['SCREAM', 'snake', 'camel', 'Pascal']) as form from customer")
+add("l9_quantities", lambda s, d: scan.matches(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("weighs "), F.col("p_size"), F.lit("kg or "), F.col("p_size") * 1000, F.lit("g")).alias("text")), r"\{qty}{>20kg}").select("doc_id", "text"), "select p_partkey as doc_id, unnest([concat(p_size, 'kg'), concat(p_size * 1000, 'g')]) as text from part where p_size > 20")
+# sub-words
+add("s4_bpe_round_trip", lambda s, d: bpe.encode(logs(s, d), bpe.train(logs(s, d).select("text"), 40)).select("doc_id", F.replace(F.array_join("symbols", ""), F.lit(bpe.END), F.lit(" ")).alias("text")), "select doc_id, concat(text, ' ') as text from logs")

@@ -13,9 +13,24 @@ from decimal import Decimal
 
 from ..functions import values as V
 from ..functions.lexer import KINDS, Token, lex
+from ..functions.units import ROLES, divide
 
 #: One-letter atoms (fixed values).
 LETTERS = {"N": "number", "W": "word", "Q": "quoted", "I": "ip", "C": "cidr", "U": "url", "E": "email", "T": "timestamp", "V": "version", "H": "hexcolor", "%": "percent", "Z": "bytesize", "$": "money", "D": "hash", "R": "duration", "L": "path", "P": "punct"}
+#: Shapes that stand for a pattern.
+LENSES = {
+    "call": r"\W \B(.*)",
+    "block": r"\B{.*}",
+    "nesting": r"\B",
+    "string": r"\Q",
+    "number": r"\N",
+    "ident": r"\W",
+    "assignment": r'\W "="',
+    "kv": r'\W [":" "="]',
+    "flag": r'"-"{1,2} \W',
+    "list": r'[\W \N \Q] ("," [\W \N \Q])+',
+    "range": r'\N ("." "." | "-" | ":") \N',
+}
 CLASSES = {"d": r"[0-9]+", "w": r"[0-9A-Za-z_]+", "h": r"[0-9A-Fa-f]+", "a": r"[A-Za-z]+", "u": r"[A-Z]+", "l": r"[a-z]+"}
 
 
@@ -62,6 +77,17 @@ class Input:
 
         return self.once("fields", make)
 
+    def units(self) -> list:
+        """The unit of each token, None for ends of statements and paired brackets."""
+
+        def make():
+            out: list = [None] * len(self.tokens)
+            for u in divide(self.tokens):
+                out[u.first : u.end] = [u] * (u.end - u.first)
+            return out
+
+        return self.once("units", make)
+
     def order(self) -> list[bool | None]:
         """Whether a timestamp is at or after the one before it; None for other tokens and the first."""
 
@@ -89,14 +115,24 @@ class Node:
     parts: list[Node] = field(default_factory=list)
     low: int = 0
     high: int | None = 0
+    #: What every match holds: ("kind", name) and ("word", text of a word or mark).
+    needs: frozenset = frozenset()
 
 
 def _add(a: int | None, b: int | None) -> int | None:
     return None if a is None or b is None else a + b
 
 
-def one(test: Test) -> Node:
-    return Node("one", test, [], 1, 1)
+@dataclass
+class Needs:
+    """Kinds and words that stand in every input that a pattern matches."""
+
+    kinds: frozenset[str]
+    words: frozenset[str]
+
+
+def one(test: Test, *needs: tuple[str, str]) -> Node:
+    return Node("one", test, [], 1, 1, frozenset(needs))
 
 
 def zero(test: Test) -> Node:
@@ -107,12 +143,12 @@ def sequence(parts: list[Node]) -> Node:
     low, high = 0, 0
     for n in parts:
         low, high = low + n.low, _add(high, n.high)
-    return Node("seq", None, parts, low, high)
+    return Node("seq", None, parts, low, high, frozenset().union(*[n.needs for n in parts]))
 
 
 def choice(parts: list[Node], op: str = "alt", arg: object = None) -> Node:
     high = None if any(n.high is None for n in parts) else max(n.high for n in parts)
-    return Node(op, arg, parts, min(n.low for n in parts), high)
+    return Node(op, arg, parts, min(n.low for n in parts), high, frozenset.intersection(*[n.needs for n in parts]))
 
 
 #: Copies of a part that a counted repetition may unroll to.
@@ -297,6 +333,11 @@ def _operand(kind: str, text: str):
 
 def _compared(kind: str, op: str, text: str) -> Test:
     want = _operand(kind, text)
+    if kind == "quantity" and want is not None:
+        # only quantities of one family compare
+        family = V.field(kind, text, "family")
+        compare = _COMPARE[op]
+        return lambda c, p, r: V.field(kind, c.tokens[p].text, "family") == family and compare(V.value(kind, c.tokens[p].text), want)
     if want is None:
         raise PatternError(f"can't read {text!r} as a value of {kind}")
     compare = _COMPARE[op]
@@ -367,6 +408,8 @@ class Parser:
         self.joins: set[str] = within.joins if within else set()
         #: Tokens that a test looks back at most; None: all before it.
         self.past: list[int | None] = within.past if within else []
+        self.lets: dict[str, str] = within.lets if within else {}
+        self.swapped: bool = within.swapped if within else False
 
     def error(self, what: str) -> PatternError:
         return PatternError(f"{what} at {self.i} in {self.s!r}")
@@ -453,7 +496,7 @@ class Parser:
                 node = self.repeat(node, lo, hi, m[2])
             elif m := self.match(r":([A-Za-z_]\w*)"):
                 k = self.slot(m[1])
-                node = Node("seq", None, [Node("save", k), node, Node("save", k + 1)], node.low, node.high)
+                node = sequence([Node("save", k), node, Node("save", k + 1)])
             elif self.s.startswith("::", self.i):
                 raise self.error("scoped registers are not built")
             else:
@@ -463,12 +506,12 @@ class Parser:
         if max(lo, hi or 0) > UNROLL or hi is not None and hi < lo:
             raise self.error(f"a count must lie in 0..{UNROLL}, low to high")
         high = None if hi is None and node.high != 0 or node.high is None else node.high * (hi or 0)
-        out = Node("rep", (lo, hi, how != "?"), [node], lo * node.low, high)
+        out = Node("rep", (lo, hi, (how != "?") != self.swapped), [node], lo * node.low, high, node.needs if lo else frozenset())
         return self.atomic(out) if how == "+" else out
 
     def atomic(self, node: Node) -> Node:
         program = self.program(node)
-        return Node("sub", lambda ctx, p, regs: [] if (w := program.run(ctx, p, regs)) is None else [w], [], node.low, node.high)
+        return Node("sub", lambda ctx, p, regs: [] if (w := program.run(ctx, p, regs)) is None else [w], [], node.low, node.high, node.needs)
 
     def balanced(self, close: str) -> str:
         depth, start = 1, self.i
@@ -528,24 +571,28 @@ class Parser:
             return tests[0]
         return lambda c, p, r: all(f(c, p, r) for f in tests)
 
-    def kind_atom(self) -> Test | None:
-        r"""\N, \{kind} or a byte class, with an optional value test."""
+    def kind_atom(self) -> Node | None:
+        r"""\N, \{kind}, a declared name or a byte class, with an optional value test."""
         if m := self.match(r"\\\{(\w+)\}"):
-            kind = m[1]
+            kind = {"qty": "quantity"}.get(m[1], m[1])
+            if kind in self.lets:
+                inner = Parser(self.lets[kind], self)
+                inner.lets = {k: v for k, v in self.lets.items() if k != kind}  # a name can't be part of itself
+                return inner.whole()
             if kind not in KINDS:
                 raise self.error(f"no kind {kind}")
         elif m := self.match(r"\\([NWQICUETVHZDRLP%$])"):
             kind = LETTERS[m[1]]
         elif m := self.match(r"\\([dwhaul])"):
             shape = re.compile(CLASSES[m[1]])
-            return lambda c, p, r: shape.fullmatch(c.tokens[p].text) is not None
+            return one(lambda c, p, r: shape.fullmatch(c.tokens[p].text) is not None)
         else:
             return None
         if self.s.startswith("{", self.i) and not re.match(r"\{\d+(,\d*)?\}", self.s[self.i :]):
             self.i += 1
             test = self.predicate(kind, self.balanced("}"))
-            return lambda c, p, r: c.tokens[p].kind == kind and test(c, p, r)
-        return lambda c, p, r: c.tokens[p].kind == kind
+            return one(lambda c, p, r: c.tokens[p].kind == kind and test(c, p, r), ("kind", kind))
+        return one(lambda c, p, r: c.tokens[p].kind == kind, ("kind", kind))
 
     def literal(self) -> tuple[str, int]:
         m = self.match(r'"((?:\\.|[^"\\])*)"(?:~(\d+))?')
@@ -605,8 +652,10 @@ class Parser:
             return self.group(opening, self.sub(inner) if inner.strip() else None)
         if self.match(r"\\B"):
             return self.group(None, None)
-        if test := self.kind_atom():
-            return one(test)
+        if node := self.kind_atom():
+            return node
+        if self.match(r'#"'):
+            return self.silhouette()
         if self.take("^"):
             return zero(lambda c, p, r: p < len(c.tokens) and (p == 0 or c.tokens[p - 1].line < c.tokens[p].line))
         if self.take("$"):
@@ -653,7 +702,23 @@ class Parser:
             key = canonical(text, orbit)
             return one(lambda c, p, r: edits(canonical(c.tokens[p].text, orbit), key, k) <= k)
         keys = [canonical(w, orbit) for w in want]
-        return sequence([one(lambda c, p, r, key=key: canonical(c.tokens[p].text, orbit) == key) for key in keys]) if len(keys) > 1 else one(lambda c, p, r: canonical(c.tokens[p].text, orbit) == keys[0])
+        exact = orbit in (None, "exact")
+        kinds = {t.text: t.kind for t in lex(text)}
+        parts = [one(lambda c, p, r, key=key: canonical(c.tokens[p].text, orbit) == key, *([("word", w)] if exact and kinds.get(w) in ("word", "punct") else [])) for key, w in zip(keys, want, strict=True)]
+        return parts[0] if len(parts) == 1 else sequence(parts)
+
+    def silhouette(self) -> Node:
+        """#"W(N,N)": W a word, N a number, . any token, other marks themselves."""
+        end = self.s.find('"', self.i)
+        if end < 0:
+            raise self.error("unclosed silhouette")
+        said, self.i = self.s[self.i : end], end + 1
+        kinds = {"W": "word", "N": "number"}
+        parts = []
+        for x in said:
+            if not x.isspace():
+                parts.append(one(lambda c, p, r, k=kinds[x]: c.tokens[p].kind == k, ("kind", kinds[x])) if x in kinds else one(lambda c, p, r: True) if x == "." else one(lambda c, p, r, x=x: c.tokens[p].text == x))
+        return sequence(parts)
 
     def near_group(self, inner: str, most: int) -> Node:
         """A run of tokens that its atoms match with at most ``most`` tokens wrong, left out or too many."""
@@ -725,7 +790,7 @@ class Parser:
             w = program.run(ctx, p + 1, regs, None, t.mate)
             return [] if w is None else [(t.mate + 1, w[1])]
 
-        return Node("sub", ways, [], 2, None)
+        return Node("sub", ways, [], 2, None, frozenset([("kind", "open"), ("kind", "close")]) | (body.needs if body else frozenset()))
 
     def look(self, m: re.Match) -> Node:
         negated, where = bool(m[1]), m[2] or ""
@@ -794,6 +859,22 @@ class Parser:
 
     def anchor(self, name: str) -> Node:
         orbit = self.orbit
+        if name in LENSES:
+            return self.sub(LENSES[name])
+        if name == "super":
+            self.past.append(None)
+            want = m[1] if (m := self.match(r":([a-z]+)")) else None
+            if want not in (None, *ROLES):
+                raise self.error(f"no role {want}")
+
+            def unit(c, p, r):
+                c.hit = True  # a unit's role may hang on what follows it
+                if p >= len(c.tokens):
+                    return False
+                u = c.units()[p]
+                return u is not None and (u.first == p if want is None else u.role == want)
+
+            return zero(unit)
         if name in ("echoed", "novel") and (m := self.match(r":@(\w+)")):
             self.joins.add(m[1])
             want, other = name == "echoed", m[1]
@@ -850,9 +931,14 @@ class Match:
 class Pattern:
     """A compiled pattern; ``names`` are its registers in order, ``joins`` the other inputs that it names."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, lets: dict[str, str] | None = None, orbit: str | None = None, ignore_case: bool = False, swap_greed: bool = False) -> None:
+        """``lets``: patterns by name, for \\{name}; ``orbit``: the equivalence of literals and back-references; ``swap_greed``: ? marks the greedy form."""
         p = Parser(source)
+        p.lets, p.orbit, p.swapped = lets or {}, orbit or ("case" if ignore_case else None), swap_greed
+        if p.orbit:
+            canonical("", p.orbit)
         self.source, node = source, p.whole()
+        self.needs = Needs(*(frozenset(x for k, x in node.needs if k == w) for w in ("kind", "word")))
         self.names, self.joins = p.names, frozenset(p.joins)
         self.past = None if None in p.past else sum(p.past)
         self.program = p.program(node)

@@ -31,6 +31,7 @@ class Scanner:
         if self.pattern.joins:
             raise PatternError("a stream can't be joined with another input")
         self.buffer, self.base, self.at, self.contiguous, self.begun = buffer, base, at, contiguous, begun
+        self.decided = base
 
     @property
     def state(self) -> tuple[str, int, int, bool, bool]:
@@ -50,6 +51,8 @@ class Scanner:
         out = [(self.base + tokens[a].start, self.base + tokens[e - 1].end, text[tokens[a].start : tokens[e - 1].end]) for a, e, _ in self.pattern.spans(ctx, None, self.at)]
         at = ctx.at
         self.contiguous = ctx.origin == at
+        #: Characters whose matches are all given.
+        self.decided = self.base + (tokens[at].start if at < len(tokens) else len(text))
         keep = None if self.pattern.past is None else max(0, at - 1 - self.pattern.past)
         if keep is None or not tokens or keep >= len(tokens):
             cut = 0
@@ -61,6 +64,44 @@ class Scanner:
         return out
 
 
+class SetScanner:
+    """Several patterns over one stream: matches come with their member, by (start, end, member) within a push."""
+
+    def __init__(self, patterns: dict[str, str]) -> None:
+        self.members = {n: Scanner(p) for n, p in patterns.items()}
+
+    def push(self, chunk: str) -> list[tuple[int, int, str, str]]:
+        return sorted((a, b, n, t) for n, s in self.members.items() for a, b, t in s.push(chunk))
+
+    def finish(self) -> list[tuple[int, int, str, str]]:
+        return sorted((a, b, n, t) for n, s in self.members.items() for a, b, t in s.finish())
+
+
+class Editor:
+    """Rewrites a stream: text leaves as soon as no later text can change its matches; ``how`` gives a match's new text."""
+
+    def __init__(self, pattern: str, how) -> None:
+        self.scanner, self.how, self.held, self.base = Scanner(pattern), how, "", 0
+
+    def _emit(self, found: list[tuple[int, int, str]], upto: int) -> str:
+        out, at = [], self.base
+        for a, b, t in found:
+            out += [self.held[at - self.base : a - self.base], self.how(t)]
+            at = b
+        out.append(self.held[at - self.base : max(at, upto) - self.base])
+        at = max(at, upto)
+        self.held, self.base = self.held[at - self.base :], at
+        return "".join(out)
+
+    def push(self, chunk: str) -> str:
+        self.held += chunk
+        found = self.scanner.push(chunk)
+        return self._emit(found, self.scanner.decided)
+
+    def finish(self) -> str:
+        return self._emit(self.scanner.finish(), self.base + len(self.held))
+
+
 def scan(stream: DataFrame, pattern: str, stream_id: str = "stream_id", seq: str = "seq", chunk: str = "chunk", last: str | None = None) -> DataFrame:
     """(stream_id, start, end, text) of a streaming DataFrame of chunks; state is the undecided text.
 
