@@ -8,12 +8,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from .. import shipping
 
 #: Bytes of scanned input that one task of a text-heavy exchange should hold.
 TASK_BYTES = 16 << 20
 
 
+#: Bytes of rows that Spark hands a Python worker at once, by row counts alone it could be any number; a setting of the caller's own stays.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SET: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """What each operator does first: send the sources, bound the bytes of a batch (once a session)."""
+    shipping.ship(spark)
+    if spark.sparkContext.applicationId not in _SET:
+        _SET.add(spark.sparkContext.applicationId)
+        if spark.sparkContext.getConf().get(_BATCH) is None:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one made here if unset."""
     ship(spark)

@@ -19,7 +19,7 @@ MAX_BITS = 1 << 30
 #: Bits of a segment, the part of both filters that one reducing step holds.
 SEGMENT_BITS = 1 << 22
 #: Hashes that a task gathers before it gives them on.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Stands for a null doc_id: one document, after all others.
 LAST = (1 << 63) - 1
 

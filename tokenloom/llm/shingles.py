@@ -41,7 +41,7 @@ MAX_BITS = 1 << 30
 #: Sets of one side of a block.
 BLOCK = 1024
 #: Bytes of text that are hashed in one go.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -206,7 +206,7 @@ def levels(docs: DataFrame, text: str, k: int, parts: int) -> tuple[int, list[by
             for s in sets(b.column(0), k):
                 got.append(s)
                 size += len(s)
-                if size >= 1 << 22:
+                if size >= 1 << 20:
                     yield given(got)
                     got, size = [], 0
         if size:
@@ -296,10 +296,10 @@ def index(docs: DataFrame, doc_id: str, text: str, k: int, t: int, parts: int, t
                     size += len(p)
                     setrows.append((name, n, s.tobytes()))
                     held += n
-                if size >= 1 << 20:
+                if size >= 1 << 18:
                     yield batch(postrows=given())
                     rare, often, size = [], [], 0
-                if held >= 1 << 20:
+                if held >= 1 << 18:
                     yield batch(docrows, setrows)
                     docrows, setrows, held = [], [], 0
             if docrows:

@@ -32,7 +32,7 @@ from . import _base as B
 #: The end id that closes each document.
 END_ID = 2
 #: Bytes that a worker's memo of chunks holds at most, both generations together.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 56 << 20
 #: Bytes of one memo entry beside its characters and ids: two small objects and a slot.
 ENTRY = 190
 #: Chunks that go through the model at once.
@@ -172,7 +172,7 @@ def encoder(path: str) -> Encoder:
     return B.held(("encoder", path), lambda: Encoder(path))
 
 
-def slices(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list]]:
+def slices(column: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list]]:
     """(first row, values) runs of a string column, each of about ``chars`` characters."""
     rows: list = []
     size = start = 0
