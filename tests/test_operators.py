@@ -1,7 +1,8 @@
 import pytest
 
-from tokenloom.operators import axes, lines, reports, scan
-from tokenloom.plans.pattern import PatternError
+from tokenloom.operators import axes, bpe, index, lines, records, reports, scan
+from tokenloom.plans.declare import Declarations
+from tokenloom.plans.pattern import Pattern, PatternError
 from tokenloom.sources import files
 
 LOG = "10.0.0.1 GET /a 200 5\n10.0.0.2 GET /b 404 7\n10.0.0.1 POST /a 200 9"
@@ -98,3 +99,57 @@ def test_gravity_reaches_32_tokens(spark):
     for (d, a, b), (n, lift) in got.items():
         expected = side(d, 1, a) * side(d, 2, b) / sum(m for key, m in want.items() if key[0] == d)
         assert abs(lift - (n + 1) / (expected + 1)) < 1e-9
+
+
+def test_declarations(spark):
+    d = Declarations.read("# berths\nshape berth = `[A-Z]-\\d+`\nlet load = \\N | \\Z\nkind slot = \\{berth} \":\" \\{load}\nlet row = \\W:ship \\{berth}:at \\N:t\nfields row {ship} {at} {[int]t}\nrule far error \"far berth\" = `[Q-Z]-\\d+`\nfix far = A-1\nmeta far area = east\ntest slot accepts \"B-4 : 12\" \"C-1 : 3KB\" rejects \"B-4 12\"\ntest load accepts \"x\"".replace("\\n", "\n"))
+    assert d.failures() == [("load", "x", "accepts")]
+    t = docs(spark, "Gull B-4 : 12 and R-7 here", "Tern C-2 30", None)
+    assert [r.text for r in scan.matches(t, r"\{slot}", **d.options).collect()] == ["B-4 : 12"]
+    assert [tuple(r)[2:] for r in d.extract(t, "row").collect()] == [("Tern", "C-2", 30)]
+    assert [(r.rule, r.text) for r in d.findings(t).collect()] == [("far", "R-7")] and d.fixed(t).filter("doc_id = 0").collect()[0].text.endswith("and A-1 here")
+    for bad in ("shape x", "let a = \\N\nlet a = \\W", "kind k = \\{none}", "fix none = 1"):
+        with pytest.raises(PatternError):
+            Declarations.read(bad.replace("\\n", "\n"))
+
+
+def test_records_units_and_templates(spark):
+    t = docs(spark, "open (a (b) c)\nrun 5 ; go(7)", None)
+    assert [(r.rec, r.text) for r in records.blocks(t).collect()] == [(1, "(a (b) c)"), (2, "(b)"), (3, "(7)")]
+    assert [(r.role, r.text) for r in records.units(t).filter("depth = 0").collect()] == [("call", "open"), ("numeric", "run 5"), ("call", "go")]
+    assert [r.text for r in records.started(t, "^ \\W").collect()] == ["open (a (b) c)\n", "run 5 ; go(7)"]
+    one, two = reports.templates(docs(spark, LOG, "x y")), reports.templates(docs(spark, LOG))
+    assert [r.template for r in reports.admitted(one, two, True).collect()] == ["x y"] and [r.template for r in reports.rare(one).collect()] == ["x y"]
+    p = Pattern(reports.as_pattern(two.collect()[0].template))
+    assert len(p.find(LOG)) == 3
+
+
+def test_index_loses_no_match(spark):
+    t = docs(spark, "oak 5", "elm x@y.org", "Oak elm", None, "")
+    i = index.build(t)
+    for p in ('"oak"', r"\E", r"\W \N", '"oak" | "elm"', r'(?orbit:case "OAK")', r"\W* \N?"):
+        hit = {r.doc_id for r in scan.matches(t, p).collect()}
+        assert hit <= {r.doc_id for r in index.candidates(i, p).collect()}
+        assert {r.doc_id for r in scan.matches(index.pruned(t, i, p), p).collect()} == hit
+    assert {r.doc_id for r in index.candidates(i, r"\E").collect()} == {1}
+    assert {r.doc_id for r in index.stale(docs(spark, "oak 5", "elm x@y.org!"), i).collect()} == {1}
+
+
+def test_bpe(spark, tmp_path):
+    t = docs(spark, "low lower lowest low", "new newer newest", None, "")
+    merges = bpe.train(t, 12)
+    words = {"low": 2, "lower": 1, "lowest": 1, "new": 1, "newer": 1, "newest": 1}
+    held, want = {w: [*w, bpe.END] for w in words}, []
+    for _ in range(12):
+        pairs: dict = {}
+        for w, sym in held.items():
+            for p in zip(sym, sym[1:], strict=False):
+                pairs[p] = pairs.get(p, 0) + words[w]
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        want.append(best)
+        held = {w: bpe.apply(sym, best) for w, sym in held.items()}
+    assert merges == want
+    got = {r.doc_id: r.symbols for r in bpe.encode(t, merges).collect()}
+    assert got[0] == held["low"] + held["lower"] + held["lowest"] + held["low"] and got[2] == []
+    bpe.save(spark, merges, str(tmp_path / "m"))
+    assert bpe.load(spark, str(tmp_path / "m")) == merges

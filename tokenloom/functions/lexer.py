@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 #: Unit suffixes (fixed values).
 SIZE_UNITS = {"b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "pb": 10**15, "kib": 2**10, "mib": 2**20, "gib": 2**30, "tib": 2**40, "pib": 2**50}
@@ -93,38 +94,51 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def lex(text: str | None, blanks: bool = False) -> list[Token]:
+@lru_cache(64)
+def _chain(shapes: tuple[tuple[str, str], ...]) -> re.Pattern:
+    """The alternation with declared shapes before the built-in kinds."""
+    if not shapes:
+        return _CHAIN
+    for name, _ in shapes:
+        if name in KINDS:
+            raise ValueError(f"a shape can't be named {name}")
+    blank, *rest = CHAIN
+    return re.compile("|".join(f"(?P<{k}>{p})" for k, p in (blank, *[(n, f"(?:{p})(?!\\w)") for n, p in shapes], *rest)), re.S)
+
+
+def lex(text: str | None, blanks: bool = False, shapes: tuple[tuple[str, str], ...] = ()) -> list[Token]:
     """Significant tokens in order (with white space too if ``blanks``); null lexes as empty.
 
     Positions are characters. A closing bracket pairs with the nearest open one
-    of its kind, or with none.
+    of its kind, or with none. ``shapes`` are kinds of their own, (name, regular
+    expression), tried before the built-in ones.
     """
     out: list[Token] = []
-    stack: list[int] = []
-    line, sig = 1, 0
-    for m in _CHAIN.finditer(text or ""):
+    line = 1
+    for m in _chain(shapes).finditer(text or ""):
         kind, s = m.lastgroup, m.group()
         if kind == "creditcard" and not luhn(s):
             kind = "number" if s.isdigit() else "other"
-        if kind == "whitespace":
-            if blanks:
-                out.append(Token(kind, m.start(), m.end(), s, line, len(stack)))
-                sig += 1
-            line += s.count("\n")
-            continue
-        t = Token(kind, m.start(), m.end(), s, line, len(stack))
-        if kind == "open":
-            stack.append(sig)
-        elif kind == "close":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if out[stack[k]].text == _PAIR[s]), None)
+        if kind != "whitespace" or blanks:
+            out.append(Token(kind, m.start(), m.end(), s, line))
+        line += s.count("\n")
+    return paired(out)
+
+
+def paired(tokens: list[Token]) -> list[Token]:
+    """The same tokens with the mates and depths of their brackets."""
+    stack: list[int] = []
+    for k, t in enumerate(tokens):
+        t.depth, t.mate = len(stack), -1
+        if t.kind == "open":
+            stack.append(k)
+        elif t.kind == "close":
+            at = next((i for i in range(len(stack) - 1, -1, -1) if tokens[stack[i]].text == _PAIR[t.text]), None)
             if at is not None:
-                t.mate, out[stack[at]].mate = stack[at], sig
+                t.mate, tokens[stack[at]].mate = stack[at], k
                 del stack[at:]
                 t.depth = len(stack)
-        out.append(t)
-        sig += 1
-        line += s.count("\n")
-    return out
+    return tokens
 
 
 def count_kinds(text: str | None) -> dict[str, int]:

@@ -78,6 +78,6 @@ def started(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str = "
 
     def make(t):
         at = [m.start for m in _compiled(pattern).find(t)]
-        return [(a, b, 0, "record") for a, b in zip(at, [*at[1:], len(t)], strict=True)]
+        return [(a, b, 0, "record") for a, b in zip(at, [*at[1:], len(t)], strict=False)]
 
     return _cut(docs, doc_id, text, make)

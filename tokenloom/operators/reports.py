@@ -131,9 +131,9 @@ def top(found: DataFrame, template: str, n: int = 10) -> DataFrame:
     return count_by(found, template).orderBy(F.desc("count"), "key").limit(n)
 
 
-def rewrite(docs: DataFrame, pattern: str, template: str, doc_id: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+def rewrite(docs: DataFrame, pattern: str, template: str, doc_id: str = "doc_id", text: str = "text", most: int | None = None, **options) -> DataFrame:
     """(doc_id, text, n_changes): each match replaced by the rendered template (${name}, ${1}, ${0})."""
-    return _edit(docs, pattern, doc_id, text, most, lambda p: lambda m, seen: re.sub(r"\$\{(\w+)\}", lambda r: _value(p, m, r[1]), template))
+    return _edit(docs, pattern, doc_id, text, most, lambda p: lambda m, seen: re.sub(r"\$\{(\w+)\}", lambda r: _value(p, m, r[1]), template), options=options)
 
 
 def _value(p: Pattern, m, name: str) -> str:
@@ -182,12 +182,12 @@ def pseudonyms(found: DataFrame) -> DataFrame:
     return base.join(per, ["_part", "_kind"]).select("text", F.concat("_kind", F.lit("_"), (F.col("_before") + nth).cast("string")).alias("name"))
 
 
-def _edit(docs, pattern, doc_id, text, most, render, names: str | None = None) -> DataFrame:
+def _edit(docs, pattern, doc_id, text, most, render, names: str | None = None, options: dict | None = None) -> DataFrame:
     ship(docs.sparkSession)
-    Pattern(pattern)
+    Pattern(pattern, **(options or {}))
 
     def run(batches):
-        p = Pattern(pattern)
+        p = Pattern(pattern, **(options or {}))
         one = render(p)
         for b in batches:
             texts, n = [], []
@@ -278,23 +278,23 @@ def rewrite_with(docs: DataFrame, pattern: str, how, doc_id: str = "doc_id", tex
     return _edit(docs, pattern, doc_id, text, None, lambda p: lambda m, names: how(m))
 
 
-def findings(docs: DataFrame, rules: list[dict]) -> DataFrame:
+def findings(docs: DataFrame, rules: list[dict], **options) -> DataFrame:
     """Rule findings: rules are dicts of name, pattern, message, severity and optionally unless (a pattern on the same line)."""
-    found = matches(docs, {r["name"]: r["pattern"] for r in rules})
+    found = matches(docs, {r["name"]: r["pattern"] for r in rules}, **options)
     meta = docs.sparkSession.createDataFrame([(r["name"], r["message"], r.get("severity", "warning")) for r in rules], "member string, message string, severity string")
     out = found.join(F.broadcast(meta), "member")  # as many rows as rules
     barred = {r["name"]: r["unless"] for r in rules if r.get("unless")}
     if barred:
-        out = out.join(matches(docs, barred).select("doc_id", "line", "member").distinct(), ["doc_id", "line", "member"], "left_anti")
+        out = out.join(matches(docs, barred, **options).select("doc_id", "line", "member").distinct(), ["doc_id", "line", "member"], "left_anti")
     return out.select("doc_id", "line", "start", "end", F.col("member").alias("rule"), "severity", "message", "text")
 
 
-def fixed(docs: DataFrame, rules: list[dict]) -> DataFrame:
+def fixed(docs: DataFrame, rules: list[dict], **options) -> DataFrame:
     """(doc_id, text): the fixes of rules applied in turn, where a rule has one (a template in its registers)."""
     out = docs.select("doc_id", "text")
     for r in rules:
         if r.get("fix") is not None:
-            out = rewrite(out, r["pattern"], r["fix"]).select("doc_id", "text")
+            out = rewrite(out, r["pattern"], r["fix"], **options).select("doc_id", "text")
     return out
 
 

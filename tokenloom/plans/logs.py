@@ -263,6 +263,30 @@ add("a19_stale_inputs", lambda s, d: index.stale(logs(s, d), index.build(logs(s,
 add("k3_rare_templates", lambda s, d: reports.rare(reports.templates(logs(s, d).withColumn("text", F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("note "), F.col("event_id"))).otherwise(F.col("text"))))).select("count", "template"), "select count(*) as count, 'note <number>' as template from logs where event_id % 97 = 0")
 add("k4_novel_templates", lambda s, d: reports.admitted(reports.templates(logs(s, d).withColumn("text", F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("note "), F.col("event_id"))).otherwise(F.col("text")))), reports.templates(logs(s, d)), True).select("count", "template"), "select count(*) as count, 'note <number>' as template from logs where event_id % 97 = 0")
 add("j5_shared_templates", lambda s, d: reports.admitted(reports.templates(logs(s, d).filter("event_id % 2 = 0")), reports.templates(logs(s, d))).select("count"), "select count(*) as count from logs where event_id % 2 = 0")
+# declarations
+DECLARED = r"""# of log lines
+shape place = `/srv/[a-z]+/f\d+[.]log`
+kind pair = \W "=" \N
+let spent = "took" "=" \R{>=800ms}:t
+let entry = ^ \T:at \W:event
+fields entry {at} {event}
+rule slow error "slow" = \R{>=800ms}
+unless slow = "error"
+fix slow = 0ms
+test pair accepts "a=1" rejects "a=b"
+"""
+
+
+def declared():
+    from .declare import Declarations
+
+    return Declarations.read(DECLARED)
+
+
+add("o1_shapes", lambda s, d: scan.matches(logs(s, d), r"\{place}", **declared().options).select("doc_id", "text"), f"select doc_id, {_PATH} as text from logs")
+add("o2_kinds", lambda s, d: scan.matches(logs(s, d), r"\{pair}", **declared().options).groupBy("doc_id").agg(F.count("*").alias("n")), "select doc_id, cast(2 as bigint) as n from logs")
+add("o5_fields", lambda s, d: declared().extract(logs(s, d), "entry").select("doc_id", "at", "event"), f"select doc_id, {_MOMENT} as \"at\", event_type as event from logs")
+add("o6_declared_rules", lambda s, d: declared().findings(logs(s, d)).select("doc_id", "rule", "severity", "text"), "select doc_id, 'slow' as rule, 'error' as severity, concat(ms, 'ms') as text from logs where ms >= 800 and event_type <> 'error'")
 # scalars
 def _scalar(fn, kind):
     """A function of texts as a column function, in Arrow batches."""

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 
 from ..functions import values as V
-from ..functions.lexer import KINDS, Token, lex
+from ..functions.lexer import KINDS, Token, lex, paired
 from ..functions.units import ROLES, divide
 
 #: One-letter atoms (fixed values).
@@ -410,6 +410,8 @@ class Parser:
         self.past: list[int | None] = within.past if within else []
         self.lets: dict[str, str] = within.lets if within else {}
         self.swapped: bool = within.swapped if within else False
+        #: Declared kinds.
+        self.own: frozenset[str] = within.own if within else frozenset()
 
     def error(self, what: str) -> PatternError:
         return PatternError(f"{what} at {self.i} in {self.s!r}")
@@ -579,7 +581,7 @@ class Parser:
                 inner = Parser(self.lets[kind], self)
                 inner.lets = {k: v for k, v in self.lets.items() if k != kind}  # a name can't be part of itself
                 return inner.whole()
-            if kind not in KINDS:
+            if kind not in KINDS and kind not in self.own:
                 raise self.error(f"no kind {kind}")
         elif m := self.match(r"\\([NWQICUETVHZDRLP%$])"):
             kind = LETTERS[m[1]]
@@ -931,9 +933,21 @@ class Match:
 class Pattern:
     """A compiled pattern; ``names`` are its registers in order, ``joins`` the other inputs that it names."""
 
-    def __init__(self, source: str, lets: dict[str, str] | None = None, orbit: str | None = None, ignore_case: bool = False, swap_greed: bool = False) -> None:
-        """``lets``: patterns by name, for \\{name}; ``orbit``: the equivalence of literals and back-references; ``swap_greed``: ? marks the greedy form."""
+    def __init__(self, source: str, lets: dict[str, str] | None = None, orbit: str | None = None, ignore_case: bool = False, swap_greed: bool = False, shapes: dict[str, str] | None = None, kinds: dict[str, str] | None = None) -> None:
+        """``lets``: patterns by name, for \\{name}; ``orbit``: the equivalence of literals and back-references; ``swap_greed``: ? marks the greedy form.
+
+        ``shapes``: kinds of their own by regular expression, lexed before the
+        built-in ones; ``kinds``: kinds by pattern, each of whose matches
+        becomes one token, in turn.
+        """
         p = Parser(source)
+        self.shapes = tuple((shapes or {}).items())
+        known = [*(shapes or {})]
+        self.kinds: list[tuple[str, Pattern]] = []
+        for name, form in (kinds or {}).items():
+            self.kinds.append((name, Pattern(form, lets, shapes={n: "(?!)" for n in known})))
+            known.append(name)
+        p.own = frozenset(known)
         p.lets, p.orbit, p.swapped = lets or {}, orbit or ("case" if ignore_case else None), swap_greed
         if p.orbit:
             canonical("", p.orbit)
@@ -974,7 +988,7 @@ class Pattern:
     def find(self, text: str | None, limit: int | None = None, known: dict[str, set[str]] | None = None, tokens: list[Token] | None = None) -> list[Match]:
         """Leftmost matches that don't overlap; ``known`` holds the tokens shared with each input that the pattern names."""
         text = text or ""
-        tokens = lex(text) if tokens is None else tokens
+        tokens = self.tokens(text) if tokens is None or self.shapes or self.kinds else tokens
         out = []
         for a, e, bound in self.spans(Input(text, tokens, known), limit):
             regs = {}
@@ -985,6 +999,18 @@ class Pattern:
             out.append(Match(tokens[a].start, tokens[e - 1].end, text[tokens[a].start : tokens[e - 1].end], tokens[a].line, regs))
         return out
 
+    def tokens(self, text: str) -> list[Token]:
+        """The text's tokens under the pattern's own shapes and kinds."""
+        out = lex(text, shapes=self.shapes)
+        for name, p in self.kinds:
+            fused, at = [], 0
+            for a, e, _ in p.spans(Input(text, out)):
+                fused += out[at:a]
+                fused.append(Token(name, out[a].start, out[e - 1].end, text[out[a].start : out[e - 1].end], out[a].line))
+                at = e
+            out = paired([*fused, *out[at:]])
+        return out
+
     def is_match(self, text: str | None) -> bool:
         return bool(self.find(text, 1))
 
@@ -994,7 +1020,7 @@ class Pattern:
 
     def shortest_match(self, text: str) -> int | None:
         """The least end of any match from the leftmost start, in characters."""
-        tokens = lex(text)
+        tokens = self.tokens(text)
         ctx = Input(text, tokens)
         blank = (-1,) * (1 + 2 * len(self.names))
         for p in range(len(tokens)):
@@ -1013,7 +1039,7 @@ class Pattern:
 
     def split_at_depth(self, text: str, depth: int) -> list[str]:
         """The text between the matches that begin at one bracket depth."""
-        tokens, out, at = lex(text), [], 0
+        tokens, out, at = self.tokens(text), [], 0
         for a, e, _ in self.spans(Input(text, tokens)):
             if tokens[a].depth == depth:
                 out.append(text[at : tokens[a].start])
