@@ -6,7 +6,9 @@ import pytest
 from tokenloom.functions import scalars, units
 from tokenloom.functions import values as V
 from tokenloom.functions.lexer import count_kinds, lex
+from tokenloom.plans.infer import infer
 from tokenloom.plans.pattern import Pattern, PatternError, escape
+from tokenloom.sources.files import Decoder
 from tokenloom.streaming.scan import Editor, Scanner, SetScanner
 
 HARBOUR = 'boat "Sea Gull" left pier 7 at 2023-05-06 04:15:00 with 250KB cargo (7, 12) paid $31.50'
@@ -185,3 +187,26 @@ def test_scalars():
     assert scalars.claim("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiJ4In0.s", "sub") == "x" and scalars.claim("a.b", "sub") is None
     assert scalars.octets("1.2.3.4", 2, 3) == "2.3" and scalars.groups("fe80::1", 1, 2) == "fe80:0000" and scalars.decoded("a") is None
     assert [scalars.identifier(x) for x in ("ab", "FOO", "foo_bar", "fooBar", "FooBar", "foo")] == ["short", "SCREAM", "snake", "camel", "Pascal", "word"]
+
+
+def test_an_inferred_pattern_covers_its_examples():
+    rng = random.Random(4)
+    assert infer(["ship 12 left", "ship 7 left"]) == r'\A "ship" \{number} "left" \z'
+    parts = ["ship", "boat", "7", "12", "x@y.org", ",", "(", ")", "10.0.0.1", "$5"]
+    for _ in range(60):
+        base = [rng.choice(parts) for _ in range(rng.randint(1, 8))]
+        said = []
+        for _ in range(rng.randint(1, 5)):
+            w = [rng.choice(parts) if rng.random() < 0.2 else x for x in base if rng.random() < 0.85]
+            said.append(" ".join(w + rng.choices(parts, k=rng.randint(0, 1))) or "ship")
+        p = Pattern(infer(said))
+        assert all(p.is_match(x) for x in said), (said, p.source)
+
+
+def test_decoding_in_chunks():
+    for name in ("utf-8", "utf-16", "utf-8-sig", "utf-32"):
+        raw, d, out = "é ñ 漢字 text".encode(name), Decoder(), ""
+        for k in range(0, len(raw), 3):
+            out += d.push(raw[k : k + 3])
+        assert out + d.push(b"", True) == "é ñ 漢字 text"
+    assert Decoder().push(b"\xff", True) == "\ufffd"

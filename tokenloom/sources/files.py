@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,19 @@ def read(spark: SparkSession, path: str, glob: str | None = None, hidden: bool =
 def write_lines(rows: DataFrame, column: Column, path: str) -> None:
     """One rendered line a row."""
     rows.select(column.cast("string").alias("value")).write.text(path)
+
+
+class Decoder:
+    """Text of bytes that come in chunks: a byte order mark decides, else ``encoding``; a character cut in two waits for the rest."""
+
+    def __init__(self, encoding: str = "utf-8") -> None:
+        self.encoding, self.head, self.decoder = encoding, b"", None
+
+    def push(self, chunk: bytes, last: bool = False) -> str:
+        if self.decoder is None:
+            self.head += chunk
+            if len(self.head) < 4 and not last:
+                return ""
+            mark, name = next(((m, n) for m, n in MARKS if self.head.startswith(m)), (b"", self.encoding))
+            self.decoder, chunk = codecs.getincrementaldecoder(name)("replace"), self.head[len(mark) :]
+        return self.decoder.decode(chunk, last)
