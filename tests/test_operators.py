@@ -40,6 +40,12 @@ def test_aggregates_of_registers(spark):
     assert {r.key: r.mean for r in mean.collect()} == {"a": "39666666.(6)", "b": "3000000"}
 
 
+def test_extremes_of_close_instants(spark):
+    d = docs(spark, "\n".join(f"at 2024-01-01 00:{m:02d}:{sec:02d}" for m, sec in ((15, 27), (14, 41), (14, 40), (15, 28))))
+    r = reports.extremes(scan.matches(d, r'"at" \T:t'), "all", ("t",)).collect()[0]
+    assert (r.min_t, r.max_t) == ("2024-01-01 00:14:40", "2024-01-01 00:15:28")
+
+
 def test_lines(spark):
     d = docs(spark, "north 1\nsouth\neast 2\nwest\n", None, "")
     two = lambda x: [(r.doc_id, r.rec) for r in x.orderBy("doc_id", "rec").collect()]

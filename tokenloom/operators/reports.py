@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import difflib
 import json
 import re
@@ -19,6 +20,10 @@ from ..shipping import ship
 from .scan import matches
 
 
+#: Digits enough for any token's value beside the 10^30 that keeps signs apart.
+_WIDE = decimal.Context(prec=90)
+
+
 def key(template: str) -> Column:
     """A report template such as '${ip} ${mail.domain}' over a match row; an empty key prints as '-'."""
     parts = []
@@ -88,7 +93,7 @@ def sort_key(kind: Column, text: Column) -> Column:
             return ".".join(f"{n:020d}" for n in core) + "-" + ".".join(f"{a}{n:020d}{w}" for a, n, w in pre)
         if isinstance(v, tuple):
             return f"{v[0]}:{v[1]:040d}"
-        return f"{v + 10**30:062.25f}"
+        return f"{_WIDE.add(v, 10**30):062.25f}"
 
     def run(kind: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([spelt(V.value(k, t)) if k and t is not None else None for k, t in zip(kind, text, strict=True)], dtype=object)
