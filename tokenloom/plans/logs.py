@@ -294,7 +294,7 @@ def _scalar(fn, kind):
 
 
 add("l3_octets", lambda s, d: scan.matches(logs(s, d), r"\I").select("doc_id", _scalar(lambda x: scalars.octets(x, 2, 3), StringType())("text").alias("part")), "select doc_id, concat(a, '.', b) as part from logs")
-add("l14_plain_urls", lambda s, d: addresses(s, d).select("doc_id", _scalar(lambda x: scalars.plain_url(x[4:-9]), StringType())("text").alias("url")).filter("url not like '%\\%%'"), "select page_id as doc_id, regexp_replace(url, '^(https?://[^/?#]+)($|[?#])', '\\1/\\2') as url from pages where url not like '%\%%' escape '\' and url is not null")
+add("l14_plain_urls", lambda s, d: addresses(s, d).select("doc_id", _scalar(lambda x: scalars.plain_url(x[4:-9]), StringType())("text").alias("url")).filter("url not like '%\\%%'"), "select page_id as doc_id, regexp_replace(url, '^(https?://[^/?#]+)($|[?#])', '\\1/\\2') as url from pages where url not like '%!%%' escape '!' and url is not null")
 add("l21_checks", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", _scalar(lambda x: scalars.gs1(x), BooleanType())(F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("ok")), """with d as (select o_orderkey, lpad(cast(o_orderkey as varchar), 8, '0') as t from orders)
     select o_orderkey, (3 * (cast(t[1] as int) + cast(t[3] as int) + cast(t[5] as int) + cast(t[7] as int)) + cast(t[2] as int) + cast(t[4] as int) + cast(t[6] as int) + cast(t[8] as int)) % 10 = 0 as ok from d""")
 add("l22_bits_per_byte", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(_scalar(lambda x: scalars.bits_per_byte(x.encode()), DoubleType())("p_name"), 6).alias("bits")), """with c as (select p_partkey, unnest(string_split(p_name, '')) as c from part), n as (select p_partkey, c, count(*) as n from c where c <> '' group by p_partkey, c),
