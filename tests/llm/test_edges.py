@@ -94,6 +94,42 @@ def test_search_is_exact_on_small_shards_with_ties(spark):
     assert ann.search(few, few).groupBy("query_id").count().filter("count > 2").count() == 0
 
 
+def test_search_visits_no_more_cells_as_rows_grow(spark):
+    visits = []
+    for n in (1500, 6000):
+        rng = np.random.default_rng(4)
+        x = rng.standard_normal((n // 60, 16))[rng.integers(0, n // 60, n)] + 0.3 * rng.standard_normal((n, 16))
+        x *= rng.lognormal(0, 0.1, (n, 1))
+        rows = [(k, v.tolist()) for k, v in enumerate(x)]
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got: dict = {}
+        for r in ann.search(d, d.filter("vec_id % 20 = 0"), shard_rows=50).collect():
+            got.setdefault(r.query_id, set()).add((r.vec_id, r.score))
+        want = nearest(rows, [r for r in rows if r[0] % 20 == 0])
+        assert sum(len(set(want[q]) & got[q]) for q in want) >= 0.95 * sum(map(len, want.values()))
+        assert r.audited_recall >= 0.95
+        visits.append(r.visits)
+    assert visits[1] <= 2 * visits[0] and visits[1] <= 0.3 * 6000 / 50
+
+
+def test_search_graph_reaches_every_node_and_is_exact_when_wide():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((12, 8))[k] + 0.01 * rng.standard_normal((90, 8)) for k in range(12)]) * rng.lognormal(0, 1, (1080, 1))
+    graph, start = ann.build(ann.unit(x))
+    reached, front = np.zeros(len(x), bool), np.array([start])
+    while len(front):
+        reached[front] = True
+        front = np.unique(graph[front][graph[front] >= 0])
+        front = front[~reached[front]]
+    assert reached.all()
+    q, v, s = ann.Shard(np.arange(len(x)), x, 32, len(x)).search(np.arange(0, len(x), 20), x[::20], 20)
+    got: dict = {}
+    for a, b, c in zip(q.tolist(), v.tolist(), s.tolist(), strict=True):
+        got.setdefault(a, []).append((b, c))
+    rows = [(k, r.tolist()) for k, r in enumerate(x)]
+    assert got == nearest(rows, rows[::20])
+
+
 def test_near_duplicates_at_the_threshold(spark):
     rng = np.random.default_rng(12)
     base = rng.standard_normal((12, 24))
