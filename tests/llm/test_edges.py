@@ -233,3 +233,16 @@ def test_words_of_a_shingle_tie(spark):
     rows = [(k, t) for k, t in enumerate(["a b c d", "A  b C d", "a b c d e", "x", "x", None])]
     got = {r.doc_id: (r.component_id, r.n_links) for r in shingles.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
     assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
+def test_blocks_of_long_texts_are_bounded_in_bytes(spark):
+    """Forty sets of 125,000 hashes were one block: 40 MB, from which a worker made half a GB."""
+    rows = spark.range(40).select(F.lit(1).alias("c"), F.col("id").alias("set"), F.expr("cast(repeat('x', 1000000) as binary)").alias("hashes"))
+    sides = shingles.blocks(rows, "c", ["set", "hashes"]).groupBy("i", "j", "side").agg(F.sum(F.length("hashes")).alias("size"), F.count("*").alias("n")).collect()
+    assert max(r["size"] for r in sides) <= 2 * shingles.BLOCK_BYTES
+    assert sum(r.n for r in sides if r.i == r.j) == 40
+    import pyarrow as pa
+
+    many = pa.RecordBatch.from_pydict({"c": list(range(100)), "i": [0] * 100, "j": [0] * 100, "hashes": [b"x" * 1000] * 100})
+    got = list(shingles._in_blocks([many], 3, 1024, 10_000))
+    assert [len(g) for g in got] == [10] * 10

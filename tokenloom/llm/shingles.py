@@ -38,8 +38,8 @@ from .graphs import components
 LEVELS = (1, 16, 256)
 #: Bits of the map from hash to level at most, for each level.
 MAX_BITS = 1 << 30
-#: Sets of one side of a block.
-BLOCK = 1024
+#: Sets of one side of a block, and bytes of their hashes: long texts make smaller blocks.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Bytes of text that are hashed in one go.
 CHUNK = 1 << 19
 
@@ -445,10 +445,12 @@ def _reach(n: np.ndarray, i: int, common: np.ndarray, t: int) -> np.ndarray:
 def blocks(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """Rows (key, i, j, side, n, ...) of pairs of blocks of sets of one key; ``i`` <= ``j``, ``side`` 0 probes.
 
-    A key's sets are dealt into blocks of about BLOCK sets. A set goes once to
-    each pair that its block is part of, so only keys of many sets repeat theirs.
+    A key's sets are dealt into blocks of about BLOCK sets and BLOCK_BYTES of
+    hashes at most. A set goes once to each pair that its block is part of, so
+    only keys of many sets, or of large ones, repeat theirs.
     """
-    many = B.stage(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m")).withColumnRenamed(key, "_k"), "sizes")
+    count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int")
+    many = B.stage(rows.groupBy(key).agg(count.alias("_m")).withColumnRenamed(key, "_k"), "sizes")
     rows = rows.join(many, F.col(key) == F.col("_k")).withColumn("_b", F.pmod(F.xxhash64("set", F.lit(3)), F.col("_m")).cast("int"))
     probe = rows.withColumn("j", F.explode(F.sequence(F.col("_b"), F.col("_m") - 1))).select(key, F.col("_b").alias("i"), "j", F.lit(0).alias("side"), *keep)
     other = rows.filter("_b > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).select(key, "i", F.col("_b").alias("j"), F.lit(1).alias("side"), *keep)
@@ -456,15 +458,17 @@ def blocks(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
     return both.repartition(B.shuffle_parts(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "set")
 
 
-def _in_blocks(batches, keys: int, most: int) -> Iterator[list[tuple]]:
-    """Rows of whole groups of equal first ``keys`` columns; small groups come together, up to ``most`` rows."""
+def _in_blocks(batches, keys: int, most: int, most_bytes: int) -> Iterator[list[tuple]]:
+    """Rows of whole groups of equal first ``keys`` columns; small groups come together, up to ``most`` rows or ``most_bytes`` of their last column."""
     got: list[tuple] = []
+    size = 0
     for b in batches:
         for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if got and row[:keys] != got[-1][:keys] and (len(got) >= most or got[-1][2] > 0 or row[2] > 0):
+            if got and row[:keys] != got[-1][:keys] and (len(got) >= most or size >= most_bytes or got[-1][2] > 0 or row[2] > 0):
                 yield got
-                got = []
+                got, size = [], 0
             got.append(row)
+            size += len(row[-1])
     if got:
         yield got
 
@@ -486,7 +490,7 @@ def leftover(often: DataFrame, comp: DataFrame, store: DataFrame, t: int) -> Dat
     rows = blocks(units.join(store.select("set", "hashes"), "set"), "lead", ["set", "c", "hashes"])
 
     def compare(batches):
-        for got in _in_blocks(batches, 3, BLOCK):
+        for got in _in_blocks(batches, 3, BLOCK, BLOCK_BYTES):
             side, c = np.array([r[3] for r in got]), np.array([r[5] for r in got], dtype=np.int64)
             if c.min() == c.max():
                 continue
@@ -516,7 +520,7 @@ def partners(comp: DataFrame, store: DataFrame, times: DataFrame, t: int) -> Dat
     rows = blocks(B.stage(members.select("c", "set", "times", "hashes"), "members"), "c", ["set", "times", "hashes"])
 
     def count(batches):
-        for got in _in_blocks(batches, 3, BLOCK):
+        for got in _in_blocks(batches, 3, BLOCK, BLOCK_BYTES):
             side, times = np.array([r[3] for r in got]), np.array([r[5] for r in got], dtype=np.int64)
             x = [np.frombuffer(r[6], dtype=_U) for r in got]
             n, probing = np.array([len(s) for s in x], dtype=np.int64), int((side == 0).sum())
