@@ -246,3 +246,27 @@ def test_blocks_of_long_texts_are_bounded_in_bytes(spark):
     many = pa.RecordBatch.from_pydict({"c": list(range(100)), "i": [0] * 100, "j": [0] * 100, "hashes": [b"x" * 1000] * 100})
     got = list(shingles._in_blocks([many], 3, 1024, 10_000))
     assert [len(g) for g in got] == [10] * 10
+
+
+def test_encoder_marks_only_cuts_that_a_merge_could_cross(monkeypatch):
+    """Chunks of letters, digits, newlines and signs cost the model one byte each beside their own; a small memo forgets and stays exact."""
+    rng = random.Random(11)
+    e = tokens.Encoder(tokens.default_vocabulary(), 4096)
+    assert e.packed(["one, two.\nThree 4th é."]) == e._whole(["one, two.\nThree 4th é."])
+    monkeypatch.setattr(tokens, "LOOKED_UP", 40)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice("aetsé×÷ÿ…12.,'\"(\n") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        assert e.packed(texts) == e._whole(texts)
+
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, joined, add_special_tokens, model=e.model):
+            sent.extend(map(len, joined))
+            return model.encode_batch_fast(joined, add_special_tokens=add_special_tokens)
+
+    e = tokens.Encoder(tokens.default_vocabulary())
+    e.model = Counted()
+    words = [f"({k}),x{k}\nY.{k}é" for k in range(500)]
+    assert e.packed([" ".join(words)]) == e._whole([" ".join(words)])
+    assert sum(sent) <= len(" ".join(words).encode()) + len(words)

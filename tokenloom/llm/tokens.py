@@ -2,14 +2,16 @@
 
 Texts go through the ``tokenizers`` library. The library spends most of its
 time on taking a text apart and on words it has not seen lately, so each Python
-worker keeps a memo, bounded in bytes, from *chunks* to packed ids: a text is
+worker keeps a memo, bounded in bytes, from *chunks* to ids: a text is
 cut before every single space that separates two non-blank characters, a
 boundary that the byte-level pre-tokenizer always makes itself, and each
-distinct chunk is encoded once. Chunks that the memo lacks are cut where that
-pre-tokenizer cuts and go through the library's model many at a time, joined by
-bytes that no text holds and no merge joins. A text with runs of blanks around
-a space, where a cut could differ, or with an added token of the vocabulary,
-which no cut may split, is encoded whole.
+distinct chunk is encoded once. Chunks and ids lie in flat arrays, and a text's
+ids are gathered from them. Chunks that the memo lacks go through the library's
+model many at a time, joined by bytes that no text holds and no merge joins;
+inside a chunk the places where the pre-tokenizer cuts are marked likewise,
+unless no merge of the vocabulary could join what lies there. A text with runs
+of blanks around a space, where a cut could differ, or with an added token of
+the vocabulary, which no cut may split, is encoded whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +34,12 @@ from . import _base as B
 
 #: The end id that closes each document.
 END_ID = 2
-#: Bytes that a worker's memo of chunks holds at most, both generations together.
-MEMO_BYTES = 56 << 20
-#: Bytes of one memo entry beside its characters and ids: two small objects and a slot.
-ENTRY = 190
-#: Chunks that go through the model at once.
-JOINED = 192
+#: Bytes that a worker's memo of chunks holds at most.
+MEMO_BYTES = 16 << 20
+#: Bytes of one memo entry beside its characters and ids: where either begin, how many ids, whether met again.
+ENTRY = 25
+#: Chunks that go through the model at once, and that are looked up at once.
+JOINED, LOOKED_UP = 192, 1 << 19
 
 #: Blanks other than space and newline, and runs of blanks where a cut could differ.
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -48,6 +51,13 @@ _RUNS = ["   ", "  \n", "\n  ", "\n \n"]
 #: Bytes that no UTF-8 text holds: the first parts pre-tokens, the second chunks.
 _PART, _CHUNK = b"\xc0", b"\xc1"
 
+#: Classes of the bytes of simple chunks, 0 for others: letters (of U+00C0..U+00FF too), digits, newline, space, the rest of ASCII but the apostrophe.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 5
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[48:58] = 2
+_KIND[[10, 32, 39]] = 3, 4, 0
+
 
 def default_vocabulary() -> str:
     """Path of the public byte-level vocabulary (a parameter everywhere below)."""
@@ -77,14 +87,16 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit = memo_bytes // 2
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.size = 0
+        self.limit = memo_bytes
+        # the memo: chunks, where their ids begin in ``ids`` and how many there are, whether they were met again
+        self.words = pa.array([], pa.large_binary())
+        self.first, self.count, self.met = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.ids = np.empty(0, self.dtype)
         # added tokens are found in the text before it is cut into words
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # only a byte-level pre-tokenizer without a normalizer cuts at every such space
         self.chunked = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and not self.tok.pre_tokenizer.add_prefix_space
+        self.unmarked = False
         self.model = self._joinable(path) if self.chunked else None
 
     def _joinable(self, path: str):
@@ -96,68 +108,130 @@ class Encoder:
             model = json.load(f)["model"]
         marks = [self.letters[x[0]] for x in (_PART, _CHUNK)]
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
-        if not plain or any(m not in model["vocab"] for m in marks) or any(m in ("".join(x) if isinstance(x, list) else x) for x in model["merges"] for m in marks):
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]] if plain else []
+        if not plain or any(m not in model["vocab"] for m in marks) or any(m in a or m in b for a, b in merges for m in marks):
             return None
         self.parts_id, self.chunks_id = (model["vocab"][m] for m in marks)
+        self.unmarked = not any(self._crosses(a, b) for a, b in merges)
         return Tokenizer(self.tok.model)
 
+    def _crosses(self, a: str, b: str) -> bool:
+        """Whether a merge joins what lies on either side of a cut inside a simple chunk."""
+        kinds = [_KIND[self.letters.index(c)] for c in a + b]
+        p, q = kinds[len(a) - 1], kinds[len(a)]
+        return 0 not in kinds and p != q and 4 not in (p, q)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of chunks, each as if it were a text."""
-        if self.model is None:
-            return self._whole(chunks)
-        if all(map(_PLAIN, chunks)):
-            return self._together(chunks)
-        plain = [c for c in chunks if _PLAIN(c)]
-        done = dict(zip(plain, self._together(plain), strict=True))
-        other = [c for c in chunks if c not in done]
-        done.update(zip(other, self._whole(other), strict=True))
-        return [done[c] for c in chunks]
-
-    def _together(self, chunks: list[str]) -> list[bytes]:
-        joined = []
-        for k in range(0, len(chunks), JOINED):
-            raw = "\x01".join(_PARTS("\x00".join(chunks[k : k + JOINED]))).encode()
-            joined.append(codecs.charmap_decode(raw.replace(b"\x01\x00\x01", _CHUNK).replace(b"\x01", _PART), "strict", self.letters)[0])
-        out: list[bytes] = []
-        width = self.dtype.itemsize
-        for e in self.model.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(e.ids, dtype=np.uint32)
-            ids = ids[ids != self.parts_id]
-            ends = [*np.flatnonzero(ids == self.chunks_id).tolist(), len(ids)]
-            raw, a = ids.astype(self.dtype).tobytes(), 0
-            for b in ends:
-                out.append(raw[a * width : b * width])
-                a = b + 1
+    def _simple(self, chunks: pa.Array) -> np.ndarray:
+        """Which chunks need no marks inside: one space at most, before the rest, and no newline after a blank."""
+        at = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        buf = np.frombuffer(chunks.buffers()[2], np.uint8)[at[0] : at[-1]]
+        before = np.concatenate([buf[:1] * 0, buf[:-1]])
+        bad = (_KIND[buf] == 0) | (buf == 10) & ((before == 10) | (before == 32))
+        # of two bytes only U+00C0..U+00FF without the signs of multiplication and division
+        bad |= (buf >= 0x80) & (buf < 0xC0) & ((before != 0xC3) | (buf == 0x97) | (buf == 0xB7))
+        out = np.ones(len(chunks), bool)
+        out[np.searchsorted(at - at[0], np.flatnonzero(bad), side="right") - 1] = False
+        return out
+
+    def _together(self, joined: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each chunk has) of chunks between _CHUNK bytes, cut at _PART bytes."""
+        end = np.array([self.chunks_id], dtype=np.uint32) if joined else None
+        got = [np.empty(0, np.uint32)]
+        for e in self.model.encode_batch_fast([codecs.charmap_decode(x, "strict", self.letters)[0] for x in joined], add_special_tokens=False) if joined else ():
+            got += (np.array(e.ids, dtype=np.uint32), end)
+        ids = np.concatenate(got)
+        if not len(ids):
+            return ids.astype(self.dtype), np.empty(0, np.int64)
+        ids = ids[ids != self.parts_id]
+        last = ids == self.chunks_id
+        return ids[~last].astype(self.dtype), np.diff(np.flatnonzero(last), prepend=-1) - 1
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each chunk's begin, how many it has) of chunks, each as if it were a text."""
+        simple = self._simple(chunks) if self.unmarked and len(chunks) else np.zeros(len(chunks), bool)
+        sure = chunks.filter(pa.array(simple)).to_pylist()
+        text = [x.decode() for x in chunks.filter(pa.array(~simple)).to_pylist()]
+        plain = np.array([bool(self.model and _PLAIN(x)) for x in text], bool)
+        marked = [x for x, p in zip(text, plain, strict=True) if p]
+        whole = self._whole([x for x, p in zip(text, plain, strict=True) if not p])
+        done = [
+            self._together([_CHUNK.join(sure[k : k + JOINED]) for k in range(0, len(sure), JOINED)]),
+            self._together([_marks(marked[k : k + JOINED]) for k in range(0, len(marked), JOINED)]),
+            (np.frombuffer(b"".join(whole), self.dtype), np.array([len(x) // self.dtype.itemsize for x in whole], np.int64)),
+        ]
+        n = np.concatenate([x for _, x in done])
+        other = np.flatnonzero(~simple)
+        place = np.concatenate([np.flatnonzero(simple), other[plain], other[~plain]])
+        first, count = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        first[place], count[place] = np.cumsum(n) - n, n
+        return np.concatenate([x for x, _ in done]), first, count
+
+    def _forget(self) -> None:
+        """Keep what was met again, the longest known first, up to half the limit."""
+        size = pc.binary_length(self.words).to_numpy() + self.count * self.dtype.itemsize + ENTRY
+        if size.sum() <= self.limit:
+            return
+        kept = np.flatnonzero(self.met)
+        kept = kept[np.cumsum(size[kept]) <= self.limit // 2]
+        self.words, first, self.count = self.words.take(pa.array(kept)), self.first[kept], self.count[kept]
+        self.ids = self.ids[_runs(first, self.count)]
+        self.first, self.met = np.cumsum(self.count) - self.count, np.zeros(len(kept), bool)
+
+    def _look_up(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in turn, how many each has)."""
+        coded = chunks.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = known < 0
+        self.met[known[~new]] = True
+        lost = coded.dictionary.filter(pa.array(new))
+        known[new] = len(self.words) + np.arange(len(lost))
+        ids, first, count = self._chunks(lost)
+        self.words = pa.concat_arrays([self.words, lost])
+        self.first, self.count = np.concatenate([self.first, first + len(self.ids)]), np.concatenate([self.count, count])
+        self.ids, self.met = np.concatenate([self.ids, ids]), np.concatenate([self.met, np.zeros(len(lost), bool)])
+        at = known[coded.indices.to_numpy()]
+        out = self.ids[_runs(self.first[at], self.count[at])], self.count[at]
+        self._forget()
         return out
 
-    def _learn(self, words: set[str], start: str) -> None:
-        """Have the chunks ``start`` + word in the memo; it forgets those not met since it was last half full."""
-        new = words.difference(self.memo)
-        kept = {w: self.old[w] for w in new if w in self.old}
-        lost = list(new.difference(kept))
-        kept.update(zip(lost, self._chunks([start + w for w in lost]), strict=True))
-        self.memo.update(kept)
-        self.size += ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+    def _cut(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of separable texts, none of them empty."""
+        if not texts:
+            return []
+        raw = b"".join(texts)
+        begin = np.cumsum([0, *map(len, texts)])
+        mark = np.frombuffer(raw, np.uint8) == 32
+        mark[begin[:-1]] = True
+        at = np.append(np.flatnonzero(mark), len(raw))
+        got = []
+        for k in range(0, len(at) - 1, LOOKED_UP):
+            own = np.ascontiguousarray(at[k : k + LOOKED_UP + 1], np.int64)
+            got.append(self._look_up(pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(own), pa.py_buffer(raw)])))
+        end = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in got]))])[np.searchsorted(at, begin)] * self.dtype.itemsize
+        ids = np.concatenate([x for x, _ in got]).tobytes()
+        return [ids[a:b] for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text is an empty one."""
-        if self.size > self.limit:
-            self.memo, self.old, self.size = {}, self.memo, 0
-        cut = [t.split(" ") if t and self.chunked and separable(t) and not any(a in t for a in self.added) else None for t in texts]
-        words: set[str] = set()
-        for cs in cut:
-            if cs:
-                words.update(cs[1:])
-        self._learn(words, " ")
-        # the memo is by the word after its space; a text's first word has no space
-        first = list({cs[0] for cs in cut if cs})
-        heads = dict(zip(first, self._chunks(first), strict=True))
-        get = self.memo.__getitem__
-        whole = iter(self._whole([t for t, cs in zip(texts, cut, strict=True) if t and cs is None]))
-        return [heads[cs[0]] + b"".join(map(get, cs[1:])) if cs else next(whole) if t else b"" for t, cs in zip(texts, cut, strict=True)]
+        cut = [bool(t) and self.chunked and separable(t) and not any(a in t for a in self.added) for t in texts]
+        short = iter(self._cut([t.encode() for t, c in zip(texts, cut, strict=True) if c]))
+        whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if t and not c]))
+        return [next(short) if c else next(whole) if t else b"" for t, c in zip(texts, cut, strict=True)]
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run in turn."""
+    end = np.cumsum(count)
+    return np.repeat(first - end + count, count) + np.arange(end[-1] if len(end) else 0)
+
+
+def _marks(chunks: list[str]) -> bytes:
+    """Chunks between _CHUNK bytes, with a _PART byte where the pre-tokenizer cuts."""
+    raw = "\x01".join(_PARTS("\x00".join(chunks))).encode()
+    return raw.replace(b"\x01\x00\x01", _CHUNK).replace(b"\x01", _PART)
 
 
 def separable(text: str) -> bool:
@@ -172,7 +246,7 @@ def encoder(path: str) -> Encoder:
     return B.held(("encoder", path), lambda: Encoder(path))
 
 
-def slices(column: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list]]:
+def slices(column: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list]]:
     """(first row, values) runs of a string column, each of about ``chars`` characters."""
     rows: list = []
     size = start = 0
