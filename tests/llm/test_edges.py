@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import edit_distance, line_dedup, mix_targets, nearest, near_duplicates
+from brute import crc, edit_distance, line_dedup, mix_targets, nearest, near_duplicates
 from pyspark.sql import functions as F
 
 from tokenloom.llm import _base, ann, chat, lines, mixing, neardup, packing, shingles, tokens, toxicity
@@ -270,3 +270,30 @@ def test_encoder_marks_only_cuts_that_a_merge_could_cross(monkeypatch):
     words = [f"({k}),x{k}\nY.{k}é" for k in range(500)]
     assert e.packed([" ".join(words)]) == e._whole([" ".join(words)])
     assert sum(sent) <= len(" ".join(words).encode()) + len(words)
+
+
+def test_pieces_send_the_model_each_chunk_once_without_marks(spark, monkeypatch):
+    import pyarrow as pa
+
+    enc, sent = tokens.Encoder(tokens.default_vocabulary()), []
+
+    class Counted:
+        def encode_batch_fast(self, joined, add_special_tokens, model=enc.model):
+            sent.extend(map(len, joined))
+            return model.encode_batch_fast(joined, add_special_tokens=add_special_tokens)
+
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return [r for b in run(iter([pa.record_batch([[0, 1, 2], [text, None, text]], ["doc_id", "text"])])) for r in b.to_pylist()]
+
+    text = " ".join(f"word{k},and\nnext.{k}" for k in range(300))
+    enc.model = Counted()
+    monkeypatch.setattr(tokens, "encoder", lambda path: enc)
+    rows = packing.pieces(Table(), tokens.default_vocabulary(), 64)
+    ids = [np.frombuffer(enc._whole([t or ""])[0], enc.dtype).tolist() + [tokens.END_ID] for t in (text, None, text)]
+    assert all(crc(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for r in rows)
+    assert sum(r["length"] for r in rows) == sum(map(len, ids))
+    assert sum(sent) <= len(text.encode()) + 300
