@@ -1,6 +1,12 @@
 """What a query may not do twice, exchange or hold; each with its results."""
 
-from tokenloom.operators import reports
+from pyspark.sql import functions as F
+
+from tokenloom.functions import values
+from tokenloom.functions.lexer import lex
+from tokenloom.operators import axes, lines, reports, scan
+from tokenloom.plans import pattern
+from tokenloom.plans.pattern import Pattern, Program
 
 
 def docs(spark, *texts):
@@ -19,3 +25,18 @@ def test_templates_move_a_line_once(spark):
     assert "Generate" not in plan(got) and "arrays_zip" not in plan(got)
     said = {r.template: (r["count"], r.shape.split(" ")[0], len(r.cells)) for r in got.collect()}
     assert said == {long.replace("w7 ", "<word> "): (2, "word", 3000), 'a "b\\\nc"': (1, "word", 2), "d": (1, "word", 1), "e <quoted> <number>": (2, "word", 3), "1 <number>": (3, "number", 2)}
+
+
+def nodes(df, name: str) -> int:
+    return plan(df).split("== Initial Plan ==")[0].count(name)
+
+
+LATE = "see a@x.org\nand b@y.org"
+
+
+def test_one_token_joins_read_each_text_once(spark):
+    d, late = docs(spark, "a@x.org c@z.org", "b@y.org", None, ""), docs(spark, LATE, None)
+    for p, want in ((r"@novel:@late \E", [(0, 0, "c@z.org")]),):
+        got = scan.matches(d, p, others={"late": late})
+        assert nodes(got, "MapInArrow") == 2  # this input and the other, no second reading of this one
+        assert sorted((r.doc_id, r.m, r.text) for r in got.collect()) == want
