@@ -40,3 +40,12 @@ def test_one_token_joins_read_each_text_once(spark):
         got = scan.matches(d, p, others={"late": late})
         assert nodes(got, "MapInArrow") == 2  # this input and the other, no second reading of this one
         assert sorted((r.doc_id, r.m, r.text) for r in got.collect()) == want
+
+
+def test_echoed_tokens_are_asked_for_once(spark):
+    d, late = docs(spark, "a@x.org c@z.org", "b@y.org", None, ""), docs(spark, LATE, None)
+    got = scan.matches(d, r"@echoed:@late \E:e", others={"late": late})
+    assert nodes(got, "MapInArrow") == 2
+    assert sorted((r.doc_id, r.m, r.text, r.registers["e"]) for r in got.collect()) == [(0, 0, "a@x.org", "a@x.org"), (1, 0, "b@y.org", "b@y.org")]
+    # what hangs on more than the token itself is still decided in the search
+    assert Pattern(r"@echoed:@late \E").apart == {"late": True} and Pattern(r"\W @echoed:@late \E").apart is None and Pattern(r"!~(@echoed:@late \E) .").apart is None
