@@ -49,3 +49,10 @@ def test_echoed_tokens_are_asked_for_once(spark):
     assert sorted((r.doc_id, r.m, r.text, r.registers["e"]) for r in got.collect()) == [(0, 0, "a@x.org", "a@x.org"), (1, 0, "b@y.org", "b@y.org")]
     # what hangs on more than the token itself is still decided in the search
     assert Pattern(r"@echoed:@late \E").apart == {"late": True} and Pattern(r"\W @echoed:@late \E").apart is None and Pattern(r"!~(@echoed:@late \E) .").apart is None
+
+
+def test_unless_is_settled_in_the_same_pass(spark):
+    d = docs(spark, "5ms ok\n9ms error", "9ms error", None)
+    got = reports.findings(d, [{"name": "slow", "pattern": r"\R", "message": "m", "unless": '"error"'}, {"name": "all", "pattern": r"\R{>=9ms}", "message": "m"}])
+    assert nodes(got, "MapInArrow") == 1
+    assert sorted((r.doc_id, r.rule, r.text) for r in got.collect()) == [(0, "all", "9ms"), (0, "slow", "5ms"), (1, "all", "9ms")]
