@@ -56,3 +56,27 @@ def test_unless_is_settled_in_the_same_pass(spark):
     got = reports.findings(d, [{"name": "slow", "pattern": r"\R", "message": "m", "unless": '"error"'}, {"name": "all", "pattern": r"\R{>=9ms}", "message": "m"}])
     assert nodes(got, "MapInArrow") == 1
     assert sorted((r.doc_id, r.rule, r.text) for r in got.collect()) == [(0, "all", "9ms"), (0, "slow", "5ms"), (1, "all", "9ms")]
+
+
+def runs(monkeypatch, pattern: str, text: str, **options) -> tuple[int, list[str]]:
+    """How many starts a search tries, and what it finds."""
+    n, run = [0], Program.run
+
+    def counted(self, *a):
+        n[0] += 1
+        return run(self, *a)
+
+    p = Pattern(pattern, **options)
+    with monkeypatch.context() as m:
+        m.setattr(Program, "run", counted)
+        found = p.find(text)
+    return n[0], [m.text for m in found]
+
+
+TWO = "at 2024-01-01 10:00:00 a b c\nat 2024-01-01 09:00:00 purchase d e\nat 2024-01-01 09:30:00 f purchase"
+
+
+def test_time_order_is_asked_of_instants_only(monkeypatch):
+    assert runs(monkeypatch, r"@order:asc \T", TWO) == (3, ["2024-01-01 09:30:00"])
+    assert runs(monkeypatch, r"@order:desc \T", TWO) == (3, ["2024-01-01 09:00:00"])
+    assert values.instant("2024-02-30 00:00:00") is None and values.instant("2024-01-01 10:00:61") is None and values.instant("2024-01-01T00:00:01") == 1704067201
