@@ -80,3 +80,15 @@ def test_time_order_is_asked_of_instants_only(monkeypatch):
     assert runs(monkeypatch, r"@order:asc \T", TWO) == (3, ["2024-01-01 09:30:00"])
     assert runs(monkeypatch, r"@order:desc \T", TWO) == (3, ["2024-01-01 09:00:00"])
     assert values.instant("2024-02-30 00:00:00") is None and values.instant("2024-01-01 10:00:61") is None and values.instant("2024-01-01T00:00:01") == 1704067201
+
+
+def test_line_counts_search_a_text_once(monkeypatch):
+    n, find = [0], Pattern.find
+
+    def counted(self, *a):
+        n[0] += 1
+        return find(self, *a)
+
+    monkeypatch.setattr(lines, "_per_text", lambda docs, pattern, doc_id, text, schema, make: make)
+    monkeypatch.setattr(Pattern, "find", counted)
+    assert lines.counts(None, "x")(Pattern('"a" | "b"'), "a b\nc\na\n") == [(2, 3)] and n[0] == 1
