@@ -92,3 +92,18 @@ def test_line_counts_search_a_text_once(monkeypatch):
     monkeypatch.setattr(lines, "_per_text", lambda docs, pattern, doc_id, text, schema, make: make)
     monkeypatch.setattr(Pattern, "find", counted)
     assert lines.counts(None, "x")(Pattern('"a" | "b"'), "a b\nc\na\n") == [(2, 3)] and n[0] == 1
+
+
+READ = ("(a 12 = b) x = ((300 = a b 5 x = 7", "one", None, "", "1 1 1 1 1 1", "= = = a = [ ] }", " ".join(f"w{k * k % 17} = {k * 37 % 101}" for k in range(60)))
+
+
+def alike(spark, read, t, names):
+    """Readings made where texts are lexed against window functions over the token table."""
+    assert "Window" not in plan(read) and "Exchange" not in plan(read)
+    said = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("doc_id", *names).fillna({n: -1 for n in names if n.endswith("lag")}).collect())
+    assert said(read) == said(t)
+
+
+def test_echo_needs_no_exchange(spark):
+    d, names = docs(spark, *READ), ["tok", "kind", "text", "count", "nth", "nth_back", "novel"]
+    alike(spark, axes.read(d, *names), axes.echo(scan.tokens(d)), names)
