@@ -107,3 +107,10 @@ def alike(spark, read, t, names):
 def test_echo_needs_no_exchange(spark):
     d, names = docs(spark, *READ), ["tok", "kind", "text", "count", "nth", "nth_back", "novel"]
     alike(spark, axes.read(d, *names), axes.echo(scan.tokens(d)), names)
+
+
+def test_matches_are_counted_where_they_are_found(spark):
+    p = r"\E:m [^\E]* =domain m"
+    assert any(x[0] == "many" for x in Pattern(p).program.code)  # a run of one test is one step
+    d = docs(spark, "a@x.org b c@x.org d@y.org e@x.org f@y.org g@y.org", "a@x.org", None)
+    assert [tuple(r) for r in scan.counts(d, p).collect()] == [(0, 2)]
