@@ -114,3 +114,8 @@ def test_matches_are_counted_where_they_are_found(spark):
     assert any(x[0] == "many" for x in Pattern(p).program.code)  # a run of one test is one step
     d = docs(spark, "a@x.org b c@x.org d@y.org e@x.org f@y.org g@y.org", "a@x.org", None)
     assert [tuple(r) for r in scan.counts(d, p).collect()] == [(0, 2)]
+
+
+def test_stress_needs_no_exchange(spark):
+    d, names = docs(spark, *READ), ["tok", "height", "peak"]
+    alike(spark, axes.read(d, *names), axes.stress(scan.tokens(d)), names)
