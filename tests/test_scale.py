@@ -119,3 +119,10 @@ def test_matches_are_counted_where_they_are_found(spark):
 def test_stress_needs_no_exchange(spark):
     d, names = docs(spark, *READ), ["tok", "height", "peak"]
     alike(spark, axes.read(d, *names), axes.stress(scan.tokens(d)), names)
+
+
+def test_magnitude_needs_no_exchange(spark):
+    d, names = docs(spark, *READ), ["tok", "m", "gradient", "energy", "outlier"]
+    alike(spark, axes.read(d, *names), axes.magnitude(scan.tokens(d)), names)
+    read = axes.history(d).withColumn("mean", F.round("mean", 9)).withColumn("m", F.round("m", 9))
+    assert "Window" not in plan(read) and sorted(map(repr, read.collect())) == sorted(map(repr, axes.keyed_history(scan.tokens(d)).withColumn("mean", F.round("mean", 9)).withColumn("m", F.round("m", 9)).select(*read.columns).collect()))
