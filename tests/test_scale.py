@@ -126,3 +126,10 @@ def test_magnitude_needs_no_exchange(spark):
     alike(spark, axes.read(d, *names), axes.magnitude(scan.tokens(d)), names)
     read = axes.history(d).withColumn("mean", F.round("mean", 9)).withColumn("m", F.round("m", 9))
     assert "Window" not in plan(read) and sorted(map(repr, read.collect())) == sorted(map(repr, axes.keyed_history(scan.tokens(d)).withColumn("mean", F.round("mean", 9)).withColumn("m", F.round("m", 9)).select(*read.columns).collect()))
+
+
+def test_other_inputs_are_asked_for_one_kind(spark):
+    p = r"^ . \W{in:@kinds}:k"
+    assert Pattern(p).asked == {"kinds": {"word"}} and Pattern(r"@echoed:@kinds \E").asked == {"kinds": {"email"}} and Pattern(r"@echoed:@kinds{0,1} \E").asked == {"kinds": None}
+    got = scan.matches(docs(spark, "1 a b\n2 c\n3 b", "4 d", None), p, others={"kinds": docs(spark, "b c or")})
+    assert sorted((r.doc_id, r.registers["k"]) for r in got.collect()) == [(0, "b"), (0, "c")]
