@@ -133,3 +133,8 @@ def test_other_inputs_are_asked_for_one_kind(spark):
     assert Pattern(p).asked == {"kinds": {"word"}} and Pattern(r"@echoed:@kinds \E").asked == {"kinds": {"email"}} and Pattern(r"@echoed:@kinds{0,1} \E").asked == {"kinds": None}
     got = scan.matches(docs(spark, "1 a b\n2 c\n3 b", "4 d", None), p, others={"kinds": docs(spark, "b c or")})
     assert sorted((r.doc_id, r.registers["k"]) for r in got.collect()) == [(0, "b"), (0, "c")]
+
+
+def test_flow_needs_no_exchange(spark):
+    d, names = docs(spark, *READ), ["tok", "slope", "direction", "reversal", "momentum"]
+    alike(spark, axes.read(d, *names), axes.flow(axes.magnitude(scan.tokens(d)), "m"), names)
