@@ -138,3 +138,12 @@ def test_other_inputs_are_asked_for_one_kind(spark):
 def test_flow_needs_no_exchange(spark):
     d, names = docs(spark, *READ), ["tok", "slope", "direction", "reversal", "momentum"]
     alike(spark, axes.read(d, *names), axes.flow(axes.magnitude(scan.tokens(d)), "m"), names)
+
+
+def test_declared_kinds_are_counted_in_one_pass(spark, monkeypatch):
+    n, o = [0], {"kinds": {"pair": r'\W "=" \N'}, "shapes": {"place": "/[a-z]+"}}
+    monkeypatch.setattr(pattern, "lex", lambda *a, **k: n.__setitem__(0, n[0] + 1) or lex(*a, **k))
+    p = Pattern(r"\{pair}", **o)
+    n[0] = 0
+    assert p.count("a=1 b=c d=2 /x") == 2 and n[0] == 1
+    assert [tuple(r) for r in scan.counts(docs(spark, "a=1 b=c d=2", "x", None), r"\{pair}", **o).collect()] == [(0, 2)]
