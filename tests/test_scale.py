@@ -147,3 +147,9 @@ def test_declared_kinds_are_counted_in_one_pass(spark, monkeypatch):
     n[0] = 0
     assert p.count("a=1 b=c d=2 /x") == 2 and n[0] == 1
     assert [tuple(r) for r in scan.counts(docs(spark, "a=1 b=c d=2", "x", None), r"\{pair}", **o).collect()] == [(0, 2)]
+
+
+def test_edit_groups_begin_near_a_token_that_fits(monkeypatch):
+    said = "a b c d e f user = g from 10.0.0.1 h i j k"
+    assert runs(monkeypatch, r'("user" "=" "from" \I)~1', said) == (3, ["user = g from 10.0.0.1"])
+    assert runs(monkeypatch, r'("x" "y")~1', "a b c y d")[1] == ["c y"]
