@@ -153,3 +153,8 @@ def test_edit_groups_begin_near_a_token_that_fits(monkeypatch):
     said = "a b c d e f user = g from 10.0.0.1 h i j k"
     assert runs(monkeypatch, r'("user" "=" "from" \I)~1', said) == (3, ["user = g from 10.0.0.1"])
     assert runs(monkeypatch, r'("x" "y")~1', "a b c y d")[1] == ["c y"]
+
+
+def test_fields_are_sought_at_their_first_kind(monkeypatch):
+    assert runs(monkeypatch, r"^ \T:at \W:event", "2024-01-01 10:00:00 view a b c 5")[0] == 1
+    assert runs(monkeypatch, r"^ . \W", "a b c\nd e f") == (2, ["a b", "d e"])
