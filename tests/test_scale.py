@@ -158,3 +158,11 @@ def test_edit_groups_begin_near_a_token_that_fits(monkeypatch):
 def test_fields_are_sought_at_their_first_kind(monkeypatch):
     assert runs(monkeypatch, r"^ \T:at \W:event", "2024-01-01 10:00:00 view a b c 5")[0] == 1
     assert runs(monkeypatch, r"^ . \W", "a b c\nd e f") == (2, ["a b", "d e"])
+
+
+def test_gravity_counts_pairs_where_they_are_lexed(spark):
+    d = docs(spark, *READ)
+    got = axes.gravity_of(d)
+    assert "Generate" not in plan(got)
+    said = lambda df: sorted((r.d, r.a, r.b, r.n, round(r.lift, 9)) for r in df.collect())
+    assert said(got) == said(axes.gravity(scan.tokens(d)))
