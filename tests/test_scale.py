@@ -166,3 +166,9 @@ def test_gravity_counts_pairs_where_they_are_lexed(spark):
     assert "Generate" not in plan(got)
     said = lambda df: sorted((r.d, r.a, r.b, r.n, round(r.lift, 9)) for r in df.collect())
     assert said(got) == said(axes.gravity(scan.tokens(d)))
+
+
+def test_bracket_pairs_without_a_token_table(spark):
+    d = docs(spark, "f(a[1], {b}) )(", "x", None, "(" * 3 + ")" * 2)
+    said = lambda df: sorted(map(tuple, df.collect()))
+    assert said(scan.bracket_mates(d)) == said(scan.mates(scan.tokens(d)))
