@@ -172,3 +172,7 @@ def test_bracket_pairs_without_a_token_table(spark):
     d = docs(spark, "f(a[1], {b}) )(", "x", None, "(" * 3 + ")" * 2)
     said = lambda df: sorted(map(tuple, df.collect()))
     assert said(scan.bracket_mates(d)) == said(scan.mates(scan.tokens(d)))
+
+
+def test_echoed_is_asked_of_words_only(monkeypatch):
+    assert runs(monkeypatch, r"@echoed \W{len>5}", "1 2 purchase 3 4 = purchase ( ) error1") == (3, ["purchase", "purchase"])
