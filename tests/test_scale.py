@@ -176,3 +176,8 @@ def test_bracket_pairs_without_a_token_table(spark):
 
 def test_echoed_is_asked_of_words_only(monkeypatch):
     assert runs(monkeypatch, r"@echoed \W{len>5}", "1 2 purchase 3 4 = purchase ( ) error1") == (3, ["purchase", "purchase"])
+
+
+def test_any_token_is_counted_without_a_row_each(spark):
+    d = docs(spark, "a b 3", None, "", "x")
+    assert sorted(map(tuple, scan.counts(d, ".").collect())) == [(0, 3), (3, 1)]
