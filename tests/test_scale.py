@@ -181,3 +181,8 @@ def test_echoed_is_asked_of_words_only(monkeypatch):
 def test_any_token_is_counted_without_a_row_each(spark):
     d = docs(spark, "a b 3", None, "", "x")
     assert sorted(map(tuple, scan.counts(d, ".").collect())) == [(0, 3), (3, 1)]
+
+
+def test_lags_need_no_exchange(spark):
+    d, names = docs(spark, *READ), ["tok", "back_lag", "fwd_lag"]
+    alike(spark, axes.read(d, *names), axes.echo(scan.tokens(d)), names)
