@@ -186,3 +186,7 @@ def test_any_token_is_counted_without_a_row_each(spark):
 def test_lags_need_no_exchange(spark):
     d, names = docs(spark, *READ), ["tok", "back_lag", "fwd_lag"]
     alike(spark, axes.read(d, *names), axes.echo(scan.tokens(d)), names)
+
+
+def test_last_occurrences_are_sought_at_words(monkeypatch):
+    assert runs(monkeypatch, r"@echo:nth=-1 \W{len>5}", "1 purchase 2 = purchase 3") == (2, ["purchase"])
